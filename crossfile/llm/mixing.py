@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from crossfile.llm.frames import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_ROWS = 4096
 #: Source tables up to this size are broadcast; larger ones are joined by shuffle.
 SOURCES_BROADCAST = 20_000
 
@@ -72,7 +71,7 @@ def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | No
 
     ``budget``: tokens to emit as a multiple of all tokens; None for the least at which every source is dealt whole once.
     """
-    bits = max(2, (docs.count() // BLOCK_ROWS).bit_length())
+    bits = max(2, (docs.count().bit_length() + 1) // 2)  # about as many blocks as rows in a block
     source = F.coalesce("source", F.lit("")).alias("source")
     blocks = cut(docs.select(source, _block(key, bits).alias("block"), tokens().alias("n")).groupBy("source", "block").agg(F.sum("n").alias("n")))
     sums = blocks.groupBy("source").agg(F.sum("n").alias("total"))

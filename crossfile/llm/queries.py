@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import mixing, sharding
+from crossfile.llm import mixing, quality, sentencepiece_stream, sharding
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,14 +21,29 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("_n_tokens").alias("n_tokens"), F.round("_exponent", 6).alias("exponent"), F.round("_weight", 6).alias("weight"), F.col("_epoch").alias("epoch"), F.col("_order").alias("order_key"))
 
 
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition coverage and verdict of every document."""
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the 32,000-piece vocabulary."""
+    return sentencepiece_stream.encode(table(spark, sf_dir, "documents"), sentencepiece_stream.read_pieces(VOCABULARY))
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards: four regions of two racks of two shards."""
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(16))
 
 
+#: The vocabulary file; the driver reads it and sends its pieces on.
+VOCABULARY = os.environ.get("CROSSFILE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_repetition": op3_repetition,
     "op8_hash_tree": op8_hash_tree,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,8 @@ splits a UTF-8 character. Work goes over slices of about ``SLICE`` bytes, so tem
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -93,20 +95,37 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: multilinear over its bytes, then mixed with its length."""
-        out = np.empty(len(self), dtype=_U)
-        size = self.end - self.start
-        at = 0
-        while at < len(self):
-            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + SLICE)))
-            n = size[at:to]
-            span = slice(self.start[at], self.end[to - 1])
-            values = self.bytes[span][self.word_bytes[span]].astype(_U) + _U(1)
-            begin = np.cumsum(n) - n
-            values *= _weights_for(int(n.max()))[np.arange(len(values)) - np.repeat(begin, n)]
-            out[at:to] = mix(np.add.reduceat(values, begin) ^ (n.astype(_U) * _U(0x9E3779B97F4A7C15)))
-            at = to
-        return out
+        """A 64-bit hash of each word."""
+        return segment_hashes(self.bytes, self.start, self.end, self.word_bytes)
+
+
+def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each segment: multilinear over its bytes, then mixed with its length.
+
+    Segments are in order, not empty, and don't overlap. ``of``: the bytes that lie in segments, where that is known.
+    Segments longer than a slice are hashed by hashlib.
+    """
+    out = np.empty(len(start), dtype=_U)
+    size = end - start
+    at = 0
+    while at < len(start):
+        if size[at] > SLICE:
+            out[at] = int.from_bytes(hashlib.blake2b(data[start[at] : end[at]].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(start, start[at] + SLICE)))
+        if size[to - 1] > SLICE:
+            to -= 1
+        n = size[at:to]
+        span = slice(start[at], end[to - 1])
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
+        values = data[span][of[span]] if of is not None else data[np.repeat(start[at:to], n) + inner]
+        values = values.astype(_U) + _U(1)
+        values *= _weights_for(int(n.max()))[inner]
+        out[at:to] = mix(np.add.reduceat(values, begin) ^ (n.astype(_U) * _U(0x9E3779B97F4A7C15)))
+        at = to
+    return out
 
 
 def windows(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:

@@ -14,6 +14,7 @@ Null and empty texts have no ids. Repeated rows are encoded alike. Extra columns
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +26,9 @@ from crossfile.llm.text import buffers, segment_hashes, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 400_000
+NEVER = float("-inf")
+#: Entries in each half of the memo.
+MEMO = 300_000
 #: Cuts longer than this are not kept in the memo.
 MEMO_BYTES = 64
 
@@ -42,9 +45,9 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
 
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, int]]):
-        self.trie: dict = {}
+        self.root: dict = {}  # character -> (further characters, id or -1, score)
         self.byte = [0] * 256
-        table, scores, self.longest = [], [], 1
+        table, scores, self.longest = [], {}, 1
         for i, (piece, score, kind) in enumerate(pieces):
             table.append(b"")
             if kind == BYTE:
@@ -53,49 +56,55 @@ class Codec:
             elif kind in (NORMAL, USER):
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {piece!r} joins a character to a space after it")
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, score)
+                scores[piece] = (i, score)
                 table[i] = piece.replace(SPACE, " ").encode()
-                scores.append(score)
                 self.longest = max(self.longest, len(piece))
-        self.unknown = min(scores) - 10.0
+        for piece in sorted(scores):
+            kids = self.root
+            for n, c in enumerate(piece, 1):
+                if c not in kids:
+                    kids[c] = ({}, *scores.get(piece[:n], (-1, 0.0)))
+                kids = kids[c][0]
+        self.unknown = min(x[1] for x in scores.values()) - 10.0
         self.sizes = np.array([len(x) for x in table], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids, as they are committed. Ties go to the piece that starts first. Spaces are given as ' '."""
-        best: dict[int, tuple[float, int, tuple[int, ...]]] = {0: (0.0, -1, ())}
-        live: list[tuple[int, dict]] = []
-        done = n = 0
+        best: dict[int, tuple[float, int, tuple[int, ...] | int]] = {0: (0.0, -1, ())}
+        live: list[tuple[int, dict]] = []  # starts from which pieces may still grow, in order
+        root, done, n, wide = self.root, 0, 0, 2 * self.longest
         for c in chars:
-            single = None
-            if c == " ":
-                c = SPACE
-            elif c == SPACE:
-                single = tuple(self.byte[b] for b in c.encode())
-            if single is None:
-                live.append((n, self.trie))
-                live = [(s, node[c]) for s, node in live if c in node]
-            else:
+            score, back, ids, known = NEVER, -1, (), False
+            if c == SPACE:
                 live = []
-            score, back, ids = float("-inf"), -1, ()
-            for s, node in live:
-                end = node.get("")
-                if end is not None and best[s][0] + end[1] > score:
-                    score, back, ids = best[s][0] + end[1], s, (end[0],)
-            if single is not None or not any(s == n and "" in node for s, node in live):  # no piece of this one character
-                if best[n][0] + self.unknown > score:
-                    score, back, ids = best[n][0] + self.unknown, n, single or tuple(self.byte[b] for b in c.encode())
+            else:
+                if c == " ":
+                    c = SPACE
+                live.append((n, root))
+                grown = []
+                for s, kids in live:
+                    hit = kids.get(c)
+                    if hit is not None:
+                        further, i, gain = hit
+                        if i >= 0:
+                            known = known or s == n
+                            gain += best[s][0]
+                            if gain > score:
+                                score, back, ids = gain, s, i
+                        if further:
+                            grown.append((s, further))
+                live = grown
+            if not known and best[n][0] + self.unknown > score:
+                score, back, ids = best[n][0] + self.unknown, n, tuple(self.byte[b] for b in c.encode())
             n += 1
             best[n] = (score, back, ids)
-            ahead = {s for s, node in live if len(node) > 1 or "" not in node} | {n}
-            if len(ahead) == 1 or n - done > 2 * self.longest:
-                # Walk back from the last of the live positions until all paths have met.
-                heads = set(ahead)
+            if not live or n - done > wide:
+                heads = {s for s, _ in live}  # walk back from the last live position until all paths have met
+                heads.add(n)
                 while len(heads) > 1:
                     top = max(heads)
                     heads.discard(top)
@@ -103,19 +112,21 @@ class Codec:
                 at = heads.pop()
                 if at > done:
                     yield self._between(best, done, at)
-                    low = at
-                    best = {p: x for p, x in best.items() if p >= low}
+                    best = {p: x for p, x in best.items() if p >= at} if at < n else {n: best[n]}
                     done = at
         if n > done:
             yield self._between(best, done, n)
 
     @staticmethod
     def _between(best: dict, done: int, at: int) -> list[int]:
-        back: list[tuple[int, ...]] = []
+        back: list[int] = []
         while at > done:
-            back.append(best[at][2])
-            at = best[at][1]
-        return [i for ids in reversed(back) for i in ids]
+            _, at, ids = best[at]
+            if isinstance(ids, int):
+                back.append(ids)
+            else:
+                back += ids[::-1]
+        return back[::-1]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.stream(" " + text if text else "") for i in ids]
@@ -124,13 +135,16 @@ class Codec:
         out = b"".join(self.flat[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes() for i in ids).decode(errors="replace")
         return out.removeprefix(" ")
 
-    def _ids(self, cut: bytes) -> list[int]:
+    def _ids(self, cut: bytes) -> bytes:
+        """The ids of a cut as 32-bit numbers. Of the memo's two halves the older goes when the newer is full."""
         ids = self.memo.get(cut)
         if ids is None:
-            ids = [i for part in self.stream(cut.decode()) for i in part]
+            ids = self.before.get(cut)
+            if ids is None:
+                ids = array("i", [i for part in self.stream(cut.decode()) for i in part]).tobytes()
             if len(cut) <= MEMO_BYTES:
                 if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                    self.before, self.memo = self.memo, {}
                 self.memo[cut] = ids
         return ids
 
@@ -152,8 +166,8 @@ class Codec:
         _, some, which = np.unique(segment_hashes(text, start, end), return_index=True, return_inverse=True)
         whole = text.tobytes()
         found = [self._ids(whole[a:b]) for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
-        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(n.sum()))
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype=np.int32)
         first = np.cumsum(n) - n
         count = n[which]
         at = np.cumsum(count) - count

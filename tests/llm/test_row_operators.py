@@ -183,8 +183,8 @@ def test_sentencepiece_round_trip_and_library(spark, docs, pieces):
             assert r.exact and codec.decode(r.ids) == (text or "") and len(r.ids) == r.n_ids
             assert codec.encode(text or "") == r.ids
             if text and "▁" not in text and "\x00" not in text:
-                theirs = library.encode(text)
-                assert total(theirs) == total(r.ids)
+                best = optimum(text.replace(" ", "▁"), pieces, codec.unknown)
+                assert total(r.ids) == best >= total(library.encode(text))  # the library adds in single precision
     assert sentencepiece_stream.encode(docs.limit(0), pieces).count() == 0
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import mixing, quality, sentencepiece_stream, sharding
+from crossfile.llm import mixing, pii, quality, sentencepiece_stream, sharding, toxicity
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode(table(spark, sf_dir, "documents"), sentencepiece_stream.read_pieces(VOCABULARY))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the classifier learns from the candidates of all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards: four regions of two racks of two shards."""
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(16))
@@ -42,6 +54,8 @@ VOCABULARY = os.environ.get("CROSSFILE_PIECES", "/opt/tokenizers/piece_bpe_32k.m
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_repetition": op3_repetition,
+    "op6_toxicity": op6_toxicity,
+    "op7_personal_data": op7_personal_data,
     "op8_hash_tree": op8_hash_tree,
     "op10_sentencepiece": op10_sentencepiece,
 }

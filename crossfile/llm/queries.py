@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import mixing, pii, quality, sentencepiece_stream, sharding, toxicity
+from crossfile.llm import brown, mixing, pii, quality, sentencepiece_stream, sharding, toxicity
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class bigram scores of every document."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids under the 32,000-piece vocabulary."""
     return sentencepiece_stream.encode(table(spark, sf_dir, "documents"), sentencepiece_stream.read_pieces(VOCABULARY))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_hash_tree": op8_hash_tree,
+    "op9_brown": op9_brown,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import brown, mixing, pii, quality, sentencepiece_stream, sharding, toxicity
+from crossfile.llm import brown, mixing, pii, quality, sentencepiece_stream, sharding, substring, toxicity
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode(table(spark, sf_dir, "documents"), sentencepiece_stream.read_pieces(VOCABULARY))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows that start in a smaller one."""
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +64,7 @@ VOCABULARY = os.environ.get("CROSSFILE_PIECES", "/opt/tokenizers/piece_bpe_32k.m
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_repetition": op3_repetition,
+    "op5_recompression": op5_recompression,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_hash_tree": op8_hash_tree,

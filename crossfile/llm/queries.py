@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import brown, mixing, pii, quality, sentencepiece_stream, sharding, substring, toxicity
+from crossfile.llm import brown, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, substring, toxicity
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are similar to 0.9."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy that a budget of one corpus deals at an evenness of 0.95 and at most four repetitions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -62,6 +67,7 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = os.environ.get("CROSSFILE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_repetition": op3_repetition,
     "op5_recompression": op5_recompression,

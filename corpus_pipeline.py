@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from crossfile.llm import mixing, ngram_join, pii, quality, sentencepiece_stream
 from crossfile.llm.frames import cut, ship
+from crossfile.llm.queries import VOCABULARY
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    ship(spark)
+    return quality.keep(docs)
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents similar to 0.8 in shingles of five words, directly or through others, the one with the least id stays.
+
+    Rows that share an id share its fate, and of rows equal in all columns one stays. Rows with a null id stay.
+    """
+    ship(spark)
+    found = ngram_join.join(docs, n=5, percent=80)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    kept = docs.join(cut(gone), "doc_id", "left_anti")
+    twice = cut(repeated)
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates())
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; the lengths follow."""
+    ship(spark)
+    out = pii.mask(docs, pii.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated up to four times towards even shares; every document is dealt at least once."""
+    return mixing.mix(docs, evenness=0.97, repetition=4.0, budget=None).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document dealt."""
+    ship(spark)
+    return sentencepiece_stream.encode(docs, sentencepiece_stream.read_pieces(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_weights", source_weights),
+    ("encoding", encoding),
+]
 
 #: The last stage's ids come from a vocabulary file and the third's spans from a trained model: SQL can't express them.
 ORACLE_SQL = None
@@ -14,7 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each written to the shared folder and read again."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

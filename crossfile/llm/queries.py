@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import brown, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, substring, toxicity
+from crossfile.llm import brown, hnsw, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, substring, toxicity
 from crossfile.llm.frames import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode(table(spark, sf_dir, "documents"), sentencepiece_stream.read_pieces(VOCABULARY))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.93 or more."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows that start in a smaller one."""
     return substring.deduplicate(table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_repetition": op3_repetition,
+    "op4_hnsw": op4_hnsw,
     "op5_recompression": op5_recompression,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,

@@ -8,8 +8,8 @@ many elements a set may hold that the other lacks).
 * Large sets are found in inverted lists of first e + 1 elements, which also hold the small sets that come near them in size.
 
 The size where small ends is where the total cost of subsets and lists, summed over the corpus's histogram of sizes, is least.
-What meets is filtered by size and by the two positions (elements before the first common one are not shared), then verified
-on the whole sets. Elements are ordered by a count sketch of fixed size over all texts, so that passages common to many
+What meets is filtered by size, by the two positions (elements before the first common one are not shared) and by parity bits,
+then verified on the whole sets. Elements are ordered by a count sketch of fixed size over all texts, so that passages common to many
 documents come last and are looked up only by sets made of nothing else. Entries are packed as in ``substring``: a row is one
 batch's entries for one bucket. Links are joined to components by stars; documents aren't collected anywhere.
 
@@ -32,6 +32,7 @@ from crossfile.llm.frames import cut, small
 from crossfile.llm.text import Words, buffers, inside, mix, slices, windows
 
 SKETCH = 1 << 18
+PARITY = 2048
 #: Cost of an inverted list's entry, which is scanned against the list, in subset entries, which rarely meet.
 LIST_COST = 4.0
 #: Candidate classes up to this number are sent to where the texts are; more are joined by shuffle.
@@ -110,27 +111,36 @@ def _read(batches: Iterator[pa.RecordBatch], n: int):
             yield b, lo, hi, sets(Words(data, offsets, lo, hi, lower=True), n)
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """d, n_shingles, name of every row (columns d, t)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, lo, hi, (key, first) in _read(batches, n):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([x.tobytes() for x in names(key, first)], pa.binary())], ["d", "n_shingles", "name"])
+def parities(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """PARITY bits for each row: whether an odd number of its elements falls on each. Two rows' bits differ in no more places
+    than their sets in elements."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(row * PARITY + (mix(key) % _U(PARITY)).astype(np.int64), minlength=n * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITY), axis=1)
 
-    return docs.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, n_shingles long, name binary")
 
-
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all elements by cell. SKETCH numbers, whatever the corpus."""
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """d, n_shingles, name and parity bits of every row; and, with a cell instead, the sketch's counts by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.int64)
-        for _, _, _, (key, _) in _read(batches, n):
+        kind = None
+        for b, lo, hi, (key, first) in _read(batches, n):
+            kind = b.schema[0].type
             total += np.bincount((mix(key) >> _U(46)).astype(np.int64), minlength=SKETCH)
+            columns = [b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([x.tobytes() for x in names(key, first)], pa.binary()), pa.array([x.tobytes() for x in parities(key, first)], pa.binary()), pa.nulls(hi - lo, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "n_shingles", "name", "bits", "cell"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(total[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))], ["d", "n_shingles", "name", "bits", "cell"])
+
+    return docs.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, n_shingles long, name binary, bits binary, cell int")
 
-    rows = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+
+def sketch(about: DataFrame) -> np.ndarray:
+    """Counts of all elements by cell. SKETCH numbers, whatever the corpus."""
+    rows = about.where("cell is not null").groupBy("cell").agg(F.sum("n_shingles").alias("n")).toArrow()
     cells = np.zeros(SKETCH)
     cells[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return cells
@@ -185,8 +195,9 @@ def _meet(group: np.ndarray, large: int, percent: int) -> Iterator[tuple[np.ndar
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """((a, b): names of classes that are similar, d, n_shingles, name of every row). docs: columns d, t."""
     spark = docs.sparkSession
-    ranks = Ranks(sketch(docs, n))
     about = cut(describe(docs, n))
+    ranks = Ranks(sketch(about))
+    about = about.where("cell is null").drop("cell")
     histogram = [(r.n_shingles, r["count"]) for r in about.where("n_shingles > 0").groupBy("n_shingles").count().collect()]
     large = boundary(histogram, percent)
     total = sum(a * b for a, b in histogram)
@@ -244,7 +255,19 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         return pa.table({c: pa.array([x.tobytes() for x in np.ascontiguousarray(flat[:, i : i + 2])], pa.binary()) for c, i in (("a", 0), ("b", 2))})
 
     pairs = docs.mapInArrow(post, "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary")
-    pairs = cut(pairs.distinct())
+    # What differs in more bits than it may in elements isn't similar: bits are far smaller than sets.
+    bits = about.where("n_shingles > 0").groupBy("name").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
+    met = pairs.distinct().join(bits.select(F.col("name").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a")), "a").join(bits.select(F.col("name").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b")), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("bits_a", "bits_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            # |A - B| + |B - A| = d of total: (total - d) / (total + d) is the similarity.
+            yield b.select(["a", "b"]).filter(pa.array(100 * (total - differ) >= percent * (total + differ)))
+
+    pairs = cut(met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a binary, b binary"))
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
 
     def whole(only: set[bytes] | None):

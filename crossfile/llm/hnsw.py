@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfile.llm.components import components
+from crossfile.llm.components import components, forest
 from crossfile.llm.frames import cut
 
 SHARD, M, BUILD_BEAM, BEAM, AUDIT, RECALL = 1024, 12, 48, 16, 32, 0.99
@@ -148,24 +148,6 @@ def search(graph: Graph, queries: np.ndarray, least: float) -> tuple[list[list[i
     return [graph.above(q, least, width) for q in queries], width
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    above: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while above.get(v, v) != v:
-            above[v] = above.get(above[v], above[v])
-            v = above[v]
-        return v
-
-    kept = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
 def _vectors(blob: pa.Scalar, dim: int) -> np.ndarray:
     x = np.frombuffer(blob.as_py(), np.float64).reshape(-1, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -217,7 +199,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
                 for v, n in (*zip(ids[a].tolist(), size2[b].tolist(), strict=True), *zip(ids2[b].tolist(), size[a].tolist(), strict=True)):
                     counted[v] = counted.get(v, 0) + n
                 edges += zip(ids[a].tolist(), ids2[b].tolist(), strict=True)
-        kept = _forest(edges)
+        kept = forest(edges)
         a = [*counted, *(u for u, _ in kept)]
         b = [*([None] * len(counted)), *(v for _, v in kept)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counted.values(), *([0] * len(kept))], pa.int64())})

@@ -218,7 +218,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         held: list[np.ndarray] = []
         for _, _, _, (key, first) in _read(batches, n):
             held.append(entries(key, first, r, large, percent))
-            if sum(map(len, held)) > 1_000_000:
+            if sum(map(len, held)) > 400_000:
                 yield packed(held)
                 held = []
         if held:
@@ -293,7 +293,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             ok = []
             for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))

@@ -103,7 +103,7 @@ def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | No
     last = last.groupBy("source", "block_key", "left", "doc_key", "name", "n").agg(F.sum("n").alias("sum"))
     place = F.struct("doc_key", "name", "n")
     last = last.withColumn("sum", F.sum("sum").over(Window.partitionBy("source").orderBy(place))).where("sum <= left").groupBy("source").agg(F.max(place).alias("doc"))
-    ends = dealt.join(last, "source", "left").select("source", F.struct("block_key", "block").alias("end_block"), F.col("doc").alias("end_doc"))
+    ends = dealt.join(last, "source", "left").select("source", F.struct("block_key", "block").alias("_end_block"), F.col("doc").alias("_end_doc"))
     return each.join(ends, "source", "left"), bits
 
 
@@ -115,12 +115,12 @@ def mix(docs: DataFrame, evenness: float = 0.95, repetition: float = 4.0, budget
     """Every copy dealt: the columns of ``docs``, then _n_tokens, _exponent, _weight, _epoch and _order, by which an epoch of
     a source is read. The columns start with an underscore so that they clash with none of the table's."""
     sources, bits = plan(docs, evenness, repetition, budget, key)
-    table = _by_source(cut(sources).select(F.col("source").alias("_source"), F.col("exponent").alias("_exponent"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), "end_block", "end_doc"))
+    table = _by_source(cut(sources).select(F.col("source").alias("_source"), F.col("exponent").alias("_exponent"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), "_end_block", "_end_doc"))
     out = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_n_tokens", tokens()).withColumn("_block", _block(key, bits)).join(table, "_source")
     block_key, doc_key = _prefix(F.col("_epochs"), F.col("_source"), F.col("_block")), _prefix(F.col("_epochs"), F.col("_source"), _id(key))
     at = F.struct(block_key.alias("block_key"), F.col("_block").alias("block"))
     here = F.struct(doc_key.alias("doc_key"), _id(key).alias("name"), F.col("_n_tokens").alias("n"))
-    more = (at < F.col("end_block")) | ((at == F.col("end_block")) & F.coalesce(here <= F.col("end_doc"), F.lit(False)))
+    more = (at < F.col("_end_block")) | ((at == F.col("_end_block")) & F.coalesce(here <= F.col("_end_doc"), F.lit(False)))
     out = out.withColumn("_copies", F.col("_epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).where("_copies > 0")
     out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     order = F.concat(_prefix(F.col("_epoch"), F.col("_source"), F.col("_block")), _prefix(F.col("_epoch"), F.col("_source"), _id(key)))

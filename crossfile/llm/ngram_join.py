@@ -99,7 +99,7 @@ def boundary(histogram: list[tuple[int, int]], percent: int) -> int:
     n, count = (np.array(x, dtype=float) for x in zip(*sorted(histogram), strict=True))
     e = allowed(n.astype(np.int64), percent).astype(float)
     subsets, lists = count * (e + 2) * (e + 1) / 2, count * (e + 1) * LIST_COST
-    options = np.append(n, n[-1] + 1)
+    options = np.append(n, n[-1] * 100 // percent + 2)
     cost = [subsets[n < x].sum() + lists[n * 100 >= x * percent].sum() for x in options]
     return int(options[int(np.argmin(cost))])
 

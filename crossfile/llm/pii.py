@@ -155,10 +155,12 @@ def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300) -> np.n
     x = np.array([_one_hot(p) for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
     n /= n.sum()
-    w = np.zeros(x.shape[1])
+    # Weights are drawn to one a vote, so that votes never seen together in the corpus still count.
+    start = np.array([0.0, *[-1.0, 1.0] * len(LABELERS), 0.0, 0.0, 0.0])
+    w = start.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (n * (post - p)) - 1e-3 * w)
+        step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (n * (post - p)) - 1e-3 * (w - start))
         w += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfile.llm.components import components
+from crossfile.llm.components import components, forest
 from crossfile.llm.frames import cut, small
 from crossfile.llm.text import Words, buffers, inside, mix, slices, windows
 
@@ -40,6 +40,8 @@ CANDIDATES_BROADCAST = 1 << 20
 #: Elements to a bucket.
 BUCKET = 1 << 18
 BLOCK = 2048
+#: Sets of a component that one task holds; two such blocks meet in a task.
+GROUP = 512
 _U = np.uint64
 
 
@@ -193,7 +195,7 @@ def _meet(group: np.ndarray, large: int, percent: int) -> Iterator[tuple[np.ndar
 
 
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b): names of classes that are similar, d, n_shingles, name of every row). docs: columns d, t."""
+    """(links as ``_verified`` gives them, d, n_shingles, name of every row). docs: columns d, t."""
     spark = docs.sparkSession
     about = cut(describe(docs, n))
     ranks = Ranks(sketch(about))
@@ -287,18 +289,54 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     else:
         held = whole(None).join(wanted, "name", "left_semi")
     held = held.groupBy("name").agg(F.first("s").alias("s"))
-    both = pairs.join(held.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a binary, b binary"), about
+    return _verified(held, components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), percent), about
+
+
+def _verified(held: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n) from sets (name, s) and the candidate component of each (u, component): n links of a where b is null, else an
+    edge of a spanning forest of the links.
+
+    A set is sent once, not once per pair: components share tasks, and one of more than GROUP sets is dealt to blocks, of which
+    every two meet in a task of their own.
+    """
+    of = cut(of)
+    tasks = of.count() // (2 * GROUP) + 61
+    sizes = of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    placed = of.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    rows = held.join(placed, F.col("name") == F.col("u")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("long")).otherwise(F.xxhash64("component")).alias("task"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", "name", "s",
+    )
+
+    def check(group: pa.Table) -> pa.Table:
+        counted: dict[bytes, int] = {}
+        edges: list[tuple[bytes, bytes]] = []
+        part, i, j = group.column("component").to_pylist(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        name, block = group.column("name").to_pylist(), np.array(group.column("block").to_pylist())
+        members: dict[bytes, list[int]] = {}
+        for k, c in enumerate(part):
+            members.setdefault(c, []).append(k)
+        for places in members.values():
+            own = [np.frombuffer(group.column("s")[k].as_buffer(), _U) for k in places]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            bits, n, at = parities(np.concatenate(own), first), np.diff(first), block[places]
+            for x in range(len(places)):
+                y = np.arange(x + 1, len(places))
+                y = y[(at[y] != at[x]) if i != j else np.ones(len(y), bool)]
+                if len(y):
+                    differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    for k in y[100 * (n[x] + n[y] - differ) >= percent * (n[x] + n[y] + differ)].tolist():
+                        common = len(np.intersect1d(own[x], own[k], assume_unique=True))
+                        if 100 * common >= percent * (n[x] + n[k] - common):
+                            edges.append((name[places[x]], name[places[k]]))
+        for e in edges:
+            for v in e:
+                counted[v] = counted.get(v, 0) + 1
+        kept = forest(edges)
+        return pa.table({"a": pa.array([*counted, *(e[0] for e in kept)], pa.binary()), "b": pa.array([*([None] * len(counted)), *(e[1] for e in kept)], pa.binary()), "n": pa.array([*counted.values(), *([0] * len(kept))], pa.int64())})
+
+    return rows.groupBy("task", "i", "j").applyInArrow(check, "a binary, b binary, n long")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,8 +344,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     docs = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
     links, about = link(docs, n, percent)
     classes = about.where("n_shingles > 0").groupBy("name").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    links = cut(links.join(classes.select(F.col("name").alias("a"), F.col("rep").alias("u")), "a").join(classes.select(F.col("name").alias("b"), F.col("rep").alias("v")), "b").select("a", "b", "u", "v"))
-    degree = links.select(F.col("a").alias("name")).union(links.select("b")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
+    found = cut(links)
+    links = cut(found.where("b is not null").join(classes.select(F.col("name").alias("a"), F.col("rep").alias("u")), "a").join(classes.select(F.col("name").alias("b"), F.col("rep").alias("v")), "b").select("u", "v"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_links"))
     of = components(links.select("u", "v")).withColumnRenamed("u", "rep")
     classes = classes.join(of, "rep", "left").join(degree, "name", "left").select("name", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
     out = about.join(classes.withColumnRenamed("name", "_name"), (about.name == F.col("_name")) & (about.n_shingles > 0), "left")

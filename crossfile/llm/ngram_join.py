@@ -9,7 +9,8 @@ many elements a set may hold that the other lacks).
 
 The size where small ends is where the total cost of subsets and lists, summed over the corpus's histogram of sizes, is least.
 What meets is filtered by size, by the two positions (elements before the first common one are not shared) and by parity bits,
-then verified on the whole sets. Elements are ordered by a count sketch of fixed size over all texts, so that passages common to many
+then verified on the whole sets. Where many meet on one key, as copies with small changes do, they aren't paired: their bits are sent
+to where they are compared block by block, and what leaves is a spanning forest. Elements are ordered by a count sketch of fixed size over all texts, so that passages common to many
 documents come last and are looked up only by sets made of nothing else. Entries are packed as in ``substring``: a row is one
 batch's entries for one bucket. Links are joined to components by stars; documents aren't collected anywhere.
 
@@ -32,7 +33,8 @@ from crossfile.llm.frames import cut, small
 from crossfile.llm.text import Words, buffers, inside, mix, slices, windows
 
 SKETCH = 1 << 18
-PARITY = 2048
+#: Parity bits of a set: the next power of two above its size, between these.
+PARITY = 2048, 1 << 16
 #: Cost of an inverted list's entry, which is scanned against the list, in subset entries, which rarely meet.
 LIST_COST = 4.0
 #: Candidate classes up to this number are sent to where the texts are; more are joined by shuffle.
@@ -42,6 +44,10 @@ BUCKET = 1 << 18
 BLOCK = 2048
 #: Sets of a component that one task holds; two such blocks meet in a task.
 GROUP = 512
+#: Sets that meet on more than so many are compared as a crowd, by bits.
+CROWD = 32
+#: Parity bits of a crowd that one task holds; two such blocks meet in a task.
+CROWD_GROUP = 4096
 _U = np.uint64
 
 
@@ -113,13 +119,62 @@ def _read(batches: Iterator[pa.RecordBatch], n: int):
             yield b, lo, hi, sets(Words(data, offsets, lo, hi, lower=True), n)
 
 
-def parities(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """PARITY bits for each row: whether an odd number of its elements falls on each. Two rows' bits differ in no more places
-    than their sets in elements."""
-    n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    odd = np.bincount(row * PARITY + (mix(key) % _U(PARITY)).astype(np.int64), minlength=n * PARITY).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, PARITY), axis=1)
+def parities(key: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity bits for each row: whether an odd number of its elements falls on each. Two rows' bits differ in no more places than
+    their sets in elements. Bits fold: half as many are the two halves' exclusive or."""
+    size, at = np.diff(first), mix(key)
+    length = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *PARITY)
+    out: list[bytes] = [b""] * len(size)
+    for n in np.unique(length).tolist():
+        rows = np.flatnonzero(length == n)
+        for lo in range(0, len(rows), stripe := max(1, (1 << 22) // n)):
+            some = rows[lo : lo + stripe]
+            inner = np.concatenate([at[first[r] : first[r + 1]] for r in some])
+            cell = np.repeat(np.arange(len(some)) * n, size[some]) + (inner & _U(n - 1)).astype(np.int64)
+            odd = np.packbits((np.bincount(cell, minlength=len(some) * n) & 1).astype(np.uint8).reshape(len(some), n), axis=1)
+            for r, x in zip(some.tolist(), odd, strict=True):
+                out[r] = x.tobytes()
+    return out
+
+
+class Bits:
+    """Parity bits of many sets, by their length."""
+
+    def __init__(self, held: list[bytes]):
+        self.length = np.array([len(x) // 8 for x in held], dtype=np.int64)
+        self.row = np.zeros(len(held), dtype=np.int64)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            there = np.flatnonzero(self.length == n)
+            self.row[there] = np.arange(len(there))
+            self.folded[n, n] = np.frombuffer(b"".join(held[i] for i in there.tolist()), _U).reshape(-1, n)
+
+    def _of(self, n: int, to: int) -> np.ndarray:
+        """The bits of all sets of length n, folded."""
+        if (n, to) not in self.folded:
+            wide = self._of(n, 2 * to)
+            self.folded[n, to] = wide[:, :to] ^ wide[:, to:]
+        return self.folded[n, to]
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many bits of each set x and of its y differ."""
+        out, of = np.zeros(len(y), dtype=np.int64), self.length[x] * (1 << 32) + self.length[y]
+        for pair in np.unique(of).tolist():
+            there, (n, m) = np.flatnonzero(of == pair), divmod(pair, 1 << 32)
+            to = min(n, m)
+            for lo in range(0, len(there), BLOCK):
+                some = there[lo : lo + BLOCK]
+                out[some] = np.bitwise_count(self._of(n, to)[self.row[x[some]]] ^ self._of(m, to)[self.row[y[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def alike(self, x: int, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets y may be similar to x, from the sizes n of all."""
+        return alike(self.differ(np.full(len(y), x), y), n[x] + n[y], percent)
+
+
+def alike(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """|A - B| + |B - A| = d of total makes a similarity of (total - d) / (total + d)."""
+    return 100 * (total - differ) >= percent * (total + differ)
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
@@ -131,7 +186,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
         for b, lo, hi, (key, first) in _read(batches, n):
             kind = b.schema[0].type
             total += np.bincount((mix(key) >> _U(46)).astype(np.int64), minlength=SKETCH)
-            columns = [b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([x.tobytes() for x in names(key, first)], pa.binary()), pa.array([x.tobytes() for x in parities(key, first)], pa.binary()), pa.nulls(hi - lo, pa.int32())]
+            columns = [b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array([x.tobytes() for x in names(key, first)], pa.binary()), pa.array(parities(key, first), pa.binary()), pa.nulls(hi - lo, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["d", "n_shingles", "name", "bits", "cell"])
         at = np.flatnonzero(total)
         if len(at):
@@ -194,6 +249,59 @@ def _meet(group: np.ndarray, large: int, percent: int) -> Iterator[tuple[np.ndar
                 yield group["name"][x + i], group["name"][y + j]
 
 
+class Crowds:
+    """The crowds of one bucket. A key's crowd joins another that holds half of it, as long as that doesn't grow beyond twice its
+    first size, for copies meet on many keys."""
+
+    def __init__(self):
+        self.of: dict[bytes, int] = {}
+        self.members: list[set[bytes]] = []
+        self.key: list[int] = []
+        self.most: list[int] = []
+
+    def add(self, key: int, names: list[bytes]) -> None:
+        near: dict[int, int] = {}
+        for x in names:
+            if (c := self.of.get(x)) is not None:
+                near[c] = near.get(c, 0) + 1
+        c = max(near, key=near.get, default=None)
+        if c is None or 2 * near[c] < len(names) or len(self.members[c].union(names)) > self.most[c]:
+            c = len(self.key)
+            self.members.append(set())
+            self.key.append(key)
+            self.most.append(2 * len(names))
+        self.members[c].update(names)
+        self.of.update(dict.fromkeys(names, c))
+
+
+def _crowded(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of what may be similar in each crowd (a, crowd)."""
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / CROWD_GROUP).cast("int").alias("blocks"))
+    placed = members.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    rows = placed.join(bits.withColumnRenamed("name", "a"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "bits", "n")
+
+    def check(group: pa.Table) -> pa.Table:
+        name, n, at = group.column("a").to_pylist(), group.column("n").to_numpy(), group.column("block").to_numpy()
+        held = Bits(group.column("bits").to_pylist())
+        apart = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        # Each turn takes in all that one set reaches; sets left over meet the next.
+        left, edges = np.arange(len(name)), []
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                x = todo.pop()
+                hit = held.alike(x, left, n, percent)
+                if apart:
+                    hit &= at[left] != at[x]
+                edges += [(name[x], name[y]) for y in left[hit].tolist()]
+                todo += left[hit].tolist()
+                left = left[~hit]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
+
+    return rows.groupBy("crowd", "i", "j").applyInArrow(check, "a binary, b binary")
+
+
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links as ``_verified`` gives them, d, n_shingles, name of every row). docs: columns d, t."""
     spark = docs.sparkSession
@@ -234,7 +342,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(key)))
-        a, b = [], []
+        a, b, crowds = [], [], Crowds()
         for s, k in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             group = found[order[s : s + k]]
             name = np.ascontiguousarray(group["name"]).view(_U).reshape(-1, 2)
@@ -244,32 +352,37 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
             once = np.ones(k, dtype=bool)
             once[1:] = (name[by[1:]] != name[by[:-1]]).any(axis=1)
             group = group[by[once]]
-            if len(group) > 1:
+            if len(group) > CROWD:
+                crowds.add(int(group["key"][0].astype(np.int64)), [x.tobytes() for x in group["name"]])
+            elif len(group) > 1:
                 for x, y in _meet(group, large, percent):
                     a.append(x)
                     b.append(y)
+        crowded = [(x, key) for key, names in zip(crowds.key, crowds.members, strict=True) for x in names]
+        many = pa.table({"a": pa.array([x for x, _ in crowded], pa.binary()), "b": pa.nulls(len(crowded), pa.binary()), "crowd": pa.array([x for _, x in crowded], pa.int64())})
         if not a:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+            return many
         pairs = np.stack([np.concatenate(a).view(_U).reshape(-1, 2), np.concatenate(b).view(_U).reshape(-1, 2)], axis=1)
         swap = (pairs[:, 0, 0] > pairs[:, 1, 0]) | ((pairs[:, 0, 0] == pairs[:, 1, 0]) & (pairs[:, 0, 1] > pairs[:, 1, 1]))
         pairs[swap] = pairs[swap][:, ::-1]
         flat = np.unique(np.ascontiguousarray(pairs).reshape(-1, 4), axis=0)
-        return pa.table({c: pa.array([x.tobytes() for x in np.ascontiguousarray(flat[:, i : i + 2])], pa.binary()) for c, i in (("a", 0), ("b", 2))})
+        few = {c: pa.array([x.tobytes() for x in np.ascontiguousarray(flat[:, i : i + 2])], pa.binary()) for c, i in (("a", 0), ("b", 2))}
+        return pa.concat_tables([pa.table(few | {"crowd": pa.nulls(len(flat), pa.int64())}), many])
 
-    pairs = docs.mapInArrow(post, "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary")
+    came = cut(docs.mapInArrow(post, "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary, crowd long"))
+    pairs = came.where("crowd is null").select("a", "b")
     # What differs in more bits than it may in elements isn't similar: bits are far smaller than sets.
     bits = about.where("n_shingles > 0").groupBy("name").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     met = pairs.distinct().join(bits.select(F.col("name").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a")), "a").join(bits.select(F.col("name").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b")), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            # |A - B| + |B - A| = d of total: (total - d) / (total + d) is the similarity.
-            yield b.select(["a", "b"]).filter(pa.array(100 * (total - differ) >= percent * (total + differ)))
+            k = np.arange(b.num_rows)
+            differ = Bits(b.column("bits_a").to_pylist() + b.column("bits_b").to_pylist()).differ(k, k + b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(alike(differ, b.column("n_a").to_numpy() + b.column("n_b").to_numpy(), percent)))
 
-    pairs = cut(met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a binary, b binary"))
+    few = met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a binary, b binary")
+    pairs = cut(few.union(_crowded(came.where("crowd is not null").select("a", "crowd"), bits, percent)))
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
 
     def whole(only: set[bytes] | None):
@@ -320,13 +433,12 @@ def _verified(held: DataFrame, of: DataFrame, percent: int) -> DataFrame:
         for places in members.values():
             own = [np.frombuffer(group.column("s")[k].as_buffer(), _U) for k in places]
             first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            bits, n, at = parities(np.concatenate(own), first), np.diff(first), block[places]
+            bits, n, at = Bits(parities(np.concatenate(own), first)), np.diff(first), block[places]
             for x in range(len(places)):
                 y = np.arange(x + 1, len(places))
                 y = y[(at[y] != at[x]) if i != j else np.ones(len(y), bool)]
                 if len(y):
-                    differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                    for k in y[100 * (n[x] + n[y] - differ) >= percent * (n[x] + n[y] + differ)].tolist():
+                    for k in y[bits.alike(x, y, n, percent)].tolist():
                         common = len(np.intersect1d(own[x], own[k], assume_unique=True))
                         if 100 * common >= percent * (n[x] + n[k] - common):
                             edges.append((name[places[x]], name[places[k]]))

@@ -60,8 +60,12 @@ def roots(edges):
     return root
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_ngram_join_equals_brute_force(docs, rows, n, percent):
+@pytest.mark.parametrize("n,percent,crowd", [(3, 90, None), (5, 80, None), (3, 90, 2), (5, 80, 2)])
+def test_ngram_join_equals_brute_force(docs, rows, n, percent, crowd, monkeypatch):
+    if crowd:
+        for name, value in (("CROWD", crowd), ("CROWD_GROUP", 5), ("GROUP", 7), ("BLOCK", 3)):
+            monkeypatch.setattr(ngram_join, name, value)
+
     def shingles(t):
         w = WORD.findall((t or "").translate(LOWER))
         return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])

@@ -135,6 +135,18 @@ def reach_doors(spark, sf):
     return found.where("hops <= 5").select("door", "hops", F.concat_ws(">", "path").alias("path"))
 
 
+@query()
+def reach_doors_whole(spark, sf):
+    """reach_doors on all edges, at any number of hops, with every node a door."""
+    return _reach_whole(_edges(spark, sf, 1))
+
+
+def _reach_whole(edges: DataFrame) -> DataFrame:
+    e = edges.cache()
+    found = graph.reaching(e, e.agg(F.max("dst").alias("node")).where("node is not null"), graph.vertices(e))
+    return found.select("door", "hops", F.concat_ws(">", "path").alias("path"))
+
+
 @query(f"""{SQL_EVENTS}, p(door, path) as (select distinct src, [src] from edges union all select door, list_append(path, e.dst) from p join edges e on p.path[-1] = e.src where not list_contains(path, e.dst)),
 k as (select door, path, row_number() over (partition by door order by len(path) desc, path) r from p) select door, len(path) - 1 hops, array_to_string(path, '>') path from k where r = 1""")
 def longest_simple_chain(spark, sf):

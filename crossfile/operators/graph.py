@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from crossfile.operators.lineage import cut
 
-#: Vertex counts up to which reachability is squared; above, strong components are found by colouring.
+#: Vertex counts up to which reachability is squared; above, and where edges are so many that squares are large, strong components
+#: are found by colouring.
 SQUARED = 5_000
 
 
@@ -91,7 +92,8 @@ def _coloured(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each node's strong component, for components of two nodes or more."""
     edges = cut(_simple(edges))
-    if vertices(edges).count() <= SQUARED:
+    n = vertices(edges).count()
+    if n <= SQUARED and n * edges.count() <= SQUARED**2:
         pairs = closure(edges)
         both = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
         return both.groupBy("node").agg(F.min("other").alias("component"), F.count_distinct("other").alias("n")).where("n > 1").select("node", "component")

@@ -84,6 +84,16 @@ def import_graph_degrees(spark, sf):
     return checks.instability(weighted_edges(spark, sf)).select("node", "fan_in", "fan_out")
 
 
+SQL_INSTABILITY = """o as (select src node, count(*) fan_out from edges group by 1), i as (select dst node, count(*) fan_in from edges group by 1),
+k as (select coalesce(o.node, i.node) node, coalesce(fan_in, 0) fan_in, coalesce(fan_out, 0) fan_out from o full join i on o.node = i.node)
+select node, fan_in, round(fan_out / (fan_in + fan_out), 9) instability from k where fan_in >= 5"""
+
+
+@query(f"{_sql_edges(1)}, {SQL_INSTABILITY}")
+def instability_whole(spark, sf):
+    return checks.instability(_edges(spark, sf, 1)).where("fan_in >= 5").select("node", "fan_in", F.round("instability", 9).alias("instability"))
+
+
 @query(f"""{_sql_edges(10)}, o as (select src node, count(*) fan_out from edges group by 1), i as (select dst node, count(*) fan_in from edges group by 1),
 k as (select coalesce(o.node, i.node) node, coalesce(fan_in, 0) fan_in, coalesce(fan_out, 0) fan_out from o full join i on o.node = i.node)
 select node, fan_in, round(fan_out / (fan_in + fan_out), 9) instability from k where fan_in >= 5""")
@@ -108,20 +118,41 @@ def scc_modules(spark, sf):
     return graph.strong_components(_edges(spark, sf, 10))
 
 
+@query(f"""{_sql_edges(1)}, {SQL_CLOSURE} select x.a node, min(y.a) component from reach x join reach y on x.a = y.b and x.b = y.a group by x.a having count(distinct y.a) > 1""")
+def scc_modules_whole(spark, sf):
+    return graph.strong_components(_edges(spark, sf, 1))
+
+
 @query(f"""{_sql_edges(10)}, twoway as (select src a, dst b from edges union select dst, src from edges), reach(a, b) as (select a, b from twoway union select r.a, e.b from reach r join twoway e on r.b = e.a)
 select a node, least(a, min(b)) component from reach group by a""")
 def components(spark, sf):
     return graph.components(_edges(spark, sf, 10))
 
 
+@query(f"""{_sql_edges(1)}, twoway as (select src a, dst b from edges union select dst, src from edges), reach(a, b) as (select a, b from twoway union select r.a, e.b from reach r join twoway e on r.b = e.a)
+select a node, least(a, min(b)) component from reach group by a""")
+def components_whole(spark, sf):
+    return graph.components(_edges(spark, sf, 1))
+
+
 @query(f"""{_sql_edges(8)}, ends as (select min(src) a, max(dst) b from edges),
 bfs(node, path, hops) as (select a, [a], 0 from ends union all select e.dst, list_append(path, e.dst), hops + 1 from bfs join edges e on bfs.node = e.src where not list_contains(path, e.dst) and hops < 4)
 select len(path) - 1 hops, array_to_string(path, '>') path from bfs, ends where node = b order by len(path), bfs.path limit 1""")
 def shortest_flow(spark, sf):
-    e = _edges(spark, sf, 8).cache()
+    return _flow_ends(_edges(spark, sf, 8))
+
+
+@query()
+def shortest_flow_whole(spark, sf):
+    """shortest_flow on all edges, at any number of hops."""
+    return _flow_ends(_edges(spark, sf, 1))
+
+
+def _flow_ends(edges: DataFrame) -> DataFrame:
+    e = edges.cache()
     ends = e.agg(F.min("src"), F.max("dst")).first()
     if ends[0] is None:
-        return spark.createDataFrame([], "hops int, path string")
+        return e.sparkSession.createDataFrame([], "hops int, path string")
     return graph.flow(e, list(ends)).select((F.size("path") - 1).alias("hops"), F.concat_ws(">", "path").alias("path"))
 
 
@@ -169,12 +200,28 @@ def layer_depth(spark, sf):
     return graph.layers(_edges(spark, sf, 12))
 
 
+@query()
+def layer_depth_whole(spark, sf):
+    """layer_depth on all edges, however deep; nodes on a cycle share a layer."""
+    return graph.layers(_edges(spark, sf, 1))
+
+
+@query(f"""{_sql_edges(1)}, r as (select s_suppkey k, n_regionkey rank from supplier join nation on s_nationkey = n_nationkey)
+select src, dst, b.rank - a.rank up from edges join r a on src = a.k join r b on dst = b.k where b.rank > a.rank""")
+def layer_violation_whole(spark, sf):
+    return _violations(spark, sf, 1)
+
+
 @query(f"""{_sql_edges(10)}, r as (select s_suppkey k, n_regionkey rank from supplier join nation on s_nationkey = n_nationkey)
 select src, dst, b.rank - a.rank up from edges join r a on src = a.k join r b on dst = b.k where b.rank > a.rank""")
 def layer_violation(spark, sf):
+    return _violations(spark, sf, 10)
+
+
+def _violations(spark: SparkSession, sf: str, least: int) -> DataFrame:
     ranks = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     a, b = ranks.toDF("src", "low"), ranks.toDF("dst", "high")
-    return _edges(spark, sf, 10).join(a, "src").join(b, "dst").where("high > low").select("src", "dst", (F.col("high") - F.col("low")).alias("up"))
+    return _edges(spark, sf, least).join(a, "src").join(b, "dst").where("high > low").select("src", "dst", (F.col("high") - F.col("low")).alias("up"))
 
 
 HREF = r'href="([^"]*)"'

@@ -3,7 +3,10 @@
 from collections import defaultdict
 
 import __spark_entry__
+import duckdb
+import pytest
 from crossfile import queries
+from crossfile.operators import graph
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,3 +41,45 @@ def test_reach_doors_whole(spark):
             assert any(h > 5 for _, h, _ in want) and any(n % 2 for n, _, _ in want)
         else:
             assert {tuple(r) for r in __spark_entry__.queries()["reach_doors_whole"](spark, SF).collect()} == want
+
+
+def test_shortest_flow_whole(spark):
+    edges = pairs(spark, 1)
+    path = least_paths(edges, min(a for a, _ in edges))[max(b for _, b in edges)]
+    got = __spark_entry__.queries()["shortest_flow_whole"](spark, SF).collect()
+    assert [tuple(r) for r in got] == [(len(path) - 1, ">".join(map(str, path)))]
+
+
+def test_layer_depth_whole(spark):
+    for least in (1, 10):  # one ring, and many layers with rings
+        edges = pairs(spark, least)
+        nodes = {x for e in edges for x in e}
+        reach = {n: set(least_paths(edges, n)) for n in nodes}
+        group = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+        above = {n: set() for n in group.values()}
+        for a, b in edges:
+            above[group[a]] |= {group[b]} - {group[a]}
+        layer = lambda g: max((layer(h) + 1 for h in above[g]), default=0)
+        want = {n: layer(g) for n, g in group.items()}
+        assert {r.node: r.layer for r in graph.layers(queries._edges(spark, SF, least)).collect()} == want
+    got = __spark_entry__.queries()["layer_depth_whole"](spark, SF).collect()
+    assert len(got) == len({x for e in pairs(spark, 1) for x in e})
+
+
+@pytest.mark.parametrize("name", ["instability_whole", "scc_modules_whole", "components_whole", "layer_violation_whole"])
+def test_whole_queries_equal_their_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, SF).collect()]
+    assert got and sorted(got) == sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+def test_dense_strong_components(spark):
+    """More edges than squaring takes: the other way gives the same."""
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a // 20 <= b // 20], "src int, dst int")
+    want = {(n, n // 20 * 20) for n in range(40)}
+    for limit in (41, 5_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(graph, "SQUARED", limit)
+            assert {(r.node, r.component) for r in graph.strong_components(edges).collect()} == want

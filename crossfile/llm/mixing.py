@@ -42,8 +42,8 @@ def _block(key: str, bits: int) -> Column:
     return F.shiftright(F.conv(_prefix(_id(key)), 16, 10).cast("long"), 48 - bits)
 
 
-def exponent(shares: Column, evenness: float, repetition: float, scale: float) -> Column:
-    """The exponent for an array of shares. ``scale``: budget / all tokens."""
+def exponent(shares: Column, evenness: float, repetition: float, scale: float | None) -> Column:
+    """The exponent for an array of shares. ``scale``: budget / all tokens; None for the least that deals every source whole."""
 
     def powered(a: Column) -> Column:
         return F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, a))
@@ -54,6 +54,8 @@ def exponent(shares: Column, evenness: float, repetition: float, scale: float) -
         return h >= evenness * F.log(F.size(shares).cast("double")) - 1e-9
 
     def spared(a: Column) -> Column:
+        if scale is None:  # the largest source is dealt once, and of the others the smallest is repeated most
+            return F.pow(F.array_max(shares) / F.array_min(shares), 1 - a) <= repetition + 1e-12
         return scale * F.pow(F.array_min(shares), a) / powered(a) <= repetition * F.array_min(shares) + 1e-12
 
     def bisect(left_holds, lo: float, hi: float) -> Column:
@@ -78,7 +80,7 @@ def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | No
     # One row: an entry for each source, in order, so that sums of doubles come out alike every time.
     mix = sums.agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("s")).select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.total).alias("all"))
     mix = mix.withColumn("p", F.transform("s", lambda x: x.total / F.col("all")))
-    mix = mix.withColumn("exponent", exponent(F.col("p"), evenness, repetition, 1.0 if budget is None else budget))
+    mix = mix.withColumn("exponent", exponent(F.col("p"), evenness, repetition, budget))
     mix = mix.withColumn("w", F.transform("p", lambda p: F.pow(p, F.col("exponent")))).withColumn("wsum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
     scale = F.array_max(F.zip_with("p", "w", lambda p, w: p / (w / F.col("wsum")))) if budget is None else F.lit(float(budget))
     each = (
@@ -86,6 +88,7 @@ def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | No
         .select("all", "exponent", "scale", "wsum", F.explode(F.arrays_zip("s", "w")).alias("x"))
         .select(F.col("x.s.source").alias("source"), F.col("x.s.total").alias("total"), "exponent", (F.col("x.w") / F.col("wsum")).alias("weight"), "all", "scale")
         .withColumn("quota", F.floor(F.col("scale") * F.col("all") * F.col("weight") + 1e-6).cast("long"))
+        .withColumn("quota", F.least("quota", F.floor(repetition * F.col("total")).cast("long")) if budget is None else F.col("quota"))  # the exponent is rounded
         .withColumn("epochs", F.expr("quota div total").cast("int"))
         .withColumn("rest", F.col("quota") - F.col("epochs") * F.col("total"))
     )

@@ -3,8 +3,10 @@
 Equal vectors of a label are one class. A label's classes are dealt to shards of about ``SHARD`` vectors; each shard's graph is
 built once and written to the shared folder. Every shard is searched for the vectors of every shard of its label: a task holds
 two shards, looks each one's vectors up in the other's graph, and takes the union of what both searches find. A search is a beam
-that then spreads along edges through everything above the threshold. Each task audits itself: a sample of its queries is
-answered exactly, and while recall is below ``RECALL`` the beam is doubled; a beam as wide as the shard is an exact scan.
+that then spreads along edges through everything above the threshold. Each task audits itself: queries are answered exactly until
+``AUDIT`` of them have links but at most ``M``, and while the mean recall of these, or of those with more links, is below ``RECALL``,
+each query counting alike, the beam is doubled; a beam as wide as the shard is an exact scan. Exact answers are kept, so where few
+queries have few links, none is missed.
 Every pair found is verified by its cosine in double precision before it links. A task sends counts and a spanning forest of its
 links, never all pairs of a group; components are then joined by stars.
 
@@ -135,17 +137,35 @@ class Graph:
         return cls(x, levels)
 
 
-def search(graph: Graph, queries: np.ndarray, least: float) -> tuple[list[list[int]], int]:
-    """(places above ``least`` for each query, beam): beams widen until the audit passes."""
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    true = [set(np.flatnonzero(graph.x @ queries[i] >= least).tolist()) for i in sample]
+def search(graph: Graph, queries: np.ndarray, least: float, same: bool = False) -> tuple[list[list[int]], int]:
+    """(places above ``least`` for each query, beam): beams widen until the audit passes. same: the queries are the graph's own
+    vectors, in order, and a vector found by itself doesn't count."""
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    true: dict[int, list[int]] = {}
+    few: list[int] = []
+    many: list[int] = []
+    for at in range(0, len(order), AUDIT):  # until enough of the queries have links, but few
+        part = order[at : at + AUDIT]
+        for i, row in zip(part.tolist(), queries[part] @ graph.x.T >= least, strict=True):
+            true[i] = np.flatnonzero(row).tolist()
+            links = len(true[i]) - same
+            if links:
+                (few if links <= M else many).append(i)
+        if len(few) >= AUDIT:
+            break
+    if len(true) == len(queries):
+        return [true[i] for i in range(len(queries))], len(graph.x)
+
+    def recall(i: int, width: int) -> float:
+        t = set(true[i]) - ({i} if same else set())
+        return len(t.intersection(graph.above(queries[i], least, width))) / len(t)
+
     width = BEAM
     while width < len(graph.x):
-        found = sum(len(t.intersection(graph.above(queries[i], least, width))) for i, t in zip(sample, true, strict=True))
-        if found >= RECALL * sum(map(len, true)):
+        if all(np.mean([recall(i, width) for i in sample]) >= RECALL for sample in (few[:AUDIT], many[:AUDIT]) if sample):
             break
         width *= 2
-    return [graph.above(q, least, width) for q in queries], width
+    return [true[i] if i in true else graph.above(q, least, width) for i, q in enumerate(queries)], width
 
 
 def _vectors(blob: pa.Scalar, dim: int) -> np.ndarray:
@@ -187,7 +207,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
             ids, ids2 = (np.frombuffer(row[c].as_py(), np.int64) for c in ("rep", "rep2"))
             size, size2 = (np.frombuffer(row[c].as_py(), np.int64) for c in ("size", "size2"))
             slack = least - 1e-9
-            pairs = {(j, k) for k, hits in enumerate(search(Graph.unpack(x, row["g"].as_py()), y, slack)[0]) for j in hits}
+            pairs = {(j, k) for k, hits in enumerate(search(Graph.unpack(x, row["g"].as_py()), y, slack, same)[0]) for j in hits}
             if not same:
                 pairs |= {(j, k) for j, hits in enumerate(search(Graph.unpack(y, row["g2"].as_py()), x, slack)[0]) for k in hits}
             else:

@@ -3,7 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from crossfile.llm import hnsw
 
 
 @pytest.mark.parametrize("units", [[200, *[20] * 18, 1], [200, *[20] * 10, *[2] * 9]])
@@ -12,3 +14,25 @@ def test_no_source_is_repeated_more_than_four_times(spark, units):
     out = corpus_pipeline.source_weights(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), "").collect()
     copies = Counter(r.doc_id for r in out)
     assert set(copies) == {r[0] for r in rows} and max(copies.values()) == 4
+
+
+@pytest.mark.parametrize("group", [0, 300])
+def test_a_lone_pair_is_found_though_no_edge_leads_to_it(group):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1000, 24))
+    x[:group] = x[0] + rng.normal(size=(group, 24)) * 0.02
+    x[900] = x[777] + rng.normal(size=24) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x)
+    g.levels = [{i: [j for j in near if j not in (777, 900)] for i, near in level.items()} for level in g.levels]
+    true = [set(np.flatnonzero(x @ q >= 0.93).tolist()) for q in x]
+    assert [set(f) for f in hnsw.search(g, x, 0.93, same=True)[0]] == true
+
+
+def test_sparse_pairs_beyond_the_audit_are_found():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 24))
+    x[500:] = x[:500] + rng.normal(size=(500, 24)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, width = hnsw.search(hnsw.Graph(x), x, 0.93, same=True)
+    assert width < len(x) and np.mean([(i + 500) % 1000 in f for i, f in enumerate(found)]) >= 0.99

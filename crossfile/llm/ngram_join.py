@@ -15,8 +15,8 @@ documents come last and are looked up only by sets made of nothing else. Entries
 batch's entries for one bucket. Links are joined to components by stars; documents aren't collected anywhere.
 
 Words are cut and lower-cased (A-Z) as the contract says; fewer words than n make one element. Null and empty texts, or texts
-without words, have no elements and are linked with nothing. Repeated rows are in one class. A null id gets its class's
-component. Extra columns are ignored. An empty table gives no rows.
+without words, have no elements and are linked with nothing. Repeated rows are in one class. A component is named by its least
+id; null ids link like others, and only a component without any id has none. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -457,9 +457,13 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     links, about = link(docs, n, percent)
     classes = about.where("n_shingles > 0").groupBy("name").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     found = cut(links)
-    links = cut(found.where("b is not null").join(classes.select(F.col("name").alias("a"), F.col("rep").alias("u")), "a").join(classes.select(F.col("name").alias("b"), F.col("rep").alias("v")), "b").select("u", "v"))
     degree = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_links"))
-    of = components(links.select("u", "v")).withColumnRenamed("u", "rep")
-    classes = classes.join(of, "rep", "left").join(degree, "name", "left").select("name", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
+    shared = classes.where("rep is not null").groupBy("rep").agg(F.min("name").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("rep", "v")
+    shared = classes.join(shared, "rep").select(F.col("name").alias("u"), "v")  # sets of one least id are one
+    edges = found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).union(shared)
+    of = components(edges).withColumnRenamed("u", "name")  # by sets, as ids may be null
+    classes = cut(classes.join(of, "name", "left").withColumn("component", F.coalesce("component", "name")))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "component").join(degree, "name", "left").select("name", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
     out = about.join(classes.withColumnRenamed("name", "_name"), (about.name == F.col("_name")) & (about.n_shingles > 0), "left")
     return out.select(F.col("d").alias(key), "n_shingles", F.coalesce("component_id", "d").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))

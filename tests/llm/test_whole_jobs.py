@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from crossfile.llm import hnsw
+from crossfile.llm import hnsw, ngram_join
 
 
 @pytest.mark.parametrize("units", [[200, *[20] * 18, 1], [200, *[20] * 10, *[2] * 9]])
@@ -36,3 +36,16 @@ def test_sparse_pairs_beyond_the_audit_are_found():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found, width = hnsw.search(hnsw.Graph(x), x, 0.93, same=True)
     assert width < len(x) and np.mean([(i + 500) % 1000 in f for i, f in enumerate(found)]) >= 0.99
+
+
+def bridge():
+    """Texts a and b, similar to 0.9 only through n."""
+    n = [f"w{i}" for i in range(100)]
+    return " ".join([*n[:-3], "x", "y", "z"]), " ".join(n), " ".join(["q", "r", "s", *n[3:]])
+
+
+def test_a_document_without_an_id_links_its_neighbours(spark):
+    a, n, b = bridge()
+    rows = [(1, a), (None, n), (2, b), (3, "other words of no one else"), (None, "alone " * 9)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.n_links) for r in got), key=str) == sorted([(1, 1, 1), (None, 1, 2), (2, 1, 1), (3, 3, 0), (None, None, 0)], key=str)

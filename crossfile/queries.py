@@ -361,6 +361,19 @@ def told_new_fixed(spark, sf):
     return snapshot_diff(snap(2), snap(3), ["user_id", "event_type"])
 
 
+@query("""with m as (select date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) mid from events), a as (select distinct user_id, event_type from events, m where ts < mid or ts is null), b as (select distinct user_id, event_type from events, m where ts >= mid)
+select coalesce(a.user_id, b.user_id) user_id, coalesce(a.event_type, b.event_type) event_type, case when a.user_id is null then 'new' when b.user_id is null then 'fixed' else 'told' end state from a full join b on a.user_id = b.user_id and a.event_type = b.event_type""")
+def told_new_fixed_whole(spark, sf):
+    """told_new_fixed on all events: those before the day in the middle of the table's time, and those from it on."""
+    from crossfile.streaming.diff import snapshot_diff
+
+    e = _t(spark, sf, "events")
+    mid = e.agg(F.expr("date_trunc('DAY', min(ts) + (max(ts) - min(ts)) / 2)").alias("mid"))
+    e = e.crossJoin(F.broadcast(mid))  # one row
+    snap = lambda late: e.where("ts >= mid" if late else "ts < mid or ts is null").select("user_id", "event_type").distinct()
+    return snapshot_diff(snap(False), snap(True), ["user_id", "event_type"])
+
+
 @query("""select event_type, json_extract_string(props, '$.k') given, count(*) n from events group by 1, 2""")
 def json_args_given(spark, sf):
     return _t(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("given")).agg(F.count(F.lit(1)).alias("n"))

@@ -83,3 +83,13 @@ def test_dense_strong_components(spark):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(graph, "SQUARED", limit)
             assert {(r.node, r.component) for r in graph.strong_components(edges).collect()} == want
+
+
+def test_told_new_fixed_whole_reads_every_event(spark):
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{SF}/events.parquet'")
+    got = [tuple(r) for r in __spark_entry__.queries()["told_new_fixed_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted(db.execute(__spark_entry__.oracle_sql()["told_new_fixed_whole"]).fetchall())
+    assert {g[:2] for g in got} == set(db.execute("select distinct user_id, event_type from events").fetchall())
+    assert len(got) > __spark_entry__.queries()["told_new_fixed"](spark, SF).count()
+    print("rows", len(got), __spark_entry__.queries()["told_new_fixed"](spark, SF).count())

@@ -169,11 +169,14 @@ class Bits:
 
     def alike(self, x: int, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
         """Which of the sets y may be similar to x, from the sizes n of all."""
-        return alike(self.differ(np.full(len(y), x), y), n[x] + n[y], percent)
+        near, out = np.flatnonzero(alike(np.abs(n[y] - n[x]), n[x] + n[y], percent)), np.zeros(len(y), dtype=bool)
+        out[near] = alike(self.differ(np.full(len(near), x), y[near]), n[x] + n[y[near]], percent)
+        return out
 
 
 def alike(differ: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
-    """|A - B| + |B - A| = d of total makes a similarity of (total - d) / (total + d)."""
+    """|A - B| + |B - A| = d of total makes a similarity of (total - d) / (total + d). The sizes' difference is a d as well, and the
+    only one that tells sets apart that are so much larger than the bits folded for them that these are full."""
     return 100 * (total - differ) >= percent * (total + differ)
 
 
@@ -379,7 +382,8 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             k = np.arange(b.num_rows)
             differ = Bits(b.column("bits_a").to_pylist() + b.column("bits_b").to_pylist()).differ(k, k + b.num_rows)
-            yield b.select(["a", "b"]).filter(pa.array(alike(differ, b.column("n_a").to_numpy() + b.column("n_b").to_numpy(), percent)))
+            n, m = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(alike(np.maximum(differ, np.abs(n - m)), n + m, percent)))
 
     few = met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a binary, b binary")
     pairs = cut(few.union(_crowded(came.where("crowd is not null").select("a", "crowd"), bits, percent)))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from crossfile.functions.scalars import is_dunder, last_name
+from crossfile.operators.lineage import cut
 from crossfile.rules import Project
 from crossfile.schemas import TABLES
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +38,13 @@ class Facts:
             raise AttributeError(name)
         return self.tables[name]
 
+    def shared(self) -> Facts:
+        """The same facts, with the tables and views that many plans read kept once they are computed."""
+        out = Facts(self.spark, {n: df.persist() for n, df in self.tables.items()}, self.rules)
+        for view in ("users", "ours", "placed", "own_functions", "package_calls", "overriding", "checkable"):
+            out.__dict__[view] = getattr(out, view).persist()
+        return out
+
     def named(self, values, column: str = "name") -> DataFrame:
         return self.spark.createDataFrame([(v,) for v in sorted(values)], f"{column} string")
 
@@ -80,12 +88,11 @@ class Facts:
         library = methods.join(classes.where("library_base").select(F.col("sid").alias("owner")), "owner", "left_semi").select("sid")
         up = classes.select(F.col("sid").alias("owner"), F.explode("bases").alias("base")).distinct()
         named = classes.select(F.col("class").alias("base"), F.col("sid").alias("base_sid"), F.col("bases").alias("more"))
-        reach = up
-        for _ in range(64):
-            wider = reach.union(reach.join(named, "base").select("owner", F.explode("more").alias("base"))).distinct().cache()
-            if wider.count() == reach.count():
-                break
-            reach = wider
+        reach = cut(up)
+        front = reach
+        while not front.isEmpty():
+            front = cut(front.join(named, "base").select("owner", F.explode("more").alias("base")).distinct().join(reach, ["owner", "base"], "left_anti"))
+            reach = cut(reach.union(front))
         above = reach.join(named, "base").where("base_sid <> owner").join(methods.select(F.col("owner").alias("base_sid"), "method").distinct(), "base_sid").select("owner", "method").distinct()
         return library.union(methods.join(above, ["owner", "method"], "left_semi").select("sid")).distinct()
 

@@ -17,7 +17,7 @@ def last_name(sid: Column) -> Column:
 
 
 def is_dunder(name: Column) -> Column:
-    return name.rlike("^__.*__$")
+    return name.startswith("__")
 
 
 def folder(module: Column) -> Column:

@@ -5,14 +5,15 @@ Each is a loop of joins and aggregates whose state is cut every round; nothing b
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossfile.operators.lineage import cut
 
-#: Vertex counts up to which reachability is squared; above, and where edges are so many that squares are large, strong components
-#: are found by colouring.
-SQUARED = 5_000
+#: Graphs of at most this many edges (a few MB) are taken by one task, as each round of a loop costs more than that; the rounds of
+#: larger ones are distributed. Both give the same rows.
+ONE_TASK = 200_000
 
 
 def _simple(edges: DataFrame) -> DataFrame:
@@ -53,21 +54,65 @@ def reaching(edges: DataFrame, target: DataFrame, doors: DataFrame) -> DataFrame
     return found.select(F.col("node").alias("door"), (F.size("path") - 1).alias("hops"), F.reverse("path").alias("path"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): every pair joined by a path of one edge or more. Paths double each round."""
-    pairs = cut(edges.select("src", "dst").distinct())
-    n = pairs.count()
-    while True:
-        far = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        pairs = cut(pairs.union(far).distinct())
-        m = pairs.count()
-        if m == n:
-            return pairs
-        n = m
+def _in_one_task(edges: DataFrame) -> bool:
+    """Whether the edges are few enough, which is counted, never guessed."""
+    return edges.limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
+def _rings(kids: dict) -> dict:
+    """node -> least node of its strong component, by depth-first search with an explicit stack."""
+    order, low, at, open_, path, out = {}, {}, {}, [], [], {}
+    for start in sorted(kids):
+        if start in order:
+            continue
+        path.append((start, iter(kids[start])))
+        while path:
+            node, rest = path[-1]
+            if node not in order:
+                order[node] = low[node] = len(order)
+                at[node] = len(open_)
+                open_.append(node)
+            for k in rest:
+                if k not in order:
+                    path.append((k, iter(kids.get(k, ()))))
+                    break
+                if k not in out:
+                    low[node] = min(low[node], order[k])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == order[node]:
+                    ring, open_[at[node] :] = open_[at[node] :], []
+                    out |= dict.fromkeys(ring, min(ring))
+    return out
+
+
+def _kids(src: list, dst: list) -> dict:
+    kids: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        kids.setdefault(a, []).append(b)
+        kids.setdefault(b, [])
+    return kids
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that no ring can hold: nodes without a way in or a way out go, round by round while many do."""
+    left = edges
+    n = left.count()
+    while n:
+        after = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = after.count()
+        left, n, small = after, m, n - m < n // 20
+        if small:
+            break
+    return left
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
-    left, out = cut(edges), None
+    """(node, component) of all nodes on rings: each round names, by the least node that reaches it, every node of which that node
+    can be reached within the colour."""
+    left, out = _trimmed(edges), None
     while not left.isEmpty():
         colour = cut(vertices(left).select("node", F.col("node").alias("c")))
         while True:  # the least vertex that reaches each
@@ -85,19 +130,24 @@ def _coloured(edges: DataFrame) -> DataFrame:
             inside = cut(inside.union(front))
         out = inside if out is None else out.union(inside)
         gone = inside.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return out.select("node", F.col("c").alias("component")) if out is not None else vertices(edges).select("node", F.col("node").alias("component"))
+        left = _trimmed(cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")))
+    return out.select("node", F.col("c").alias("component")) if out is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each node's strong component, for components of two nodes or more."""
     edges = cut(_simple(edges))
-    n = vertices(edges).count()
-    if n <= SQUARED and n * edges.count() <= SQUARED**2:
-        pairs = closure(edges)
-        both = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-        return both.groupBy("node").agg(F.min("other").alias("component"), F.count_distinct("other").alias("n")).where("n > 1").select("node", "component")
-    found = _coloured(edges)
+    if _in_one_task(edges):
+        kind = edges.schema["src"].dataType.simpleString()
+
+        def find(group: pa.Table) -> pa.Table:
+            ring = _rings(_kids(group.column("src").to_pylist(), group.column("dst").to_pylist()))
+            return pa.table({"node": pa.array([*ring], group.schema.field("src").type), "component": pa.array([*ring.values()], group.schema.field("src").type)})
+
+        found = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(find, f"node {kind}, component {kind}")
+    else:
+        found = _coloured(edges)
+    found = cut(found)
     return found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
 
 
@@ -136,37 +186,114 @@ def layers(edges: DataFrame) -> DataFrame:
             return nodes.join(level.withColumnRenamed("node", "group"), "group").select("node", "layer")
 
 
-def longest_chains(edges: DataFrame, doors: DataFrame, most_rows: int = 5_000_000) -> DataFrame:
+def _longest_from(start, ring: set, kids: dict, best: dict) -> list:
+    """The longest simple path from ``start``, the least of them, that stays in its ring, then leaves it for good by a node's best.
+
+    A ring once left is never met again, so what follows is known. Within it paths are tried in order, as long as they could still
+    become longer than the longest so far: by as many nodes as can be reached, and by the best that leaves any of them.
+    """
+    away = {n: max((len(best[k]) for k in kids[n] if k not in ring), default=0) for n in ring}
+    found, path, on = [start], [start], {start}
+    stack = [iter(sorted(kids[start]))]
+
+    def most() -> int:
+        met, todo = set(), [path[-1]]
+        while todo:
+            more = [k for k in kids[todo.pop()] if k in ring and k not in on and k not in met]
+            met.update(more)
+            todo += more
+        return len(path) + len(met) + max(away[n] for n in (*met, path[-1]))
+
+    while stack:
+        for k in stack[-1]:
+            if k not in ring:
+                if len(path) + len(best[k]) > len(found):
+                    found = path + best[k]
+            elif k not in on:
+                path.append(k)
+                on.add(k)
+                if len(path) > len(found):
+                    found = path[:]
+                if most() > len(found):
+                    stack.append(iter(sorted(kids[k])))
+                    break
+                on.discard(path.pop())
+        else:
+            stack.pop()
+            on.discard(path.pop())
+    return found
+
+
+def _all_longest(kids: dict, ring_of: dict, best: dict) -> dict:
+    """node -> its longest path, for all nodes of ``kids``; rings below come first."""
+    rings: dict = {}
+    for node in kids:
+        rings.setdefault(ring_of[node], set()).add(node)
+    todo, state = [], {}
+    for first in sorted(rings):
+        todo.append(first)
+        while todo:
+            r = todo[-1]
+            if state.get(r) == 2:
+                todo.pop()
+            elif r in state:
+                for n in sorted(rings[r]):
+                    best[n] = _longest_from(n, rings[r], kids, best)
+                state[r] = 2
+                todo.pop()
+            else:
+                state[r] = 1
+                todo += {ring_of[k] for n in rings[r] for k in kids[n] if k not in best and ring_of[k] != r and ring_of[k] not in state}
+    return best
+
+
+def longest_chains(edges: DataFrame, doors: DataFrame) -> DataFrame:
     """(door, hops, path): the longest simple path from each door, the least of them by its nodes in order.
 
-    Without cycles the best continuation of each node is kept level by level. With cycles simple paths are enumerated, and an
-    enumeration beyond ``most_rows`` paths fails rather than give a shorter chain.
+    Each node's longest path is found once, from those of the rings below its own: level by level, a ring to a task, or all of
+    them in one task. Only within a ring are paths enumerated, those that a bound can't rule out; there is no cap.
     """
     edges = cut(_simple(edges))
-    doors = doors.select(F.col("node").alias("door"))
-    if strong_components(edges).isEmpty():
-        best = cut(vertices(edges).union(doors).distinct().select("node", F.array("node").alias("path")))
-        while True:
-            longer = edges.join(best.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.max(F.size("path")).alias("n"), F.collect_set("path").alias("all"))
-            longer = longer.select(F.col("src").alias("node"), F.array_min(F.filter("all", lambda p: F.size(p) == F.col("n"))).alias("below"))
-            after = cut(best.join(longer, "node", "left").select("node", F.col("path").alias("old"), F.when(F.col("below").isNull(), F.col("path")).otherwise(F.concat(F.array("node"), "below")).alias("path")))
-            best = after.select("node", "path")
-            if after.where("old <> path").isEmpty():
-                break
-        return doors.join(best, doors.door == best.node).select("door", (F.size("path") - 1).alias("hops"), "path")
-    front = cut(doors.select("door", F.array("door").alias("path")))
-    found = front
-    while True:
-        step = front.join(edges, F.element_at("path", -1) == edges.src).where(~F.array_contains("path", F.col("dst"))).select("door", F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step)
-        n = front.count()
-        if n == 0:
-            break
-        if n > most_rows:
-            raise ValueError(f"more than {most_rows} simple paths")
-        # All paths of a round are longer than those before: keep the least of each door.
-        ahead = front.groupBy("door").agg(F.min("path").alias("path"))
-        found = cut(ahead.union(found.join(ahead.select("door"), "door", "left_anti")))
+    kind = edges.schema["src"].dataType.simpleString()
+    doors = doors.select(F.col("node").alias("door")).distinct()
+    out = f"node {kind}, path array<{kind}>"
+
+    def table(best: dict, like: pa.DataType) -> pa.Table:
+        return pa.table({"node": pa.array([*best], like), "path": pa.array([*best.values()], pa.list_(like))})
+
+    if _in_one_task(edges):
+
+        def every(group: pa.Table) -> pa.Table:
+            kids = _kids(group.column("src").to_pylist(), group.column("dst").to_pylist())
+            return table(_all_longest(kids, _rings(kids), {}), group.schema.field("src").type)
+
+        best = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(every, out)
+    else:
+        ring = strong_components(edges)
+        named = cut(vertices(edges).join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("ring")))
+        ways = cut(edges.join(named.select(F.col("node").alias("src"), F.col("ring").alias("r")), "src").join(named.select(F.col("node").alias("dst"), F.col("ring").alias("below")), "dst"))
+        left, best = named, None
+
+        def one(group: pa.Table) -> pa.Table:
+            rows = group.to_pylist()
+            own = {x["src"] for x in rows}
+            kids = {n: [] for n in own}
+            for x in rows:
+                if x["dst"] is not None:
+                    kids[x["src"]].append(x["dst"])
+            known = {x["dst"]: x["path"] for x in rows if x["path"] is not None}
+            return table({n: _longest_from(n, own, kids, known) for n in sorted(own)}, group.schema.field("src").type)
+
+        while not left.isEmpty():
+            waiting = ways.where("r <> below").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("r").alias("ring")).distinct()
+            ready = left.join(waiting, "ring", "left_anti")
+            rows = ready.select(F.col("node").alias("src"), "ring").join(ways.select("src", "dst"), "src", "left")
+            known = best.withColumnRenamed("node", "dst") if best is not None else edges.sparkSession.createDataFrame([], f"dst {kind}, path array<{kind}>")
+            found = cut(rows.join(known, "dst", "left").select("ring", "src", "dst", "path").groupBy("ring").applyInArrow(one, out))
+            best = found if best is None else cut(best.union(found))
+            left = cut(left.join(found.select("node"), "node", "left_anti"))
+        best = best if best is not None else edges.sparkSession.createDataFrame([], out)
+    found = doors.join(best, doors.door == best.node, "left").select("door", F.coalesce("path", F.array("door")).alias("path"))
     return found.select("door", (F.size("path") - 1).alias("hops"), "path")
 
 
@@ -189,10 +316,13 @@ def call_tree(edges: DataFrame, doors: DataFrame) -> DataFrame:
 
     Depth-first order is sequential: each door's reachable edges are walked by one task. edges: src, dst, lines array<int>.
     """
-    import pyarrow as pa
-
-    pairs = closure(edges.select("src", "dst")).union(doors.select("node", F.col("node"))).distinct()
-    under = doors.select(F.col("node").alias("door")).join(pairs, F.col("door") == F.col("src")).select("door", F.col("dst").alias("src")).distinct().join(edges, "src", "left").select("door", "src", "dst", "lines")
+    edges = cut(edges.select("src", "dst", "lines"))
+    met = cut(doors.select(F.col("node").alias("door"), F.col("node").alias("src")).distinct())
+    front = met
+    while not front.isEmpty():  # what each door reaches, and nothing else
+        front = cut(front.join(edges, "src").select("door", F.col("dst").alias("src")).distinct().join(met, ["door", "src"], "left_anti"))
+        met = cut(met.union(front))
+    under = met.join(edges, "src", "left").select("door", "src", "dst", "lines")
 
     def walk(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()

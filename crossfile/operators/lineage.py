@@ -6,13 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame written below spark.checkpoint.dir and read back, so a lost executor loses nothing of it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a temporary one, as in tests, but never on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "crossfile-shared")
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The frame written below the shared folder and read back, so a lost executor loses nothing of it; in folders by a column
+    of strings, if one is named, for readers of single values."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "crossfile-shared")
-    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from crossfile.facts import Facts
@@ -24,7 +25,7 @@ TOGETHER, TOGETHER_SHARE, SWEEP, HISTORY = 5, 0.75, 20, 1000
 SCATTERED_MODULES, SCATTERED_FOLDERS = 5, 2
 FAN_IN, MARGIN = 5, 0.4
 ENVY = 4
-MOST_SITES, MOST_RELATED = 12, 5
+TEST_SITES, SOME_RELATED = 12, 5
 
 _NO_SITES = f"cast(array() as array<{SITE}>)"
 _NO_COMMITS = "cast(array() as array<struct<hash:string,subject:string>>)"
@@ -45,10 +46,6 @@ def _site(file, line, start=None, end=None) -> Column:
     return F.struct(F.col(file).alias("file"), F.col(line).cast("int").alias("line"), F.col(start or line).cast("int").alias("start"), F.col(end or line).cast("int").alias("end"))
 
 
-def _sites(calls: str = "sites") -> Column:
-    return F.array_sort(calls)
-
-
 def _module_of(scope: str) -> Column:
     return F.split_part(F.col(scope), F.lit(":"), F.lit(1))
 
@@ -60,7 +57,7 @@ def _unnamed(f: Facts) -> DataFrame:
         f.placed.where(~is_dunder(F.col("last")))
         .join(f.users.select("sid").distinct(), "sid", "left_anti")
         .join(f.entrypoints, "sid", "left_anti")
-        .join(f.named(f.rules.keep, "last"), "last", "left_anti")
+        .join(f.named(f.rules.keep, "name"), "name", "left_anti")
         .join(read, "last", "left_anti")
     )
 
@@ -78,7 +75,7 @@ def dead(f: Facts) -> DataFrame:
 
 
 def tests_only(f: Facts) -> DataFrame:
-    uses = f.test_uses.groupBy(F.col("name").alias("last")).agg(F.count_distinct("file").alias("files"), F.slice(F.array_sort(F.collect_set(_site("file", "line", "start", "end"))), 1, MOST_SITES).alias("sites"))
+    uses = f.test_uses.groupBy(F.col("name").alias("last")).agg(F.count_distinct("file").alias("files"), F.slice(F.array_sort(F.collect_set(_site("file", "line", "start", "end"))), 1, TEST_SITES).alias("sites"))
     tested = f.name_counts.where("scope = 'tests' and n > 0").select(F.col("name").alias("last"))
     rows = _unnamed(f).where("kind in ('function', 'method', 'class')").join(tested, "last", "left_semi").join(uses, "last", "left")
     message = F.concat(short(F.col("sid")), F.lit(" is named only by tests, in "), F.coalesce("files", F.lit(0)).cast("string"), F.lit(" files"))
@@ -129,10 +126,12 @@ def tunnel(f: Facts) -> DataFrame:
 
 
 def private_abroad(f: Facts) -> DataFrame:
-    far = f.users.withColumn("user_module", _module_of("scope"))
-    rows = f.placed.where("private").where(~is_dunder(F.col("last"))).join(far, "sid").where("user_module <> module")
-    rows = rows.groupBy("sid", "module", "file", "line", "ord").agg(F.array_sort(F.collect_set("user_module")).alias("modules"), F.array_sort(F.collect_set("scope")).alias("scopes"))
-    return _finding(rows, "private_abroad", F.concat(short(F.col("sid")), F.lit(" is private and used in "), F.concat_ws(", ", F.slice("modules", 1, 3))), "make it public or move it", related=F.slice("scopes", 1, MOST_RELATED))
+    used = f.placed.where("private").where(~is_dunder(F.col("last"))).join(f.users.withColumn("user_module", _module_of("scope")), "sid")
+    rows = used.groupBy("sid", "module", "file", "line", "ord").agg(
+        F.array_sort(F.collect_set(F.when(F.col("user_module") != F.col("module"), F.col("user_module")))).alias("modules"), F.array_sort(F.collect_set("scope")).alias("scopes")
+    )
+    rows = rows.where("size(modules) > 0")
+    return _finding(rows, "private_abroad", F.concat(short(F.col("sid")), F.lit(" is private and used in "), F.concat_ws(", ", F.slice("modules", 1, 3))), "make it public or move it", related=F.slice("scopes", 1, SOME_RELATED))
 
 
 def bool_flag(f: Facts) -> DataFrame:
@@ -141,7 +140,7 @@ def bool_flag(f: Facts) -> DataFrame:
     hit = rows.join(calls, "last").withColumn("arg", given(F.col("call"), F.col("first_if.name"), F.col("positional"))).where("arg.boolean")
     hit = hit.groupBy("sid", "module", "file", "line", "ord", F.col("first_if").alias("f")).agg(F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites"))
     first = F.struct(F.col("file"), F.col("f.start").alias("line"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
-    return _finding(hit, "bool_flag", F.concat(F.col("f.name"), F.lit(" decides what "), short(F.col("sid")), F.lit(" does, and callers write it out")), "two functions", F.col("f.name"), sites=F.concat(F.array(first), F.slice("sites", 1, MOST_SITES - 1)))
+    return _finding(hit, "bool_flag", F.concat(F.col("f.name"), F.lit(" decides what "), short(F.col("sid")), F.lit(" does, and callers write it out")), "two functions", F.col("f.name"), sites=F.concat(F.array(first), "sites"))
 
 
 def cycle(f: Facts) -> DataFrame:
@@ -159,7 +158,7 @@ def layer(f: Facts) -> DataFrame:
     edges = f.imports.withColumn("a", folder(F.col("module"))).withColumn("b", folder(F.col("target")))
     up = edges.join(ranks.select(F.col("folder").alias("a"), F.col("rank").alias("low")), "a").join(ranks.select(F.col("folder").alias("b"), F.col("rank").alias("high")), "b").where("high > low")
     rows = up.join(f.modules.select("module", "file"), "module")
-    return _finding(rows, "layer", F.concat(F.col("a"), F.lit(" imports "), F.col("target"), F.lit(", "), (F.col("high") - F.col("low")).cast("string"), F.lit(" layers up")), "turn the import around", F.col("target"), symbol="module")
+    return _finding(rows, "layer", F.concat(F.col("a"), F.lit(" imports "), F.col("target"), F.lit(", "), (F.col("high") - F.col("low")).cast("string"), F.lit(" layers up")), "turn the import around", F.col("target"), F.array("target"), symbol="module")
 
 
 def forbid(f: Facts) -> DataFrame:
@@ -173,22 +172,27 @@ def forbid(f: Facts) -> DataFrame:
 
 
 def _handed(f: Facts) -> DataFrame:
-    """caller, callee, names: for each resolved call the parameters of both ends handed on under their own name."""
-    calls = f.functions.select(F.col("sid").alias("caller"), F.col("params").alias("own"), F.posexplode("calls").alias("at", "call"))
+    """caller, callee, names: for each resolved call the parameters of both ends handed on under their own name, by keyword under
+    the same one, or by place."""
+    calls = f.functions.where(~is_dunder(last_name(F.col("sid")))).select(F.col("sid").alias("caller"), F.col("params").alias("own"), F.posexplode("calls").alias("at", "call"))
     edges = f.ours.select("caller", "callee", last_name(F.col("callee")).alias("name"))
     called = calls.join(edges, (calls["caller"] == edges["caller"]) & (F.col("call.name") == edges["name"])).select(calls["caller"], "own", "at", "call", "callee")
     called = called.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("caller", "at"))).where("n = 1 and caller <> callee")
-    called = called.join(f.functions.select(F.col("sid").alias("callee"), F.col("params").alias("theirs"), "positional"), "callee")
-    same = F.filter(F.array_intersect("own", "theirs"), lambda p: (given(F.col("call"), p, F.col("positional"))["name"] == p) & ~p.startswith("_") & ~p.isin(*NEVER_CLUMPED))
-    return called.select("caller", "callee", F.array_sort(F.array_distinct(same)).alias("names")).where(F.size("names") >= CLUMP_NAMES)
+    called = called.join(f.functions.select(F.col("sid").alias("callee"), F.col("params").alias("theirs")), "callee")
+    named = F.concat(F.transform("call.args", lambda a: a["name"]), F.transform(F.filter("call.keywords", lambda k: k["arg"]["name"] == k["k"]), lambda k: k["k"]))
+    kept = F.filter(F.array_intersect("own", "theirs"), lambda p: ~p.startswith("_") & ~p.isin(*NEVER_CLUMPED))
+    both = F.array_intersect(kept, F.filter(named, lambda n: n.isNotNull()))
+    return called.select("caller", "callee", F.array_sort(both).alias("names")).where(F.size("names") >= CLUMP_NAMES).distinct()
 
 
 def closed_sets(sets: DataFrame) -> DataFrame:
     """All intersections, of three names or more, of any number of the sets (column names)."""
-    closed = cut(sets.select("names").distinct())
-    while True:
-        both = closed.alias("a").join(sets.select("names").distinct().alias("b"), F.arrays_overlap("a.names", "b.names"))
-        wider = cut(closed.union(both.select(F.array_sort(F.array_intersect("a.names", "b.names")).alias("names")).where(F.size("names") >= CLUMP_NAMES)).distinct())
+    given_ = cut(sets.select("names").distinct())
+    closed = given_
+    while True:  # sets meet on the names they share
+        a, b = closed.select(F.col("names").alias("a"), F.explode("names").alias("x")), given_.select(F.col("names").alias("b"), F.explode("names").alias("x"))
+        met = a.join(b, "x").groupBy("a", "b").agg(F.array_sort(F.collect_list("x")).alias("names")).where(F.size("names") >= CLUMP_NAMES).select("names")
+        wider = cut(closed.union(met).distinct())
         if wider.count() == closed.count():
             return closed
         closed = wider
@@ -196,18 +200,24 @@ def closed_sets(sets: DataFrame) -> DataFrame:
 
 def clump(f: Facts) -> DataFrame:
     edges = cut(_handed(f))
-    sets = closed_sets(edges)
-    within = sets.join(edges.select("caller", "callee", F.col("names").alias("all")), F.size(F.array_except("names", "all")) == 0)
-    within = cut(within.select(F.concat_ws(",", "names").alias("key"), "names", F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct())
+    if edges.isEmpty():
+        return empty(f)
+    sets = closed_sets(edges).select("names", F.explode("names").alias("x"))
+    holds = edges.select("caller", "callee", F.col("names").alias("all"), F.explode("names").alias("x"))
+    within = sets.join(holds, "x").groupBy("names", "caller", "callee", "all").count().where("count = size(names)")
+    within = cut(within.select(F.concat_ws("+", "names").alias("key"), F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct())
     groups = graph.components(within.select("key", "src", "dst"), ["key"])
     relays = within.select("key", F.col("src").alias("node")).intersect(within.select("key", F.col("dst").alias("node"))).withColumn("relay", F.lit(1))
     groups = groups.join(relays, ["key", "node"], "left").groupBy("key", "component").agg(F.array_sort(F.collect_set("node")).alias("members"), F.max("relay").alias("relay"))
-    groups = cut(groups.where(F.size("members") >= CLUMP_FUNCTIONS).where("relay = 1").withColumn("names", F.split("key", ",")))
-    wider = groups.select(F.col("names").alias("n2"), F.col("members").alias("m2"))
-    beaten = (F.size("n2") > F.size("names")) & (F.size(F.array_except("names", "n2")) == 0) & (F.size(F.array_except("members", "m2")) == 0)
-    groups = groups.join(wider, beaten, "left_anti")
-    first = groups.join(f.placed, F.array_contains("members", F.col("sid"))).withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy("module", "line", "sid"))).where("rank = 1")
-    return _finding(first, "clump", F.concat(F.lit("travel together: "), F.concat_ws(", ", "names")), "make them one object", F.col("key"), F.slice(F.array_except("members", F.array("sid")), 1, MOST_RELATED + 1))
+    groups = cut(groups.where(F.size("members") >= CLUMP_FUNCTIONS).where("relay = 1").select("key", "component", "members", F.split("key", r"\+").alias("names")))
+    # A group is beaten by one of more names that holds all its members; both hold its first one.
+    wider = groups.select(F.explode("members").alias("component"), F.col("names").alias("n2"), F.col("members").alias("m2"))
+    beaten = groups.join(wider, "component").where((F.size("n2") > F.size("names")) & (F.size(F.array_except("names", "n2")) == 0) & (F.size(F.array_except("members", "m2")) == 0))
+    groups = groups.join(beaten.select("key", "component").distinct(), ["key", "component"], "left_anti")
+    placed = groups.select("key", "component", "names", F.explode("members").alias("sid")).join(f.placed, "sid")
+    order = F.array_sort(F.collect_list(F.struct("module", "line", "sid", "file", "ord")))
+    first = placed.groupBy("key", "component", "names").agg(order.alias("all")).select("key", "names", F.col("all")[0].alias("f"), F.transform(F.expr("slice(all, 2, size(all))"), lambda m: m["sid"]).alias("rest")).select("key", "names", "rest", "f.*")
+    return _finding(first, "clump", F.concat(F.lit("travel together: "), F.concat_ws(", ", "names")), "make them one object", F.col("key"), F.col("rest"))
 
 
 def _given_everywhere(f: Facts, rows: DataFrame, calls: DataFrame, column: str) -> DataFrame:
@@ -223,21 +233,21 @@ def constant_param(f: Facts) -> DataFrame:
     all_ = _given_everywhere(f, rows, f.package_calls, "param").groupBy("sid", "module", "file", "line", "ord", "param")
     found = all_.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("arg.literal", F.lit(False))).alias("written"), F.count_distinct("arg.value").alias("values"), F.min("arg.text").alias("text"), F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites"))
     found = found.where("n >= 2 and written and values = 1")
-    return _finding(found, "constant_param", F.concat(F.col("param"), F.lit(" is "), F.col("text"), F.lit(" in every call")), "make it a constant", F.col("param"), sites=F.slice("sites", 1, MOST_SITES))
+    return _finding(found, "constant_param", F.concat(F.col("param"), F.lit(" is "), F.col("text"), F.lit(" in every call")), "make it a constant", F.concat_ws("=", "param", "text"), sites=F.col("sites"))
 
 
 def hub(f: Facts) -> DataFrame:
     edges = f.imports.select("module", "target").distinct()
-    fan_in = edges.groupBy(F.col("target").alias("module")).agg(F.count(F.lit(1)).alias("importers"))
+    fan_in = edges.groupBy(F.col("target").alias("module")).agg(F.count(F.lit(1)).alias("importers"), F.array_sort(F.collect_set("module")).alias("who"))
     fan_out = edges.groupBy("module").agg(F.count(F.lit(1)).alias("imports"))
     public = f.symbols.where("kind <> 'method' and not private").groupBy("module").agg(F.count(F.lit(1)).alias("public"))
     big = fan_in.join(fan_out, "module").join(public, "module").where(f"importers >= {HUB} and imports >= {HUB} and public >= {HUB}")
     taken = f.taken.groupBy(F.col("target").alias("hub"), F.col("module").alias("importer")).agg(F.count_distinct("name").alias("taken"))
     used = f.users.withColumn("importer", _module_of("scope")).join(f.symbols.where("kind <> 'method' and not private").select("sid", F.col("module").alias("hub")), "sid").groupBy("hub", "importer").agg(F.count_distinct("sid").alias("used"))
     pairs = edges.select(F.col("target").alias("hub"), F.col("module").alias("importer")).join(taken, ["hub", "importer"], "left").join(used, ["hub", "importer"], "left")
-    shares = pairs.withColumn("n", F.coalesce("taken", "used", F.lit(0))).join(big.withColumnRenamed("module", "hub"), "hub").groupBy("hub", "public", "importers", "imports").agg(F.median(F.col("n") / F.col("public")).alias("share")).where(f"share <= {HUB_SHARE}")
+    shares = pairs.withColumn("n", F.coalesce("taken", "used", F.lit(0))).join(big.withColumnRenamed("module", "hub"), "hub").groupBy("hub", "public", "importers", "imports", "who").agg(F.median(F.col("n") / F.col("public")).alias("share")).where(f"share <= {HUB_SHARE}")
     rows = shares.withColumnRenamed("hub", "module").join(f.modules, "module").withColumn("line", F.lit(1))
-    return _finding(rows, "hub", F.concat(F.col("importers").cast("string"), F.lit(" modules import it, it imports "), F.col("imports").cast("string"), F.lit(", and each takes a small part")), "split it by who uses what", symbol="module")
+    return _finding(rows, "hub", F.concat(F.col("importers").cast("string"), F.lit(" modules import it, it imports "), F.col("imports").cast("string"), F.lit(", and each takes a small part")), "split it by who uses what", related=F.slice("who", 1, SOME_RELATED), symbol="module")
 
 
 def co_changes(commits: DataFrame) -> DataFrame:
@@ -295,7 +305,7 @@ def duplicate(f: Facts) -> DataFrame:
     others = rows.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("module", "line", "sid"))).alias("all"))
     rows = rows.where("rank = 1").join(others, "shape")
     more = F.expr("slice(transform(all, x -> x.sid), 2, size(all))")
-    return _finding(rows, "duplicate", F.concat(short(F.col("sid")), F.lit(" is written "), F.col("n").cast("string"), F.lit(" times")), "keep one", related=F.slice(more, 1, MOST_RELATED + 1))
+    return _finding(rows, "duplicate", F.concat(short(F.col("sid")), F.lit(" is written "), F.col("n").cast("string"), F.lit(" times")), "keep one", related=more)
 
 
 def _by_name(f: Facts) -> DataFrame:
@@ -305,27 +315,28 @@ def _by_name(f: Facts) -> DataFrame:
 
 def ignored_return(f: Facts) -> DataFrame:
     rows = _by_name(f).where("returns_value and all_dropped")
-    return _finding(rows, "ignored_return", F.concat(F.lit("every call drops what "), short(F.col("sid")), F.lit(" returns")), "return nothing", sites=F.slice("sites", 1, MOST_SITES))
+    return _finding(rows, "ignored_return", F.concat(F.lit("every call drops what "), short(F.col("sid")), F.lit(" returns")), "return nothing", sites=F.col("sites"))
 
 
 def unused_default(f: Facts) -> DataFrame:
-    rows = _by_name(f).where("not any_spread").select("sid", "module", "file", "line", "ord", "last", "positional", F.explode("defaults").alias("default")).withColumn("param", F.col("default.name"))
-    found = _given_everywhere(f, rows, f.calls, "param").groupBy("sid", "module", "file", "line", "ord", "param", F.col("default.text").alias("text")).agg(F.count("arg").alias("given")).where("given = 0")
-    return _finding(found, "unused_default", F.concat(F.lit("no call gives "), F.col("param"), F.lit(", it is always "), F.col("text")), "make it a constant", F.col("param"))
+    rows = _by_name(f).where("not any_spread").select("sid", "module", "file", "line", "ord", "last", "positional", "sites", F.explode("defaults").alias("default")).withColumn("param", F.col("default.name"))
+    found = _given_everywhere(f, rows, f.calls, "param").groupBy("sid", "module", "file", "line", "ord", "param", F.col("default.text").alias("text"), "sites").agg(F.count("arg").alias("given")).where("given = 0")
+    return _finding(found, "unused_default", F.concat(F.lit("no call gives "), F.col("param"), F.lit(", it is always "), F.col("text")), "make it a constant", F.col("param"), sites=F.col("sites"))
 
 
 def unused_param(f: Facts) -> DataFrame:
     rows = _by_name(f).where("not stub").select("sid", "module", "file", "line", "ord", "loads", "sites", F.explode("params").alias("param")).where(~F.col("param").startswith("_"))
     rows = rows.where(F.coalesce(F.try_element_at("loads", F.col("param")), F.lit(0)) == 0)
-    return _finding(rows, "unused_param", F.concat(F.col("param"), F.lit(" is never read")), "delete it", F.col("param"), sites=F.slice("sites", 1, MOST_SITES))
+    return _finding(rows, "unused_param", F.concat(F.col("param"), F.lit(" is never read")), "delete it", F.col("param"), sites=F.col("sites"))
 
 
 def scattered_api(f: Facts) -> DataFrame:
-    used = f.library_calls.where("not raised_or_returned").where(~F.element_at(F.split("api", r"\."), -1).isin(*SETUP_CALLS)).withColumn("folder", folder(F.col("module")))
-    by = used.groupBy("api").agg(F.count_distinct("module").alias("modules"), F.count_distinct("folder").alias("folders"), F.min("module").alias("module"), F.array_sort(F.collect_set("module")).alias("all")).where(f"modules >= {SCATTERED_MODULES} and folders >= {SCATTERED_FOLDERS}")
-    line = used.groupBy("api", "module").agg(F.min_by("line", "ord").alias("line"))
-    rows = by.join(line, ["api", "module"]).join(f.modules.select("module", "file", "ord"), "module")
-    return _finding(rows, "scattered_api", F.concat(F.col("api"), F.lit(" is called in "), F.col("modules").cast("string"), F.lit(" modules")), "give it one home", F.col("api"), F.expr("slice(all, 2, size(all))"), symbol="module")
+    used = f.library_calls.where("not raised_or_returned").where(~F.element_at(F.split("api", r"\."), -1).isin(*SETUP_CALLS))
+    near = used.groupBy("api", "module").agg(F.min_by("line", "ord").alias("line")).join(f.modules.select("module", "file"), "module").withColumn("folder", folder(F.col("module")))
+    by = near.groupBy("api").agg(F.count(F.lit(1)).alias("modules"), F.count_distinct("folder").alias("folders"), F.array_sort(F.collect_list(F.struct("module", "file", "line"))).alias("all"))
+    rows = by.where(f"modules >= {SCATTERED_MODULES} and folders >= {SCATTERED_FOLDERS}").select("api", "modules", "all", F.col("all")[0].alias("first")).select("api", "modules", "all", "first.*")
+    sites = F.transform("all", lambda m: F.struct(m["file"].alias("file"), m["line"].alias("line"), m["line"].alias("start"), m["line"].alias("end")))
+    return _finding(rows, "scattered_api", F.concat(F.col("api"), F.lit(" is called in "), F.col("modules").cast("string"), F.lit(" modules")), "give it one home", F.col("api"), sites=sites, symbol="module")
 
 
 def instability(edges: DataFrame) -> DataFrame:
@@ -350,7 +361,7 @@ def feature_envy(f: Facts) -> DataFrame:
     foreign = f.classes.where("library_base").select(F.col("sid").alias("owner"))
     rows = f.own_functions.where("kind = 'method'").where(~is_dunder(F.col("last"))).join(foreign, "owner", "left_anti")
     rows = rows.select("sid", "module", "file", "line", "ord", "annotations", "params", F.coalesce(F.try_element_at("receiver_reads", F.lit("self")), F.lit(0)).alias("own"), F.explode("receiver_reads").alias("param", "reads"))
-    rows = rows.where(f"reads >= {ENVY} and reads > 2 * own and param <> 'self'").withColumn("class", F.try_element_at("annotations", F.col("param"))).join(f.behaving, "class")
+    rows = rows.where(f"reads >= {ENVY} and reads > 2 * own and param <> 'self' and array_contains(params, param)").withColumn("class", F.try_element_at("annotations", F.col("param"))).join(f.behaving, "class")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("reads"), F.array_position("params", F.col("param"))))).where("rank = 1")
     return _finding(rows, "feature_envy", F.concat(short(F.col("sid")), F.lit(" reads "), F.col("param"), F.lit(" more than itself")), "move it there", F.col("param"), F.array("class_sid"))
 
@@ -370,19 +381,57 @@ CHECKS: dict[str, Callable[[Facts], DataFrame]] = {
     "scattered_api": scattered_api, "unstable_dependency": unstable_dependency, "feature_envy": feature_envy, "single_implementation": single_implementation,
 }
 
+#: check -> (title, what it looks for).
+NOTES: dict[str, tuple[str, str]] = {
+    "dead": ("Dead", "Symbols that neither the package nor its tests name."),
+    "tests_only": ("Kept by tests", "Symbols that tests alone name."),
+    "forward": ("Forwards", "Functions whose body is one call that hands on every parameter."),
+    "tunnel": ("Tunnels", "Parameters that three functions or more hand on unread."),
+    "private_abroad": ("Private, used abroad", "Names with an underscore that other modules use."),
+    "bool_flag": ("Flags", "Functions that branch on a boolean first, which callers write out."),
+    "cycle": ("Rings", "Modules that import each other, directly or through others."),
+    "layer": ("Upward imports", "Imports from a layer into one above it."),
+    "forbid": ("Forbidden imports", "Imports that the project's rules forbid a folder."),
+    "clump": ("Clumps", "Three names or more handed on together through three functions or more."),
+    "constant_param": ("Constants in disguise", "Parameters that every call sets to the same literal."),
+    "hub": ("Hubs", "Modules that many import for a small part each, and that import many."),
+    "shotgun": ("Changed together", "Files of different folders that nearly every commit changes together."),
+    "home_only_public": ("Public for nobody", "Public functions that their own module alone calls."),
+    "unread_field": ("Unread fields", "Fields of own records that nothing reads."),
+    "twin_shapes": ("Twins", "Records of one folder with the same fields."),
+    "duplicate": ("Duplicates", "Functions with the same body, names of locals aside."),
+    "ignored_return": ("Ignored returns", "Functions of which every call drops what it returns."),
+    "unused_default": ("Unused defaults", "Parameters with a default that no call gives."),
+    "unused_param": ("Unread parameters", "Parameters that their function never reads."),
+    "scattered_api": ("Scattered calls", "Functions of a library called from many modules of several folders."),
+    "unstable_dependency": ("Unstable dependencies", "Modules many rest on, that rest on one far less stable."),
+    "feature_envy": ("Envy", "Methods that read another object far more than their own."),
+    "single_implementation": ("Lone implementations", "Abstract classes with one implementation."),
+}
+
+
+#: Checks that run at a time: most are too small to keep a cluster busy.
+AT_A_TIME = 8
+
 
 def all_findings(f: Facts, checks: list[str] | None = None) -> DataFrame:
-    """Findings of all checks in one plan, with their place in the order of printing (check_ord)."""
-    found = [CHECKS[c](f).withColumn("check_ord", F.lit(i)) for i, c in enumerate(CHECKS) if checks is None or c in checks]
+    """Findings of all checks, with their place in the order of printing (check_ord).
+
+    Each check is a plan of its own, written to the shared folder; one plan of all would take longer to make than to run.
+    """
+    wanted = [(i, c) for i, c in enumerate(CHECKS) if checks is None or c in checks]
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        found = list(pool.map(lambda x: cut(CHECKS[x[1]](f).withColumn("check_ord", F.lit(x[0]))), wanted))
     return reduce(DataFrame.unionByName, found)
 
 
 def excused(findings: DataFrame, skips) -> DataFrame:
-    """The findings with ``why``: that of the first skip, in order, whose glob matches the file and which names the check or none."""
+    """The findings with ``why`` and ``skip``, reason and place of the first rule, in order, whose glob matches the file and which
+    names the check or none; null where none does."""
     if not skips:
-        return findings.withColumn("why", F.lit(None).cast("string"))
-    rules = [F.when(F.col("file").rlike(glob_regex(s.path)) & (F.lit(not s.checks) | F.col("check").isin(*s.checks)), F.lit(s.why)) for s in skips]
-    return findings.withColumn("why", F.coalesce(*rules))
+        return findings.withColumn("why", F.lit(None).cast("string")).withColumn("skip", F.lit(None).cast("int"))
+    rules = [F.when(F.col("file").rlike(glob_regex(s.path)) & (F.lit(not s.checks) | F.col("check").isin(*s.checks)), F.struct(F.lit(s.why).alias("why"), F.lit(i).alias("skip"))) for i, s in enumerate(skips)]
+    return findings.withColumn("_rule", F.coalesce(*rules)).withColumn("why", F.col("_rule.why")).withColumn("skip", F.col("_rule.skip")).drop("_rule")
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ WEIGHTS = {
 def direct(hops: DataFrame) -> DataFrame:
     """One row, value: doors of at most MOST_HOPS count 1, falling to 0 at HOPELESS_HOPS; 100 without doors."""
     each = F.when(F.col("hops") <= MOST_HOPS, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (F.col("hops") - MOST_HOPS) / (HOPELESS_HOPS - MOST_HOPS)))
-    return hops.agg(F.coalesce(half_even(100 * F.avg(each)), F.lit(100)).alias("direct"), F.count(F.lit(1)).alias("doors"), F.count_if(F.col("hops") > MOST_HOPS).alias("over"))
+    return hops.agg(F.coalesce(half_even(100 * F.avg(each)), F.lit(100)).alias("direct"), F.count(F.lit(1)).alias("doors"), F.count_if(F.col("hops") > MOST_HOPS).alias("over"), F.max("hops").alias("deepest"))
 
 
 def score(f: Facts, kept: DataFrame, hops: DataFrame) -> DataFrame:
@@ -50,6 +50,14 @@ def score(f: Facts, kept: DataFrame, hops: DataFrame) -> DataFrame:
     axes = [F.struct(F.lit(k).alias("key"), F.lit("Direct" if k == "direct" else WEIGHTS[k][0]).alias("label"), v.alias("value"), F.array(*[F.lit(x) for x in WEIGHTS.get(k, ("", {}))[1]]).cast("array<string>").alias("checks")) for k, v in values.items()]
     row = row.select(F.array(*axes).alias("a"), "*")
     overall = F.struct(F.lit("overall").alias("key"), F.lit("Overall").alias("label"), half_even(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["value"]) / 6).alias("value"), F.expr("cast(array() as array<string>)").alias("checks"))
-    detail = F.concat(c("doors").cast("string"), F.lit(" doors, "), c("over").cast("string"), F.lit(f" over {MOST_HOPS} hops"))
+    words = {
+        "direct": F.when(c("doors") == 0, F.lit("no doors to measure")).otherwise(F.format_string(f"%d of %d doors over {MOST_HOPS} hops, the deepest %d", "over", "doors", "deepest")),
+        "alive": F.format_string("%d dead of %d symbols, those of tests alone counted half", c("alive") + F.expr("tests_only div 2"), c("others") + F.expr("functions div 2")),
+        "lean": F.format_string("%d needless things in %d functions", "lean", "functions"),
+        "private": F.format_string("%d of %d public names in the wrong place", "private", "public"),
+        "shaped": F.format_string("%d records and functions of the wrong shape", "shaped"),
+        "focused": F.format_string(f"%d functions over {LONG_FUNCTION} lines, %d modules over {LONG_MODULE}, %d tangles", "long_functions", "long_modules", "focused"),
+    }
+    detail = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), v)])
     out = row.select(F.explode(F.concat(F.array(overall), c("a"))).alias("x"), detail.alias("d"))
-    return out.select("x.key", "x.label", "x.value", F.when(c("x.key") == "direct", c("d")).otherwise(F.lit("")).alias("detail"), "x.checks").to(f.spark.createDataFrame([], SCORE).schema)
+    return out.select("x.key", "x.label", "x.value", F.coalesce(F.try_element_at("d", c("x.key")), F.lit("")).alias("detail"), "x.checks").to(f.spark.createDataFrame([], SCORE).schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from crossfile import bindings, check_queries
 from crossfile.functions.scalars import glob_regex, half_even
 from crossfile.operators import graph
 from crossfile.plans import checks
@@ -94,13 +95,6 @@ def instability_whole(spark, sf):
     return checks.instability(_edges(spark, sf, 1)).where("fan_in >= 5").select("node", "fan_in", F.round("instability", 9).alias("instability"))
 
 
-@query(f"""{_sql_edges(10)}, o as (select src node, count(*) fan_out from edges group by 1), i as (select dst node, count(*) fan_in from edges group by 1),
-k as (select coalesce(o.node, i.node) node, coalesce(fan_in, 0) fan_in, coalesce(fan_out, 0) fan_out from o full join i on o.node = i.node)
-select node, fan_in, round(fan_out / (fan_in + fan_out), 9) instability from k where fan_in >= 5""")
-def instability(spark, sf):
-    return checks.instability(_edges(spark, sf, 10)).where("fan_in >= 5").select("node", "fan_in", F.round("instability", 9).alias("instability"))
-
-
 @query("""with t as (select l_suppkey s, l_orderkey o, count(distinct l_partkey) taken from lineitem group by 1, 2), p as (select l_suppkey s, count(distinct l_partkey) parts from lineitem group by 1)
 select t.s supplier, round(median(taken / parts), 9) share from t join p on t.s = p.s group by t.s""")
 def hub_median_share(spark, sf):
@@ -113,38 +107,30 @@ def hub_median_share(spark, sf):
 SQL_CLOSURE = "reach(a, b) as (select src, dst from edges union select r.a, e.dst from reach r join edges e on r.b = e.src)"
 
 
-@query(f"""{_sql_edges(10)}, {SQL_CLOSURE} select x.a node, min(y.a) component from reach x join reach y on x.a = y.b and x.b = y.a group by x.a having count(distinct y.a) > 1""")
-def scc_modules(spark, sf):
-    return graph.strong_components(_edges(spark, sf, 10))
-
-
 @query(f"""{_sql_edges(1)}, {SQL_CLOSURE} select x.a node, min(y.a) component from reach x join reach y on x.a = y.b and x.b = y.a group by x.a having count(distinct y.a) > 1""")
 def scc_modules_whole(spark, sf):
     return graph.strong_components(_edges(spark, sf, 1))
 
 
-@query(f"""{_sql_edges(10)}, twoway as (select src a, dst b from edges union select dst, src from edges), reach(a, b) as (select a, b from twoway union select r.a, e.b from reach r join twoway e on r.b = e.a)
-select a node, least(a, min(b)) component from reach group by a""")
-def components(spark, sf):
-    return graph.components(_edges(spark, sf, 10))
-
-
 @query(f"""{_sql_edges(1)}, twoway as (select src a, dst b from edges union select dst, src from edges), reach(a, b) as (select a, b from twoway union select r.a, e.b from reach r join twoway e on r.b = e.a)
 select a node, least(a, min(b)) component from reach group by a""")
 def components_whole(spark, sf):
     return graph.components(_edges(spark, sf, 1))
 
 
-@query(f"""{_sql_edges(8)}, ends as (select min(src) a, max(dst) b from edges),
-bfs(node, path, hops) as (select a, [a], 0 from ends union all select e.dst, list_append(path, e.dst), hops + 1 from bfs join edges e on bfs.node = e.src where not list_contains(path, e.dst) and hops < 4)
-select len(path) - 1 hops, array_to_string(path, '>') path from bfs, ends where node = b order by len(path), bfs.path limit 1""")
-def shortest_flow(spark, sf):
-    return _flow_ends(_edges(spark, sf, 8))
+SQL_LEAST = """dist as (select node, min(hops) d from met group by 1),
+least(node, path, d) as (select b, [b], 0 from start union all select w.dst, min(list_append(path, w.dst)), any_value(l.d + 1) from least l join ways w on w.src = l.node join dist x on x.node = w.dst and x.d = l.d + 1 group by w.dst)"""
+
+
+def _sql_met(start: str, ways: str) -> str:
+    """Least shortest paths from a node. A hop more than there are nodes leads nowhere new."""
+    return f"""{_sql_edges(1)}, n as (select count(distinct src) + count(distinct dst) n from edges), start as ({start}), ways as ({ways}),
+met(node, hops) as (select b, 0 from start union select w.dst, hops + 1 from met join ways w on w.src = met.node, n where hops < n.n), {SQL_LEAST}"""
 
 
-@query()
+@query(f"""{_sql_met("select min(src) b from edges", "select src, dst from edges")} select len(path) - 1 hops, array_to_string(path, '>') path from least where node = (select max(dst) from edges)""")
 def shortest_flow_whole(spark, sf):
-    """shortest_flow on all edges, at any number of hops."""
+    """The shortest way from the least to the greatest supplier, at any number of hops."""
     return _flow_ends(_edges(spark, sf, 1))
 
 
@@ -156,19 +142,9 @@ def _flow_ends(edges: DataFrame) -> DataFrame:
     return graph.flow(e, list(ends)).select((F.size("path") - 1).alias("hops"), F.concat_ws(">", "path").alias("path"))
 
 
-@query(f"""{_sql_edges(10)}, t as (select max(dst) b from edges),
-bfs(node, path, hops) as (select b, [b], 0 from t union all select e.src, list_append(path, e.src), hops + 1 from bfs join edges e on bfs.node = e.dst where not list_contains(path, e.src) and hops < 5),
-best as (select node, path, row_number() over (partition by node order by len(path), path) k from bfs)
-select node door, len(path) - 1 hops, array_to_string(list_reverse(path), '>') path from best where k = 1 and node % 2 = 0""")
-def reach_doors(spark, sf):
-    e = _edges(spark, sf, 10).cache()
-    found = graph.reaching(e, e.agg(F.max("dst").alias("node")).where("node is not null"), graph.vertices(e).where("node % 2 = 0"))
-    return found.where("hops <= 5").select("door", "hops", F.concat_ws(">", "path").alias("path"))
-
-
-@query()
+@query(f"""{_sql_met("select max(dst) b from edges", "select dst src, src dst from edges")} select node door, len(path) - 1 hops, array_to_string(list_reverse(path), '>') path from least""")
 def reach_doors_whole(spark, sf):
-    """reach_doors on all edges, at any number of hops, with every node a door."""
+    """The suppliers that reach the greatest one, each with its nearest way, at any number of hops."""
     return _reach_whole(_edges(spark, sf, 1))
 
 
@@ -193,16 +169,17 @@ def greedy_chain(spark, sf):
     return graph.greedy_chains(e, e.select(F.col("src").alias("node")).distinct()).select("start", F.concat_ws(">", "path").alias("path"))
 
 
-@query(f"""{_sql_edges(12)}, nodes as (select src node from edges union select dst from edges),
-p(node, top, d) as (select node, node, 0 from nodes where node not in (select src from edges) union select e.src, top, d + 1 from p join edges e on e.dst = p.node where d < 60)
-select node, max(d) layer from p group by node""")
-def layer_depth(spark, sf):
-    return graph.layers(_edges(spark, sf, 12))
+#: Layers of the graph of strong components, from edges e(src, dst) and reach(a, b), their closure.
+SQL_LAYERS = """ring as (select x.a node, min(y.a) g from reach x join reach y on x.a = y.b and x.b = y.a group by 1),
+node as (select n.node, coalesce(g, n.node) g from (select src node from e union select dst from e) n left join ring r on r.node = n.node),
+way as (select distinct a.g src, b.g dst from e join node a on a.node = e.src join node b on b.node = e.dst where a.g <> b.g),
+level(g, d) as (select distinct g, 0 from node union select w.src, d + 1 from level l join way w on w.dst = l.g)
+select node, max(d) layer from node join level using (g) group by node"""
 
 
-@query()
+@query(f"{_sql_edges(1)}, e as (select src, dst from edges), {SQL_CLOSURE}, {SQL_LAYERS}")
 def layer_depth_whole(spark, sf):
-    """layer_depth on all edges, however deep; nodes on a cycle share a layer."""
+    """Layers of all suppliers, however deep; nodes on a cycle share a layer."""
     return graph.layers(_edges(spark, sf, 1))
 
 
@@ -212,12 +189,6 @@ def layer_violation_whole(spark, sf):
     return _violations(spark, sf, 1)
 
 
-@query(f"""{_sql_edges(10)}, r as (select s_suppkey k, n_regionkey rank from supplier join nation on s_nationkey = n_nationkey)
-select src, dst, b.rank - a.rank up from edges join r a on src = a.k join r b on dst = b.k where b.rank > a.rank""")
-def layer_violation(spark, sf):
-    return _violations(spark, sf, 10)
-
-
 def _violations(spark: SparkSession, sf: str, least: int) -> DataFrame:
     ranks = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     a, b = ranks.toDF("src", "low"), ranks.toDF("dst", "high")
@@ -352,19 +323,10 @@ def score_card(spark, sf):
     return n.selectExpr("stack(3, 'returned', a, 'undiscounted', b, 'overall', o) as (key, value)")
 
 
-@query("""with a as (select user_id, event_type, count(*) n from events where event_id % 2 = 0 group by 1, 2), b as (select user_id, event_type, count(*) n from events where event_id % 3 = 0 group by 1, 2)
-select coalesce(a.user_id, b.user_id) user_id, coalesce(a.event_type, b.event_type) event_type, case when a.n is null then 'new' when b.n is null then 'fixed' else 'told' end state from a full join b on a.user_id = b.user_id and a.event_type = b.event_type""")
-def told_new_fixed(spark, sf):
-    from crossfile.streaming.diff import snapshot_diff
-
-    snap = lambda k: _t(spark, sf, "events").where(F.col("event_id") % k == 0).select("user_id", "event_type").distinct()
-    return snapshot_diff(snap(2), snap(3), ["user_id", "event_type"])
-
-
 @query("""with m as (select date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) mid from events), a as (select distinct user_id, event_type from events, m where ts < mid or ts is null), b as (select distinct user_id, event_type from events, m where ts >= mid)
 select coalesce(a.user_id, b.user_id) user_id, coalesce(a.event_type, b.event_type) event_type, case when a.user_id is null then 'new' when b.user_id is null then 'fixed' else 'told' end state from a full join b on a.user_id = b.user_id and a.event_type = b.event_type""")
 def told_new_fixed_whole(spark, sf):
-    """told_new_fixed on all events: those before the day in the middle of the table's time, and those from it on."""
+    """What users do before and from the day in the middle of the table's time."""
     from crossfile.streaming.diff import snapshot_diff
 
     e = _t(spark, sf, "events")
@@ -383,3 +345,17 @@ def json_args_given(spark, sf):
 def stop_limits(spark, sf):
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return _t(spark, sf, "orders").select("o_custkey", "o_orderkey", r.alias("r")).where("r <= 3")
+
+
+def _module_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return bindings.flat(spark, sf, "select module src, target dst from few_imps")
+
+
+@query(bindings.sql(SQL_LAYERS.rpartition("\n")[2], f"e as (select module src, target dst from few_imps), edges as (select * from e), {SQL_CLOSURE}, {SQL_LAYERS.rpartition(chr(10))[0]}", recursive=True))
+def module_layers(spark, sf):
+    """Layers of modules of which some are on rings and most aren't."""
+    return graph.layers(_module_edges(spark, sf))
+
+
+QUERIES |= check_queries.QUERIES
+ORACLES |= check_queries.ORACLES

@@ -10,7 +10,7 @@ from pathlib import Path
 #: The table of the rules in pyproject.toml and package.json.
 SECTION = "crossfile"
 #: Folders that are never the package itself. Fixed values.
-ASIDE = frozenset({"tests", "test", "docs", "examples", "scripts", "benchmarks", "build", "dist", "node_modules"})
+ASIDE = frozenset({"tests", "test", "docs", "scripts", "examples", "node_modules"})
 
 
 @dataclass(frozen=True)
@@ -35,18 +35,25 @@ class Project:
     skips: tuple[Skip, ...] = ()
 
 
-def skips_of(given: list[dict]) -> tuple[Skip, ...]:
-    for s in given:
-        if not s.get("path") or not s.get("why"):
+def _strings(value: object) -> list[str]:
+    return [str(v) for v in value] if isinstance(value, list) else []
+
+
+def skips_of(given: object) -> tuple[Skip, ...]:
+    rows = given if isinstance(given, list) else []
+    for s in rows:
+        if not isinstance(s, dict) or not s.get("path") or not s.get("why"):
             raise ValueError(f"a skip needs a path and a why: {s}")
-    return tuple(Skip(s["path"], s["why"], tuple(s.get("checks", ()))) for s in given)
+    return tuple(Skip(str(s["path"]), str(s["why"]), tuple(_strings(s.get("checks")))) for s in rows)
 
 
-def _project(rules: dict, package: Path, language: str, scripts: frozenset[str] = frozenset()) -> Project:
-    names = lambda key: frozenset(map(str, rules.get(key, ())))
+def _project(rules: object, package: Path, language: str, scripts: frozenset[str] = frozenset()) -> Project:
+    rules = rules if isinstance(rules, dict) else {}
+    names = lambda key: frozenset(_strings(rules.get(key)))
+    bans = rules.get("forbid")
     return Project(
-        package, language, names("entries") | scripts, names("keep"), bool(rules.get("library", False)), names("sinks"),
-        tuple(rules.get("layers", ())), {k: tuple(v) for k, v in rules.get("forbid", {}).items()}, skips_of(rules.get("skips", [])),
+        package, language, names("entries") | scripts, names("keep"), rules.get("library") is True, names("sinks"),
+        tuple(_strings(rules.get("layers"))), {str(k): tuple(_strings(v)) for k, v in bans.items()} if isinstance(bans, dict) else {}, skips_of(rules.get("skip")),
     )
 
 
@@ -66,32 +73,52 @@ def declares_rules(given: Path) -> bool:
         return False
 
 
-def find_package(root: Path) -> tuple[Path, str]:
-    """The one package of a project, and its language."""
+def is_typescript(folder: Path) -> bool:
+    """No Python package, TypeScript in it, and a tsconfig.json beside it or above."""
+    return not (folder / "__init__.py").exists() and _above(folder, "tsconfig.json") is not None and next(folder.rglob("*.ts"), None) is not None
+
+
+def find_package(root: Path) -> Path:
+    """The one package below a project's folder."""
     if (root / "__init__.py").is_file():
-        return root, "python"
-    found = [p.parent for pattern in ("*/__init__.py", "src/*/__init__.py") for p in sorted(root.glob(pattern)) if p.parent.name not in ASIDE]
-    if len(found) == 1:
-        return found[0], "python"
-    if not found and (root / "tsconfig.json").is_file() and (root / "src").is_dir():
-        return root / "src", "typescript"
-    raise ValueError(f"{len(found)} packages in {root}")
-
-
-def project_for(given: Path) -> Project:
-    """The project of a package folder or of the folder that holds it. A malformed rule file counts as none."""
-    package, language = find_package(given)
-    if language == "typescript":
-        at = _above(package, "package.json")
-        try:
-            rules = json.loads(at.read_text()).get(SECTION, {}) if at else {}
-        except ValueError:
-            rules = {}
-        return _project(rules, package, language)
-    at = _above(package, "pyproject.toml")
+        return root
+    if (root / "tsconfig.json").is_file() and (root / "src").is_dir() and next(root.glob("*/__init__.py"), None) is None:
+        return root / "src"
+    found = [p.parent for pattern in ("*/__init__.py", "src/*/__init__.py") for p in sorted(root.glob(pattern)) if p.parent.name not in ASIDE and not p.parent.name.startswith(".")]
+    if len(found) != 1:
+        raise ValueError(f"say which package to read in {root}: {', '.join(sorted(d.name for d in found)) or 'none found'}")
+    return found[0]
+
+
+def _read(at: Path | None, parse) -> dict:
     try:
-        data = tomllib.loads(at.read_text()) if at else {}
-    except ValueError:
-        data = {}
-    doors = frozenset(str(v).rpartition(":")[2].rpartition(".")[2] for v in data.get("project", {}).get("scripts", {}).values())
-    return _project(data.get("tool", {}).get(SECTION, {}), package, language, doors)
+        found = parse(at.read_text(encoding="utf-8")) if at else {}
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def project_for(given: Path | None = None) -> Project:
+    """The project of a package, or of the one package in a folder: by default the current one. A malformed rule file counts as none."""
+    given = (given or Path.cwd()).resolve()
+    package = given if is_typescript(given) and not (given / "tsconfig.json").is_file() else find_package(given)
+    if is_typescript(package):
+        return _project(_read(_above(package, "package.json"), json.loads).get(SECTION), package, "typescript")
+    data = _read(_above(package, "pyproject.toml"), tomllib.loads)
+    scripts = data.get("project", {}).get("scripts", {})
+    doors = frozenset(str(v).rpartition(":")[2] for v in scripts.values() if ":" in str(v))
+    return _project(data.get("tool", {}).get(SECTION), package, "python", doors)
+
+
+def package_of_file(file: Path) -> Path | None:
+    """The package a file is in: the topmost folder above it with an __init__.py, or a TypeScript project's src/."""
+    above = file.resolve().parents
+    if file.suffix != ".py":
+        root = next((d for d in above if (d / "tsconfig.json").is_file() and (d / "package.json").is_file()), None)
+        return root / "src" if root and root / "src" in above else None
+    top = None
+    for d in above:
+        if not (d / "__init__.py").is_file():
+            break
+        top = d
+    return None if top is None or top.name in ASIDE else top

@@ -148,7 +148,7 @@ def test_all_findings_skips_and_score(spark):
 
 @pytest.mark.parametrize("limit", [10_000, 0])
 def test_strong_components_both_ways(spark, limit, monkeypatch):
-    monkeypatch.setattr(graph, "SQUARED", limit)
+    monkeypatch.setattr(graph, "ONE_TASK", limit)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "src int, dst int")
     assert {(r.node, r.component) for r in graph.strong_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 

@@ -2,44 +2,35 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from crossfile.ship import ship as ship_library
+
+#: Bytes of an Arrow batch, so that what tasks hold of texts doesn't depend on how long these are. Spark's own is 64 MB.
+BATCH = "8m"
+_DEFAULT = "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package: they share no folder with the driver."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "crossfile")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, top))
-    at = os.path.join(tempfile.mkdtemp(), "crossfile_code.zip")  # read by the driver's own file server only
-    with open(at, "wb") as f:
-        f.write(packed.getvalue())
-    spark.sparkContext.addPyFile(at)
-    _SHIPPED.add(app)
+    """Give executors this package, as they share no folder with the driver, and bound batches of texts in bytes as well as rows."""
+    ship_library(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT) == _DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
+    """A new folder below the checkpoint folder; where none is set, as in tests, below a temporary one, but never on a cluster."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "crossfile-checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -1,17 +1,20 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors of a label are one class. A label's classes are dealt to shards of about ``SHARD`` vectors; each shard's graph is
-built once and written to the shared folder. Every shard is searched for the vectors of every shard of its label: a task holds
-two shards, looks each one's vectors up in the other's graph, and takes the union of what both searches find. A search is a beam
-that then spreads along edges through everything above the threshold. Each task audits itself: queries are answered exactly until
-``AUDIT`` of them have links but at most ``M``, and while the mean recall of these, or of those with more links, is below ``RECALL``,
-each query counting alike, the beam is doubled; a beam as wide as the shard is an exact scan. Exact answers are kept, so where few
-queries have few links, none is missed.
+Equal vectors of a label are one class. A label's classes are dealt to ``SHARDS`` shards, which grow with the label as long as one
+fits a task (``SHARD_MOST``), so that each vector is sent to and looked up in as many shards at any size. Each shard's graph is built
+once and written to the shared folder; vectors that its pruning left without a way in get one. Every shard is searched for the
+vectors of every shard of its label: a task holds two shards, looks each one's vectors up in the other's graph, and takes the union
+of what both searches find. A search is a beam that then spreads along edges through everything above the threshold.
+
+Each search audits itself on links that are known: of ``AUDIT`` vectors of the shard, turned until their cosine with what they were
+is the threshold, and of up to ``EXACT`` queries answered exactly, those with at most ``M`` links and those with more. While the
+mean recall of any of the three, each query counting alike, is below ``RECALL``, the beam is doubled; a beam as wide as the shard
+is an exact scan. The number of shards, the widest beam and the least recall audited come back with every row of their label.
 Every pair found is verified by its cosine in double precision before it links. A task sends counts and a spanning forest of its
 links, never all pairs of a group; components are then joined by stars.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label, are linked with nothing; vectors
-of different lengths aren't compared. Repeated vectors link with each other, also under one id. A null id takes no part. Extra
+of different lengths aren't compared. Of vectors with equal cosines none is preferred: all pairs at the threshold or above link. Repeated vectors link with each other, also under one id. A null id takes no part. Extra
 columns are ignored. An empty table gives no rows.
 """
 
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from crossfile.llm.components import components, forest
 from crossfile.llm.frames import cut
 
-SHARD, M, BUILD_BEAM, BEAM, AUDIT, RECALL = 1024, 12, 48, 16, 32, 0.99
+SHARDS, SHARD_LEAST, SHARD_MOST = 4, 256, 1 << 18
+M, BUILD_BEAM, BEAM, AUDIT, EXACT, RECALL = 12, 48, 16, 32, 256, 0.99
 
 
 class Graph:
@@ -40,6 +44,7 @@ class Graph:
             rng = np.random.default_rng(len(x))
             for i, top in enumerate(np.minimum(np.floor(-np.log(1 - rng.random(len(x))) / np.log(M)), 6).astype(int).tolist()):
                 self._insert(i, top)
+            self._mend()
 
     def beam(self, q: np.ndarray, enter: list[int], width: int, level: int) -> list[tuple[float, int]]:
         """(similarity, place) of the best ``width`` vectors that a best-first search finds, best first."""
@@ -80,6 +85,28 @@ class Graph:
         while len(self.levels) <= top:
             self.levels.append({i: []})
 
+    def _mend(self) -> None:
+        """Every vector can be reached on the lowest level from where searches start: one that can't gets an edge from one that can."""
+        if not self.levels:
+            return
+        near, start = self.levels[0], next(iter(self.levels[-1]))
+        met, todo = {start}, [start]
+        for i in [None, *near]:
+            if i is not None:
+                if i in met:
+                    continue
+                at = next((j for j in near[i] if j in met), None)
+                if at is None:
+                    at = self.beam(self.x[i], [start], BUILD_BEAM, 0)[0][1]
+                near[at].append(i)
+                near[i].append(at)
+                met.add(i)
+                todo = [i]
+            while todo:
+                new = {j for k in todo for j in near[k]} - met
+                met |= new
+                todo = list(new)
+
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours that are nearer to the vector than to one another first, then the nearest of the rest."""
         kept: list[int] = []
@@ -137,35 +164,45 @@ class Graph:
         return cls(x, levels)
 
 
-def search(graph: Graph, queries: np.ndarray, least: float, same: bool = False) -> tuple[list[list[int]], int]:
-    """(places above ``least`` for each query, beam): beams widen until the audit passes. same: the queries are the graph's own
-    vectors, in order, and a vector found by itself doesn't count."""
+def planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, place of each one's link): vectors of x, turned towards a random direction to a cosine of ``least`` and a little."""
+    rng = np.random.default_rng(x.shape[0])
+    at = rng.permutation(len(x))[:AUDIT]
+    away = rng.standard_normal((len(at), x.shape[1]))
+    away -= np.einsum("ij,ij->i", away, x[at])[:, None] * x[at]
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = np.where(length > 1e-9, min(1.0, least + 1e-6), 1.0)
+    return cosine * x[at] + np.sqrt(1 - cosine**2) * away / np.maximum(length, 1e-9), at
+
+
+def search(graph: Graph, queries: np.ndarray, least: float, same: bool = False) -> tuple[list[list[int]], int, float]:
+    """(places above ``least`` for each query, beam, least recall audited): beams widen until the audit passes. same: the queries are
+    the graph's own vectors, in order, and a vector found by itself doesn't count."""
     order = np.random.default_rng(len(queries)).permutation(len(queries))
-    true: dict[int, list[int]] = {}
+    true: dict[int, set[int]] = {}
     few: list[int] = []
     many: list[int] = []
-    for at in range(0, len(order), AUDIT):  # until enough of the queries have links, but few
+    for at in range(0, min(EXACT, len(order)), AUDIT):
         part = order[at : at + AUDIT]
         for i, row in zip(part.tolist(), queries[part] @ graph.x.T >= least, strict=True):
-            true[i] = np.flatnonzero(row).tolist()
-            links = len(true[i]) - same
-            if links:
+            true[i] = set(np.flatnonzero(row).tolist())
+            if links := len(true[i] - ({i} if same else set())):
                 (few if links <= M else many).append(i)
         if len(few) >= AUDIT:
             break
-    if len(true) == len(queries):
-        return [true[i] for i in range(len(queries))], len(graph.x)
+    turned, links_to = planted(graph.x, least)
+    samples = [[({int(k)}, q) for q, k in zip(turned, links_to, strict=True)]]
+    samples += [[(true[i] - ({i} if same else set()), queries[i]) for i in part[:AUDIT]] for part in (few, many)]
 
-    def recall(i: int, width: int) -> float:
-        t = set(true[i]) - ({i} if same else set())
-        return len(t.intersection(graph.above(queries[i], least, width))) / len(t)
+    def recall(width: int) -> float:
+        return min(float(np.mean([len(t.intersection(graph.above(q, least, width))) / len(t) for t, q in part])) for part in samples if part)
 
     width = BEAM
-    while width < len(graph.x):
-        if all(np.mean([recall(i, width) for i in sample]) >= RECALL for sample in (few[:AUDIT], many[:AUDIT]) if sample):
-            break
+    while width < len(graph.x) and (found := recall(width)) < RECALL:
         width *= 2
-    return [true[i] if i in true else graph.above(q, least, width) for i, q in enumerate(queries)], width
+    if width >= len(graph.x):
+        found = 1.0
+    return [list(true[i]) if i in true else graph.above(q, least, width) for i, q in enumerate(queries)], width, found
 
 
 def _vectors(blob: pa.Scalar, dim: int) -> np.ndarray:
@@ -174,13 +211,13 @@ def _vectors(blob: pa.Scalar, dim: int) -> np.ndarray:
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """n_links, component_id and kept of every row."""
+    """n_links, component_id and kept of every row, and what was audited of its label: shards, beam, recall."""
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False))
     classes = rows.where(fit).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     counts = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    dealt = classes.withColumn("dim", F.size("v")).join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SHARD)).cast("int"))
+    dealt = classes.withColumn("dim", F.size("v")).join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.least(F.greatest(F.ceil(F.col("n") / SHARDS), F.lit(SHARD_LEAST)), F.lit(SHARD_MOST)))).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("rep").to_numpy(), kind="stable")
@@ -200,6 +237,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
     def meet(group: pa.Table) -> pa.Table:
         counted: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
+        beam, least_recall = 0, 1.0
         for i in range(group.num_rows):
             row = {c: group.column(c)[i] for c in group.column_names}
             dim, same = row["dim"].as_py(), row["shard"].as_py() == row["shard2"].as_py()
@@ -207,9 +245,13 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
             ids, ids2 = (np.frombuffer(row[c].as_py(), np.int64) for c in ("rep", "rep2"))
             size, size2 = (np.frombuffer(row[c].as_py(), np.int64) for c in ("size", "size2"))
             slack = least - 1e-9
-            pairs = {(j, k) for k, hits in enumerate(search(Graph.unpack(x, row["g"].as_py()), y, slack, same)[0]) for j in hits}
+            hits, width, audited = search(Graph.unpack(x, row["g"].as_py()), y, slack, same)
+            pairs = {(j, k) for k, there in enumerate(hits) for j in there}
+            beam, least_recall = max(beam, width), min(least_recall, audited)
             if not same:
-                pairs |= {(j, k) for j, hits in enumerate(search(Graph.unpack(y, row["g2"].as_py()), x, slack)[0]) for k in hits}
+                hits, width, audited = search(Graph.unpack(y, row["g2"].as_py()), x, slack)
+                pairs |= {(j, k) for j, there in enumerate(hits) for k in there}
+                beam, least_recall = max(beam, width), min(least_recall, audited)
             else:
                 pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
             if pairs:
@@ -220,14 +262,17 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
                     counted[v] = counted.get(v, 0) + n
                 edges += zip(ids[a].tolist(), ids2[b].tolist(), strict=True)
         kept = forest(edges)
-        a = [*counted, *(u for u, _ in kept)]
-        b = [*([None] * len(counted)), *(v for _, v in kept)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counted.values(), *([0] * len(kept))], pa.int64())})
+        a = [*counted, *(u for u, _ in kept), None]
+        b = [*([None] * len(counted)), *(v for _, v in kept), None]
+        rest = [None] * (len(a) - 1)
+        audit = {"label": pa.array([*rest, group.column("label")[0].as_py()], group.schema.field("label").type), "shard": pa.array([*rest, group.column("shard")[0].as_py()], pa.int32()), "recall": pa.array([*rest, least_recall], pa.float64())}
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counted.values(), *([0] * len(kept)), beam], pa.int64())} | audit)
 
-    found = cut(both.groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, "a long, b long, n long"))
-    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    found = cut(both.groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, f"a long, b long, n long, label {kind}, shard int, recall double"))
+    audits = found.where("recall is not null").groupBy(F.col("label").alias("l")).agg(F.count_distinct("shard").alias("shards"), F.max("n").alias("beam"), F.min("recall").alias("recall"))
+    links = found.where("a is not null and b is null").groupBy("a").agg(F.sum("n").alias("n"))
     of = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = classes.join(links, F.col("a") == F.col("rep"), "left").join(of, F.col("u") == F.col("rep"), "left").select("label", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    known = known.withColumnRenamed("label", "l").withColumnRenamed("v", "w")
+    known = known.withColumnRenamed("label", "l").withColumnRenamed("v", "w").join(audits, "l", "left")
     out = rows.join(known, fit & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "shards", "beam", "recall").withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

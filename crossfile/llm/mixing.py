@@ -114,17 +114,31 @@ def _by_source(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df, SOURCES_BROADCAST) else df
 
 
+#: What ``mix`` adds to a table, and what it needs on the way.
+ADDED, INNER = ("n_tokens", "exponent", "weight", "epoch", "order"), ("source", "block", "epochs", "end_block", "end_doc", "copies")
+
+
+def added(columns: list[str]) -> str:
+    """The prefix of the columns that ``mix`` adds: an underscore, or as many as keep them apart from the table's own."""
+    prefix = "_"
+    while any(f"{prefix}{n}" in columns for n in ADDED + INNER):
+        prefix += "_"
+    return prefix
+
+
 def mix(docs: DataFrame, evenness: float = 0.95, repetition: float = 4.0, budget: float | None = 1.0, key: str = "doc_id") -> DataFrame:
     """Every copy dealt: the columns of ``docs``, then _n_tokens, _exponent, _weight, _epoch and _order, by which an epoch of
-    a source is read. The columns start with an underscore so that they clash with none of the table's."""
+    a source is read. Where the table has such a column already, all of these start with one underscore more (see ``added``)."""
     sources, bits = plan(docs, evenness, repetition, budget, key)
-    table = _by_source(cut(sources).select(F.col("source").alias("_source"), F.col("exponent").alias("_exponent"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), "_end_block", "_end_doc"))
-    out = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_n_tokens", tokens()).withColumn("_block", _block(key, bits)).join(table, "_source")
-    block_key, doc_key = _prefix(F.col("_epochs"), F.col("_source"), F.col("_block")), _prefix(F.col("_epochs"), F.col("_source"), _id(key))
-    at = F.struct(block_key.alias("block_key"), F.col("_block").alias("block"))
-    here = F.struct(doc_key.alias("doc_key"), _id(key).alias("name"), F.col("_n_tokens").alias("n"))
-    more = (at < F.col("_end_block")) | ((at == F.col("_end_block")) & F.coalesce(here <= F.col("_end_doc"), F.lit(False)))
-    out = out.withColumn("_copies", F.col("_epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).where("_copies > 0")
-    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    order = F.concat(_prefix(F.col("_epoch"), F.col("_source"), F.col("_block")), _prefix(F.col("_epoch"), F.col("_source"), _id(key)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_n_tokens", "_exponent", "_weight", F.col("_epoch"), order.alias("_order"))
+    _ = added(docs.columns)
+    c = {n: F.col(f"`{_}{n}`") for n in ADDED + INNER}
+    table = _by_source(cut(sources).select(F.col("source").alias(f"{_}source"), F.col("exponent").alias(f"{_}exponent"), F.col("weight").alias(f"{_}weight"), F.col("epochs").alias(f"{_}epochs"), F.col("_end_block").alias(f"{_}end_block"), F.col("_end_doc").alias(f"{_}end_doc")))
+    out = docs.withColumn(f"{_}source", F.coalesce("source", F.lit(""))).withColumn(f"{_}n_tokens", tokens()).withColumn(f"{_}block", _block(key, bits)).join(table, f"{_}source")
+    block_key, doc_key = _prefix(c["epochs"], c["source"], c["block"]), _prefix(c["epochs"], c["source"], _id(key))
+    at = F.struct(block_key.alias("block_key"), c["block"].alias("block"))
+    here = F.struct(doc_key.alias("doc_key"), _id(key).alias("name"), c["n_tokens"].alias("n"))
+    more = (at < c["end_block"]) | ((at == c["end_block"]) & F.coalesce(here <= c["end_doc"], F.lit(False)))
+    out = out.withColumn(f"{_}copies", c["epochs"] + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).where(c["copies"] > 0)
+    out = out.withColumn(f"{_}epoch", F.explode(F.sequence(F.lit(0), c["copies"] - 1)))
+    order = F.concat(_prefix(c["epoch"], c["source"], c["block"]), _prefix(c["epoch"], c["source"], _id(key)))
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], c["n_tokens"], c["exponent"], c["weight"], c["epoch"], order.alias(f"{_}order"))

@@ -16,7 +16,8 @@ batch's entries for one bucket. Links are joined to components by stars; documen
 
 Words are cut and lower-cased (A-Z) as the contract says; fewer words than n make one element. Null and empty texts, or texts
 without words, have no elements and are linked with nothing. Repeated rows are in one class. A component is named by its least
-id; null ids link like others, and only a component without any id has none. Extra columns are ignored. An empty table gives no rows.
+id; null ids link like others, and only a component without any id has none. Texts of any length are read whole, one at a time at
+least; a set's elements are in one task. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossfile.llm.components import components, forest
-from crossfile.llm.frames import cut, small
-from crossfile.llm.text import Words, buffers, inside, mix, slices, windows
+from crossfile.llm.frames import cut
+from crossfile.llm.text import Words, buffers, frugal, inside, mix, slices, windows
 
 SKETCH = 1 << 18
 #: Parity bits of a set: the next power of two above its size, between these.
 PARITY = 2048, 1 << 16
 #: Cost of an inverted list's entry, which is scanned against the list, in subset entries, which rarely meet.
 LIST_COST = 4.0
-#: Candidate classes up to this number are sent to where the texts are; more are joined by shuffle.
-CANDIDATES_BROADCAST = 1 << 20
+#: Bits, as a power of two, of the filter by which texts that are no candidates aren't sent: 4 MB at any size. It passes more of them
+#: where candidates are very many; a join by name decides.
+FILTER = 25
+#: Names a task remembers, so that copies of one set post once.
+POSTED = 1 << 17
 #: Elements to a bucket.
 BUCKET = 1 << 18
 BLOCK = 2048
@@ -195,7 +199,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(total[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))], ["d", "n_shingles", "name", "bits", "cell"])
 
-    return docs.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, n_shingles long, name binary, bits binary, cell int")
+    return docs.mapInArrow(frugal(run), f"d {docs.schema['d'].dataType.simpleString()}, n_shingles long, name binary, bits binary, cell int")
 
 
 def sketch(about: DataFrame) -> np.ndarray:
@@ -329,7 +333,19 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([found[edges[i] : edges[i + 1]].tobytes() for i in there], pa.binary())], ["bucket", "e"])
 
         held: list[np.ndarray] = []
+        posted: set[bytes] = set()
         for _, _, _, (key, first) in _read(batches, n):
+            new = []
+            for i, x in enumerate(names(key, first)):
+                if (name := x.tobytes()) not in posted and first[i + 1] > first[i]:
+                    posted.add(name)
+                    new.append(i)
+            if len(posted) > POSTED:
+                posted = set()
+            if len(new) < len(first) - 1:
+                size = np.diff(first)[new]
+                key = key[np.repeat(first[new] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] if new else key[:0]
+                first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             held.append(entries(key, first, r, large, percent))
             if sum(map(len, held)) > 400_000:
                 yield packed(held)
@@ -372,7 +388,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         few = {c: pa.array([x.tobytes() for x in np.ascontiguousarray(flat[:, i : i + 2])], pa.binary()) for c, i in (("a", 0), ("b", 2))}
         return pa.concat_tables([pa.table(few | {"crowd": pa.nulls(len(flat), pa.int64())}), many])
 
-    came = cut(docs.mapInArrow(post, "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary, crowd long"))
+    came = cut(docs.mapInArrow(frugal(post), "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary, crowd long"))
     pairs = came.where("crowd is null").select("a", "b")
     # What differs in more bits than it may in elements isn't similar: bits are far smaller than sets.
     bits = about.where("n_shingles > 0").groupBy("name").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
@@ -385,30 +401,51 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
             n, m = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(alike(np.maximum(differ, np.abs(n - m)), n + m, percent)))
 
-    few = met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a binary, b binary")
+    few = met.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(frugal(near), "a binary, b binary")
     pairs = cut(few.union(_crowded(came.where("crowd is not null").select("a", "crowd"), bits, percent)))
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
 
-    def whole(only: set[bytes] | None):
-        held = spark.sparkContext.broadcast(only)
+    held = spark.sparkContext.broadcast(_filter(wanted))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            only = held.value
-            for _, _, _, (key, first) in _read(batches, n):
-                name = [x.tobytes() for x in names(key, first)]
-                rows = [i for i, x in enumerate(name) if first[i + 1] > first[i] and (only is None or x in only)]
-                yield pa.RecordBatch.from_arrays([pa.array([name[i] for i in rows], pa.binary()), pa.array([key[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], ["name", "s"])
-
-        return docs.mapInArrow(run, "name binary, s binary")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for _, _, _, (key, first) in _read(batches, n):
+            own = names(key, first)
+            rows = np.flatnonzero(_passes(words, own) & (np.diff(first) > 0)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([own[i].tobytes() for i in rows], pa.binary()), pa.array([key[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], ["name", "s"])
 
-    if small(wanted, CANDIDATES_BROADCAST):
-        held = whole({bytes(r.name) for r in wanted.collect()})
-    else:
-        held = whole(None).join(wanted, "name", "left_semi")
+    held = docs.mapInArrow(frugal(whole), "name binary, s binary").join(wanted, "name", "left_semi")
     held = held.groupBy("name").agg(F.first("s").alias("s"))
     return _verified(held, components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), percent), about
 
 
+def _places(name: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each name."""
+    return (np.ascontiguousarray(name).view(_U).reshape(-1, 2) >> _U(64 - FILTER)).astype(np.int64)
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Words of 64 bits in which the places of all names are set. 2**FILTER bits, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << (FILTER - 6), dtype=_U)
+        for b in batches:
+            at = _places(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="V16")).ravel()
+            np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
+        there = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(words[there].view(np.int64))], ["word", "bits"])
+
+    rows = wanted.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (FILTER - 6), dtype=_U)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(_U)
+    return words
+
+
+def _passes(words: np.ndarray, name: np.ndarray) -> np.ndarray:
+    at = _places(name)
+    return (words[at >> 6] >> (at & 63).astype(_U) & _U(1)).all(axis=1)
+
+
 def _verified(held: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     """(a, b, n) from sets (name, s) and the candidate component of each (u, component): n links of a where b is null, else an
     edge of a spanning forest of the links.
@@ -471,3 +508,23 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", te
     classes = classes.join(least, "component").join(degree, "name", "left").select("name", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_size")
     out = about.join(classes.withColumnRenamed("name", "_name"), (about.name == F.col("_name")) & (about.n_shingles > 0), "left")
     return out.select(F.col("d").alias(key), "n_shingles", F.coalesce("component_id", "d").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the least id, null ids last, and of equal ids the least by a hash of all
+    columns. Rows equal in all columns are one. A row whose text has no words stays, as it is linked with nothing.
+
+    A row is known by its id and 128 bits of hashes of all its columns, not by its id alone, which others may share.
+    """
+    plain = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in ((f"`{c}`", t) for c, t in docs.dtypes)]
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*plain).alias("h"), F.xxhash64(F.lit(7), *plain).alias("g"))
+    found = cut(join(docs.select(row.alias("r"), F.col(text).alias("t")), n, percent, "r", "t").where("n_shingles > 0").select("r", "component_id"))
+    gone = found.where("r <> component_id").select("r").distinct()
+    twice = cut(found.groupBy("r").count().where("count > 1").select("r"))
+    mark = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    kept = docs.withColumn(mark, row)
+    kept = kept.join(cut(gone.withColumnRenamed("r", mark)), mark, "left_anti")
+    if not twice.isEmpty():
+        twice = twice.withColumnRenamed("r", mark)
+        kept = kept.join(twice, mark, "left_anti").select(kept.columns).union(kept.join(twice, mark, "left_semi").dropDuplicates([mark]).select(kept.columns))
+    return kept.select(docs.columns)

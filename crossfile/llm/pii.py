@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossfile.llm.text import frugal
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -215,7 +217,7 @@ def find(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", text:
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.mapInArrow(frugal(run), f"`{key}` {docs.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, weights: np.ndarray | None) -> str:
@@ -237,4 +239,4 @@ def mask(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> Dat
             new = pa.array([None if t is None else masked(t, weights) for t in b.column(at).to_pylist()], b.schema[at].type)
             yield b.set_column(at, b.schema.field(at), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

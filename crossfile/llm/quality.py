@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crossfile.llm.text import Words, buffers, inside, mix, segment_hashes, slices, windows
+from crossfile.llm.text import Words, buffers, frugal, inside, mix, segment_hashes, slices, windows
 
 #: Largest share of characters in repeated n-grams, by n-gram length; and in repeated lines. Fixed values.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1))], [key, *(n for n, _ in FIELDS)])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} {t}" for n, t in FIELDS)]))
+    return docs.mapInArrow(frugal(run), ", ".join([f"`{key}` {kind}", *(f"{n} {t}" for n, t in FIELDS)]))
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -123,4 +123,4 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(_columns(b.column(at))[[n for n, _ in FIELDS].index("kept")])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
+"""The registered queries of this subpackage, and (``ORACLES``) DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossfile.llm import brown, hnsw, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, substring, toxicity
 from crossfile.llm.frames import ship, table
+from crossfile.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,9 +85,6 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
-
-
 def queries() -> dict[str, Query]:
     def ready(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

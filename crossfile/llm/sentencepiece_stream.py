@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crossfile.llm.text import buffers, segment_hashes, slices
+from crossfile.llm.text import buffers, frugal, segment_hashes, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = float("-inf")
 #: Entries in each half of the memo.
-MEMO = 300_000
+MEMO = 150_000
 #: Cuts longer than this are not kept in the memo.
 MEMO_BYTES = 64
 
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], key: str = "do
         c = codec(model.value)
         for b in batches:
             data, offsets = buffers(b.column(1))
-            for lo, hi in slices(offsets, 4 << 20):
+            for lo, hi in slices(offsets):
                 ids, by_row = c.encode_slice(data, offsets, lo, hi)
                 back, length = c.decode_slice(ids, by_row)
                 size = np.diff(offsets[lo : hi + 1])
@@ -223,4 +223,4 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, int]], key: str = "do
                 edges = np.concatenate([[0], np.cumsum(by_row)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), pa.array(by_row), pa.array(same)], [key, "ids", "n_ids", "exact"])
 
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[0].dataType.simpleString()}, ids array<int>, n_ids long, exact boolean")
+    return docs.mapInArrow(frugal(run), f"`{key}` {docs.schema[0].dataType.simpleString()}, ids array<int>, n_ids long, exact boolean")

@@ -6,7 +6,11 @@ splits a UTF-8 character. Work goes over slices of about ``SLICE`` bytes, so tem
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on a partition's batches; what it used goes back to the system afterwards, for workers wait for the next stage
+    with all that their allocators hold."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner
+
+
 def odd_numbers(n: int, lane: int = 0) -> np.ndarray:
     """n fixed pseudo-random odd 64-bit numbers; lanes are independent of each other."""
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(lane * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) | _U(1)

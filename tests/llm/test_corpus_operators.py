@@ -158,7 +158,7 @@ def test_graph_finds_what_a_scan_finds():
     x[::3] = x[0] + rng.normal(size=(300, 12)) * 0.05
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph.unpack(x, hnsw.Graph(x).pack())
-    found, _ = hnsw.search(g, x, 0.93)
+    found, _, _ = hnsw.search(g, x, 0.93)
     true = [set(np.flatnonzero(x @ q >= 0.93).tolist()) for q in x]
     assert sum(len(t & set(f)) for t, f in zip(true, found, strict=True)) >= 0.99 * sum(map(len, true))
 
@@ -184,11 +184,13 @@ def test_exchange_finds_planted_classes():
     for a in range(40):
         for b in range(40):
             pairs[a, b] = 50 if kind[b] == (kind[a] + 1) % 4 else rng.integers(0, 2)
-    of = rng.integers(0, 4, 40)
+    p, c = (x.ravel() for x in np.indices((40, 40)))
+    found = brown.Exchange(p, c, pairs.ravel(), np.concatenate([rng.integers(0, 4, 38), [4, 5]]), 38, 4)
     for _ in range(6):
-        one = np.eye(4)[of]
-        of = brown.exchange(of, 4, pairs @ one, pairs.T @ one, np.diag(pairs).copy(), one.T @ pairs @ one)
-    assert len({(k, c) for k, c in zip(kind, of, strict=True)}) == 4
+        found.sweep()
+        for kept, anew in zip((found.right, found.left, found.matrix), found.counted(), strict=True):
+            assert np.array_equal(kept, anew)  # moves within a sweep are seen by the next word
+    assert len({(k, c) for k, c in zip(kind[:38], found.of[:38], strict=True)}) == 4
 
 
 def test_base_spans_equal_the_patterns():

@@ -34,7 +34,7 @@ def test_sparse_pairs_beyond_the_audit_are_found():
     x = rng.normal(size=(1000, 24))
     x[500:] = x[:500] + rng.normal(size=(500, 24)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found, width = hnsw.search(hnsw.Graph(x), x, 0.93, same=True)
+    found, width, _ = hnsw.search(hnsw.Graph(x), x, 0.93, same=True)
     assert width < len(x) and np.mean([(i + 500) % 1000 in f for i, f in enumerate(found)]) >= 0.99
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go: among them null and empty texts. Each row is judged by its own whole text, so
+    repeated rows share a fate; an empty table gives no rows; other columns are kept as they are."""
     ship(spark)
     return quality.keep(docs)
 
@@ -20,33 +21,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents similar to 0.8 in shingles of five words, directly or through others, the one with the least id stays.
 
-    Rows that share an id share its fate, and of rows equal in all columns one stays. Rows with a null id stay.
+    Null ids come last. Rows are decided one by one, also where they share an id; of rows equal in all columns one stays. Null and
+    empty texts are linked with nothing and stay. Texts of any length are read whole. An empty table gives no rows; other columns
+    are kept as they are.
     """
     ship(spark)
-    found = ngram_join.join(docs, n=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(cut(gone), "doc_id", "left_anti")
-    twice = cut(repeated)
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates())
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; the lengths follow."""
+    """Personal data is masked; the lengths follow. Null texts stay null, empty ones empty; of overlapping spans the union is masked.
+    Every row is masked by its own whole text; an empty table gives no rows; other columns are kept as they are."""
     ship(spark)
     out = pii.mask(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated up to four times towards even shares; every document is dealt at least once."""
+    """Sources are repeated up to four times towards even shares; every document is dealt at least once. A null source is one of its
+    own; documents without tokens are dealt once; a source of one long document is repeated like any other. An empty table gives no
+    rows; other columns are kept as they are."""
     return mixing.mix(docs, evenness=0.97, repetition=4.0, budget=None).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document dealt."""
+    """The ids of every document dealt, repeated ones alike. Null and empty texts have no ids; long ones are encoded in a window. An
+    empty table gives no rows; other columns go."""
     ship(spark)
     return sentencepiece_stream.encode(docs, sentencepiece_stream.read_pieces(VOCABULARY))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from crossfile.llm.components import components, forest
 from crossfile.llm.frames import cut
-from crossfile.llm.text import Words, buffers, frugal, inside, mix, slices, windows
+from crossfile.llm.text import Words, buffers, frugal, inside, mix, slices, thrifty, windows
 
 SKETCH = 1 << 18
 #: Parity bits of a set: the next power of two above its size, between these.
@@ -306,7 +306,7 @@ def _crowded(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
                 left = left[~hit]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
-    return rows.groupBy("crowd", "i", "j").applyInArrow(check, "a binary, b binary")
+    return rows.groupBy("crowd", "i", "j").applyInArrow(thrifty(check), "a binary, b binary")
 
 
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -388,7 +388,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         few = {c: pa.array([x.tobytes() for x in np.ascontiguousarray(flat[:, i : i + 2])], pa.binary()) for c, i in (("a", 0), ("b", 2))}
         return pa.concat_tables([pa.table(few | {"crowd": pa.nulls(len(flat), pa.int64())}), many])
 
-    came = cut(docs.mapInArrow(frugal(post), "bucket int, e binary").groupBy("bucket").applyInArrow(meet, "a binary, b binary, crowd long"))
+    came = cut(docs.mapInArrow(frugal(post), "bucket int, e binary").groupBy("bucket").applyInArrow(thrifty(meet), "a binary, b binary, crowd long"))
     pairs = came.where("crowd is null").select("a", "b")
     # What differs in more bits than it may in elements isn't similar: bits are far smaller than sets.
     bits = about.where("n_shingles > 0").groupBy("name").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
@@ -414,8 +414,8 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
             rows = np.flatnonzero(_passes(words, own) & (np.diff(first) > 0)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([own[i].tobytes() for i in rows], pa.binary()), pa.array([key[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], ["name", "s"])
 
-    held = docs.mapInArrow(frugal(whole), "name binary, s binary").join(wanted, "name", "left_semi")
-    held = held.groupBy("name").agg(F.first("s").alias("s"))
+    # Copies are one before they are sent; the join moves names only.
+    held = docs.mapInArrow(frugal(whole), "name binary, s binary").groupBy("name").agg(F.first("s").alias("s")).join(wanted, "name", "left_semi")
     return _verified(held, components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), percent), about
 
 
@@ -489,7 +489,7 @@ def _verified(held: DataFrame, of: DataFrame, percent: int) -> DataFrame:
         kept = forest(edges)
         return pa.table({"a": pa.array([*counted, *(e[0] for e in kept)], pa.binary()), "b": pa.array([*([None] * len(counted)), *(e[1] for e in kept)], pa.binary()), "n": pa.array([*counted.values(), *([0] * len(kept))], pa.int64())})
 
-    return rows.groupBy("task", "i", "j").applyInArrow(check, "a binary, b binary, n long")
+    return rows.groupBy("task", "i", "j").applyInArrow(thrifty(check), "a binary, b binary, n long")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,9 @@ columns are ignored by ``find`` and kept by ``mask``. An empty table, or one wit
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from crossfile.llm.text import frugal
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "account")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -76,6 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]+|xox[abp]_?[A-Za-z0-9]+")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key)s?[\"']?\s*[=:]\s*[\"']?$", re.IGNORECASE)
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{12,30}")
 _GIVEN = re.compile(r"[=:]\s*[\"']?$")
 #: Starts of tokens: of known secrets, and of known harmless identifiers. Fixed values.
 _SECRET_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk_test_", "xoxa", "xoxb", "xoxp")
@@ -111,7 +114,18 @@ def _digits(token: str, before: str) -> int:
     return -1 if share < 0.1 or share > 0.95 else 1 if share >= 0.15 else 0
 
 
-LABELERS = (_pattern, _hexadecimal, _context, _gazetteer, _entropy, _digits)
+def is_account(token: str) -> bool:
+    """An international bank account number: two letters, two check digits, and the remainder of 97 that these make 1."""
+    if not _ACCOUNT.fullmatch(token):
+        return False
+    return int("".join(str(int(c, 36)) for c in token[4:] + token[:4])) % 97 == 1
+
+
+def _check_digits(token: str, before: str) -> int:
+    return 1 if is_account(token) else 0
+
+
+LABELERS = (_pattern, _hexadecimal, _context, _gazetteer, _entropy, _digits, _check_digits)
 
 
 def candidates(text: str) -> list[tuple[int, int, tuple[int, ...]]]:
@@ -137,7 +151,12 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50)
             for z, weight in enumerate((n * (1 - post), n * post)):
                 counts = np.bincount(votes[:, j], weight, 3) + 0.5
                 table[j, z] = counts / counts.sum()
-        # Labelers are better than chance: a vote for counts at least as much for secrets.
+            # Labelers are better than chance, or say nothing: where a vote for would speak against, or one against for, it is of
+            # equal weight in both classes.
+            for v, sign in ((0, -1), (2, 1)):
+                if sign * (table[j, 1, v] - table[j, 0, v]) < 0:
+                    table[j, :, v] = share * table[j, 1, v] + (1 - share) * table[j, 0, v]
+            table[j] /= table[j].sum(axis=1, keepdims=True)
         odds = math.log(share / (1 - share)) + sum(np.log(table[j, 1, votes[:, j]] / table[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
         post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return share, table, post
@@ -192,7 +211,12 @@ def all_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[int, in
     """(base spans, all spans), each by start and then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]))
     base = base_spans(text)
-    more = [(a, b, "secret") for a, b, f in candidates(text) if is_secret(f, weights) and not any(a < y and x < b for x, y, _ in base)]
+    taken = sorted(base)
+    more = [(a, b, "account" if is_account(text[a:b]) else "secret") for a, b, f in candidates(text) if is_secret(f, weights)]
+    starts = [x for x, _, _ in taken]
+    furthest = list(itertools.accumulate((y for _, y, _ in taken), max))
+    # Added spans don't overlap base ones: of these, only those that start before an added one's end can reach into it.
+    more = [s for s in more if not (i := bisect.bisect_left(starts, s[1])) or furthest[i - 1] <= s[0]]
     return sorted(base, key=order), sorted(base + more, key=order)
 
 

@@ -43,14 +43,31 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return inner
 
 
+def thrifty(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """As ``frugal``, for a group, where that is large."""
+
+    def inner(group: pa.Table) -> pa.Table:
+        large = group.nbytes > 4 << 20
+        out = run(group)
+        if large:
+            give_back()
+        return out
+
+    return inner
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def odd_numbers(n: int, lane: int = 0) -> np.ndarray:
     """n fixed pseudo-random odd 64-bit numbers; lanes are independent of each other."""
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(lane * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) | _U(1)

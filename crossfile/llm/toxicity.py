@@ -4,10 +4,12 @@ Two zstandard dictionaries are trained from labelled texts in the manner of COVE
 documents hold them, and the segments covering the best are kept. The ordinary dictionary scores strings by ordinary
 documents; the toxic one holds the same segments followed by those whose strings are frequent in toxic and rare in ordinary
 documents, so that a window's two lengths differ by what only toxic text explains. Of every text all windows are compressed
-under both; a logistic model over the windows' gains is calibrated on labelled documents that the dictionaries haven't seen.
+under both; a logistic model over the windows' gains is calibrated on labelled documents that the dictionaries haven't seen. Length
+of window and size of the toxic dictionary are those of ``SETTINGS`` whose model is best, by its loss over folds of these documents;
+rows held out take no part in that.
 
-Fitted on at most ``SAMPLE`` labelled documents of each class (the least hashes of their ids) of at most ``LONGEST`` bytes.
-Scoring reads whole texts, in windows of ``WINDOW`` bytes. Null and empty texts score as texts without any gain. Ids with
+Fitted on at most ``SAMPLE`` labelled documents of each class (the least hashes of their ids); of one longer than ``LONGEST`` characters
+it takes ``PIECES`` pieces at even distances, as many characters in all. Scoring reads whole texts, window by window. Null and empty texts score as texts without any gain. Ids with
 several or conflicting labels count by their greatest label. Repeated rows score alike. Extra columns are ignored. Without
 both labels in the training part every score is the share of toxic labels there.
 """
@@ -23,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossfile.llm.frames import text_key
+from crossfile.llm.text import frugal
 
-SAMPLE, LONGEST = 3000, 16_384
-#: Windows are so short that zstandard stores literals as they are: under entropy coding, lengths vary by more than a match.
-WINDOW, OVERLAP = 42, 8
+SAMPLE, LONGEST, PIECES = 3000, 16_384, 16
+#: (bytes to a window, bytes of the toxic dictionary). Windows are so short that zstandard stores literals as they are: under entropy
+#: coding, lengths vary by more than a match.
+SETTINGS = [(w, n) for w in (32, 42) for n in (1536, 3072)]
+FOLDS, OVERLAP = 3, 8
 GRAM, SEGMENT = 6, 12
-ORDINARY_BYTES, TOXIC_BYTES = 512, 1536
+ORDINARY_BYTES = 512
+#: A toxic string is in so many toxic documents at least, and by so much likelier there.
+LEAST_TOXIC, LIFT = 4, 8
 THRESHOLD = 0.3
 
 
@@ -85,8 +92,8 @@ def cover(grams: np.ndarray, score: np.ndarray, size: int) -> bytes:
 
 
 class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, prior: float, weights: np.ndarray | None = None):
-        self.ordinary, self.toxic, self.prior, self.weights = ordinary, toxic, prior, weights
+    def __init__(self, ordinary: bytes, toxic: bytes, prior: float, weights: np.ndarray | None = None, window: int = 42):
+        self.ordinary, self.toxic, self.prior, self.weights, self.window = ordinary, toxic, prior, weights, window
         self._ready = None
 
     def __getstate__(self):
@@ -97,7 +104,7 @@ class Model:
             made = []
             for content in (self.ordinary, self.toxic):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                near = zstandard.ZstdCompressionParameters.from_level(9, source_size=WINDOW, dict_size=len(content))
+                near = zstandard.ZstdCompressionParameters.from_level(9, source_size=self.window, dict_size=len(content))
                 # Only matches of a whole string count.
                 how = zstandard.ZstdCompressionParameters(window_log=near.window_log, chain_log=near.chain_log, hash_log=near.hash_log, search_log=8, min_match=GRAM, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
                 made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
@@ -108,7 +115,7 @@ class Model:
         """Bytes that each window gets shorter under the toxic dictionary. Neighbouring windows overlap."""
         a, b = self._coders()
         data = _norm(text)
-        parts = [data[i : i + WINDOW + OVERLAP] for i in range(0, max(len(data), 1), WINDOW)]
+        parts = [data[i : i + self.window + OVERLAP] for i in range(0, max(len(data), 1), self.window)]
         return np.array([len(a.compress(x)) - len(b.compress(x)) for x in parts], dtype=float)
 
     @staticmethod
@@ -135,8 +142,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
-    """Dictionaries from two thirds of the sample, calibration on the rest."""
+def _loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Mean loss of a model over folds of the documents, each scored by a model of the others."""
+    fold, total = np.arange(len(y)) % FOLDS, 0.0
+    for k in range(FOLDS):
+        if len(set(y[fold != k])) < 2:
+            return float("inf")
+        z = x[fold == k] @ _logistic(x[fold != k], y[fold != k], weight[fold != k])
+        total += float((weight[fold == k] * np.logaddexp(0, np.where(y[fold == k] == 1, -z, z))).sum())
+    return total / weight.sum()
+
+
+def train(toxic: list[str], ordinary: list[str], prior: float, settings: list[tuple[int, int]] | None = None) -> Model:
+    """Dictionaries from two thirds of the sample; calibration, and the choice of the setting, on the rest."""
     if not toxic or not ordinary:
         return Model(b"", b"", prior)
     seen = [[_norm(t) for i, t in enumerate(ts) if i % 3 or len(ts) < 3] for ts in (toxic, ordinary)]
@@ -145,13 +163,20 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     there = tn / len(seen[0])
     elsewhere = (_lookup(ok, on, tk) + 0.5) / (len(seen[1]) + 1)
     either = (_lookup(ok, on, tk) + tn) / (len(seen[0]) + len(seen[1]))
-    score = np.where((tn >= 4) & (there >= 8 * elsewhere), tn * np.log(there / either), 0.0)
-    model = Model(common, common + cover(tk, score, TOXIC_BYTES), prior)
-    held = [(t, y) for ts, y in ((toxic, 1.0), (ordinary, 0.0)) for i, t in enumerate(ts) if not i % 3 or len(ts) < 3]
-    x = np.array([Model.features(model.gains(t)) for t, _ in held])
+    score = np.where((tn >= LEAST_TOXIC) & (there >= LIFT * elsewhere), tn * np.log(there / either), 0.0)
+    pairs = [(t, y) for ts, y in ((toxic, 1.0), (ordinary, 0.0)) for i, t in enumerate(ts) if not i % 3 or len(ts) < 3]
+    held = [pairs[i] for i in np.random.default_rng(len(pairs)).permutation(len(pairs))]
     y = np.array([y for _, y in held])
     # The sample holds as many of each class as it may; weights bring back their true shares.
     weight = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
+    best = None
+    for window, size in settings or SETTINGS:
+        model = Model(common, common + cover(tk, score, size), prior, window=window)
+        x = np.array([Model.features(model.gains(t)) for t, _ in held])
+        loss = _loss(x, y, weight)
+        if best is None or loss < best[0]:
+            best = loss, model, x
+    _, model, x = best
     model.weights = _logistic(x, y, weight)
     return model
 
@@ -162,19 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     shares = labels.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("t")).first()
     if not shares.n:
         return Model(b"", b"", 0.0)
-    chosen = None
-    for toxic in (1, 0):
-        part = labels.where((F.col("toxic") == 1) == F.lit(bool(toxic))).select("_k", F.lit(toxic).alias("y")).orderBy(F.xxhash64("_k"), "_k").limit(2 * sample)
-        chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).where((F.octet_length("t") <= LONGEST) & (F.octet_length("t") > 0)).join(F.broadcast(chosen), "_k")
-    rows = texts.select("y", "t", F.row_number().over(_first("y")).alias("i")).where(F.col("i") <= sample).orderBy("y", "i").collect()
-    return train([r.t for r in rows if r.y], [r.t for r in rows if not r.y], (shares.t or 0) / shares.n)
-
+    step = F.floor(F.char_length("t") / PIECES).cast("int")
+    pieces = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("t"), i * step + 1, F.lit(LONGEST // PIECES))))
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).where(F.octet_length("t") > 0)
 
-def _first(by: str):
-    from pyspark.sql import Window
+    def chosen(toxic: bool) -> list[str]:
+        """The texts of least hashes; of rows that share an id the least text."""
+        ids = labels.where((F.col("toxic") == 1) == F.lit(toxic)).select("_k").orderBy(F.xxhash64("_k"), "_k").limit(2 * sample)
+        found = texts.join(F.broadcast(ids), "_k").select("_k", F.when(F.char_length("t") <= LONGEST, F.col("t")).otherwise(pieces).alias("t"))
+        return [r.t for r in found.orderBy(F.xxhash64("_k"), "_k", "t").limit(sample).collect()]
 
-    return Window.partitionBy(by).orderBy(F.xxhash64("_k"), "_k", "t")
+    return train(chosen(True), chosen(False), (shares.t or 0) / shares.n)
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,4 +209,4 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             score = np.array([model.score(t) for t in b.column(1).to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(run, f"`{key}` {docs.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(frugal(run), f"`{key}` {docs.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")

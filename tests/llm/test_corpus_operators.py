@@ -223,8 +223,35 @@ def test_personal_data(spark, docs):
     assert len(out) == docs.count() and {r.base_sha256 for r in out} == {hashlib.sha256(b"").hexdigest()}
     assert pii.mask(docs, weights).exceptAll(docs).count() == 0
     assert pii.fit(docs.limit(0)) is None and pii.find(docs.limit(0), None).count() == 0
-    share, table, post = pii.reliabilities([((1, 1, 1, 0, 1, 1), 50), ((0, -1, -1, 0, -1, -1), 50)])
+    share, table, post = pii.reliabilities([((1, 1, 1, 0, 1, 1, 0), 50), ((0, -1, -1, 0, -1, -1, 0), 50)])
     assert post[0] > 0.99 > 0.01 > post[1] and 0.4 < share < 0.6
+    # A labeler that votes the wrong way is given no weight, not the opposite one.
+    _, table, post = pii.reliabilities([((1, 1, 1, 0, 1, -1, 0), 50), ((0, -1, -1, 0, -1, 1, 0), 50)])
+    assert np.allclose(table[5, 0], table[5, 1]) and post[0] > 0.99 > 0.01 > post[1]
+    assert pii.is_account("DE89370400440532013000") and not pii.is_account("DE88370400440532013000")
+    assert pii.all_spans("pay DE89370400440532013000 now", weights)[1] == [(4, 26, "account")]
+
+
+def test_found_spans_equal_the_patterns(spark):
+    """Of texts that do hold spans: counts, digests and offsets, in code points."""
+    rng = random.Random(12)
+    bits = ["4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+1 (988) 555-2485", "ü", "𝄞", " ", "\n", "word", 'token = "be8a8e7152a5c568b612dc7f4042dd9566113270"', "5500005555555559"]
+    texts = ["".join(rng.choice(bits) + " " for _ in range(rng.randint(0, 9))) for _ in range(120)] + [None, "", "é" * 400_000 + " x@y.de " + "z " * 400_000]
+    weights = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fits = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 14 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), "phone": lambda s: 10 <= len(digits(s)) <= 15}
+    want = []
+    for i, t in enumerate(texts):
+        found = sorted((m.start(), list(patterns).index(k), f"{k}:{m.start()}:{m.end()}") for k, p in patterns.items() for m in re.finditer(p, t or "") if fits[k](m.group()))
+        base = ",".join(s for _, _, s in found)
+        want.append((i, *(sum(k == j for _, k, _ in found) for j in range(4)), hashlib.sha256(base.encode()).hexdigest(), base))
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), weights).collect()}
+    for i, *counts, digest, base in want:
+        r = out[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == digest
+        assert [s for s in r.spans.split(",") if s and not s.startswith(("secret", "account"))] == [s for s in base.split(",") if s]
+    assert sum(r.n_added for r in out.values()) == sum((t or "").count("token =") for t in texts)
 
 
 def test_toxicity(spark, docs):

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from crossfile.llm import hnsw, ngram_join
+from crossfile.llm import hnsw, mixing, ngram_join, quality, substring
 
 
 @pytest.mark.parametrize("units", [[200, *[20] * 18, 1], [200, *[20] * 10, *[2] * 9]])
@@ -25,6 +25,7 @@ def test_a_lone_pair_is_found_though_no_edge_leads_to_it(group):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = hnsw.Graph(x)
     g.levels = [{i: [j for j in near if j not in (777, 900)] for i, near in level.items()} for level in g.levels]
+    g._mend()
     true = [set(np.flatnonzero(x @ q >= 0.93).tolist()) for q in x]
     assert [set(f) for f in hnsw.search(g, x, 0.93, same=True)[0]] == true
 
@@ -38,6 +39,18 @@ def test_sparse_pairs_beyond_the_audit_are_found():
     assert width < len(x) and np.mean([(i + 500) % 1000 in f for i, f in enumerate(found)]) >= 0.99
 
 
+def test_shards_grow_and_their_audit_is_told(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 12))
+    x[1500:2000] = x[:500] + rng.normal(size=(500, 12)) * 0.02
+    out = hnsw.near_duplicates(spark.createDataFrame([(i, [float(v) for v in q], i % 2) for i, q in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.shards for r in out} == {hnsw.SHARDS} and all(r.recall >= hnsw.RECALL and r.beam >= hnsw.BEAM for r in out)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.arange(3000)[:, None] % 2 == np.arange(3000) % 2)
+    true = near.sum(axis=1) - 1
+    assert sum(r.n_links for r in out) >= 0.99 * true.sum()
+
+
 def bridge():
     """Texts a and b, similar to 0.9 only through n."""
     n = [f"w{i}" for i in range(100)]
@@ -49,3 +62,48 @@ def test_a_document_without_an_id_links_its_neighbours(spark):
     rows = [(1, a), (None, n), (2, b), (3, "other words of no one else"), (None, "alone " * 9)]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.component_id, r.n_links) for r in got), key=str) == sorted([(1, 1, 1), (None, 1, 2), (2, 1, 1), (3, 3, 0), (None, None, 0)], key=str)
+
+
+def test_one_of_each_component_stays_row_by_row(spark):
+    a, n, b = bridge()
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "x"), (2, a, "y"), (2, other, "z"), (None, a, "x"), (None, a, "x"), (7, None, "x"), (7, None, "x"), (8, "", "x"), (9, "few words", "p"), (9, "few words", "p"), (9, "few words", "q")]
+    docs = spark.createDataFrame([(*r, {"k": 1}, 5) for r in rows], "doc_id long, text string, source string, row0 map<string,int>, r int").repartition(3)
+    got = Counter((r.doc_id, r.text, r.source) for r in ngram_join.keep_one(docs).collect())
+    kept = Counter({(1, a, "x"): 1, (2, other, "z"): 1, (7, None, "x"): 2, (8, "", "x"): 1})  # id 2 shares its fate with none
+    few = [k for k in got if k[0] == 9]
+    assert len(few) == 1 and got[few[0]] == 1 and got - Counter(few) == kept
+    assert ngram_join.keep_one(docs).columns == docs.columns and ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_texts_beyond_a_slice_are_read_whole(spark):
+    words = [f"w{i}" for i in range(260_000)]
+    long_, near = " ".join(words), " ".join([*words[:-9], *("y" * 5 for _ in range(9))])  # about 1.8 MB each
+    one = "x" * (3 << 20)
+    docs = spark.createDataFrame([(1, long_), (2, near), (3, one), (4, one + " b"), (5, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
+    assert [got[i].component_id for i in range(1, 6)] == [1, 1, 3, 4, 5] and got[1].n_shingles == len(words) - 2 and got[3].n_shingles == 1
+    assert {r.doc_id: r.n_words for r in quality.measure(docs).collect()} == {1: len(words), 2: len(words), 3: 1, 4: 2, 5: 3}
+    cut = {r.doc_id: r.n_removed for r in substring.deduplicate(docs).collect()}
+    assert cut == {1: 0, 2: len(words) - 9, 3: 0, 4: 0, 5: 0}
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}", "keep", i) for i in range(30)], "doc_id long, text string, source string, _source string, _epoch int")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "__n_tokens", "__exponent", "__weight", "__epoch", "__order"]
+    assert {r._source for r in out.collect()} == {"keep"} and out.where("_epoch <> doc_id").count() == 0
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_odd_tables(spark, tmp_path, empty):
+    """No rows; and columns named like those that stages make themselves."""
+    rows = [(None, None, None, 1, "a", "b", 2), (1, "some words " * 30, "s", 1, "a", "b", 2), (2, " ".join(f"w{i}" for i in range(60)), None, 1, "a", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, r string, name string, _copies int")
+    now = docs.limit(0) if empty else docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, "")
+        assert i == 4 or now.columns == docs.columns, name
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert {r.doc_id for r in now.collect()} == (set() if empty else {2})

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-QUIET_MS = 600
+QUIET_MS, POLL = 600, "250 milliseconds"
 VERSIONS = "version long, good boolean, error string"
 
 
@@ -111,7 +111,7 @@ def recompute(bursts: DataFrame, read: Callable[[], DataFrame], target: str, che
         row = batch.sparkSession.createDataFrame([(version, error is None, error)], VERSIONS)
         row.coalesce(1).write.mode("overwrite").json(f"{target}/versions/{version}")
 
-    return bursts.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return bursts.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=POLL).start()
 
 
 def versions(spark: SparkSession, target: str) -> DataFrame:

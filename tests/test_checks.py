@@ -89,7 +89,7 @@ def test_imports(spark):
 def test_clump(spark):
     given = lambda to: [call(to, [arg(name=n) for n in "abc"])]
     f = facts(spark, symbols=[sym("m:f"), sym("m:g"), sym("m:h"), sym("m:two")], functions=[fn("m:f", "abc", calls=given("g")), fn("m:g", "abc", calls=given("h")), fn("m:h", "abc"), fn("m:two", "ab", calls=[call("h", [arg(name="a"), arg(name="b")])])], call_edges=[("m:f", "m:g", [1]), ("m:g", "m:h", [1]), ("m:two", "m:h", [1])])
-    assert found("clump", f) == [("m:f", "a,b,c")]
+    assert found("clump", f) == [("m:f", "a+b+c")]
     star = facts(spark, symbols=[sym("m:f"), sym("m:g"), sym("m:h")], functions=[fn("m:f", "abc", calls=given("g") + given("h")), fn("m:g", "abc"), fn("m:h", "abc")], call_edges=[("m:f", "m:g", [1]), ("m:f", "m:h", [1])])
     assert found("clump", star) == []
 
@@ -101,7 +101,7 @@ def test_calls_by_name(spark):
         functions=[fn("a:same", "p"), fn("a:mixed", "p"), fn("a:drop", returns=True), fn("a:deflt", "pq", defaults=[("q", "2")]), fn("a:unread", ["p", "_u", "r"], loads={"p": 1}), fn("a:stub", "p", stub=True)],
         calls=[call("same", [one]), call("same", [one]), call("mixed", [one]), call("mixed", [true]), call("drop", dropped=True), call("drop", dropped=True, in_tests=True), call("deflt", [one], in_tests=True), call("unread", [one]), call("stub", [one])],
     )
-    assert found("constant_param", f) == [("a:same", "p")]
+    assert found("constant_param", f) == [("a:same", "p=1")]
     assert found("ignored_return", f) == [("a:drop", "")]
     assert found("unused_default", f) == [("a:deflt", "q")]
     assert ("a:unread", "r") in found("unused_param", f) and not [x for x in found("unused_param", f) if x[0] == "a:stub" or x[1] in ("p", "_u") and x[0] == "a:unread"]

@@ -268,7 +268,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
         audit = {"label": pa.array([*rest, group.column("label")[0].as_py()], group.schema.field("label").type), "shard": pa.array([*rest, group.column("shard")[0].as_py()], pa.int32()), "recall": pa.array([*rest, least_recall], pa.float64())}
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counted.values(), *([0] * len(kept)), beam], pa.int64())} | audit)
 
-    found = cut(both.groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, f"a long, b long, n long, label {kind}, shard int, recall double"))
+    # The join leaves a label in one task; its pairs of shards are dealt out.
+    found = cut(both.repartition("label", "dim", "shard", "shard2").groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, f"a long, b long, n long, label {kind}, shard int, recall double"))
     audits = found.where("recall is not null").groupBy(F.col("label").alias("l")).agg(F.count_distinct("shard").alias("shards"), F.max("n").alias("beam"), F.min("recall").alias("recall"))
     links = found.where("a is not null and b is null").groupBy("a").agg(F.sum("n").alias("n"))
     of = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))

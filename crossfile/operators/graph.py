@@ -103,7 +103,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while n:
         after = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = after.count()
-        left, n, small = after, m, n - m < n // 20
+        left, n, small = after, m, n - m <= n // 20
         if small:
             break
     return left

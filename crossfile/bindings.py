@@ -7,11 +7,15 @@ calls, uses, imports and reads, told apart by quantity. All is relative to the t
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from crossfile.facts import Facts
 from crossfile.rules import Project
 from crossfile.schemas import ARG, CALL, TABLES
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FLAT = """
 line as (select l_orderkey o, l_linenumber n, l_partkey k, l_suppkey s, l_quantity q, l_discount d, l_tax t, l_returnflag rf, l_linestatus ls,
@@ -58,9 +62,36 @@ commit_at as (select o, row_number() over (order by o desc) - 1 pos from (select
 TABLE_NAMES = ("lineitem", "supplier", "part")
 
 
+#: The flat tables by name, in order.
+PARTS = {part.partition(" ")[0]: part.rstrip(",") for part in re.split(r"\n(?=\w+ as \()", FLAT.strip())}
+
+
+def needed(select: str) -> str:
+    """The flat tables that a query names, directly or through others: plans of all of them would take longer to make than to run."""
+    want: set[str] = set()
+    todo = [select]
+    while todo:
+        new = (set(re.findall(r"\w+", todo.pop())) & PARTS.keys()) - want
+        want |= new
+        todo += [PARTS[n] for n in new]
+    return ",\n".join(part for name, part in PARTS.items() if name in want)
+
+
 def flat(spark: SparkSession, sf: str, select: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in TABLE_NAMES}
-    return spark.sql(f"with {FLAT} {select}", **tables)
+    text = f"with {needed(select)} {select}"
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in TABLE_NAMES if f"{{{t}}}" in text})
+
+
+class Made(dict):
+    """Tables that are made when they are first read."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = df = self.makers[name]()
+        return df
 
 
 def sql(select: str, more: str = "", recursive: bool = False) -> str:
@@ -78,34 +109,44 @@ def _arg(text: str, literal: bool = True, boolean: bool = False, name: str | Non
 def facts(spark: SparkSession, sf: str, rules: Project = Project(), imports: str = "imps") -> Facts:
     """All fact tables. imports: which of the flat tables of imports."""
     q = lambda select: flat(spark, sf, select)
-    name_of_call = lambda x: f"named_struct('name', {x}, 'file', 'x.py', 'line', line"
     none = "cast(array() as array<string>)"
-    own = F.array_sort(F.collect_list(F.struct("pos", "param")))
-    params = q("select * from params").groupBy("sid").agg(F.transform(own, lambda x: x["param"]).alias("params"))
-    keywords = f"filter(array(case when kb then named_struct('k', 'b', 'arg', {_arg("'True'", boolean=True)}) end, case when kc then named_struct('k', 'c', 'arg', {_arg("'1'")}) end), x -> x is not null)"
-    args = f"slice(array({_arg('a')}, {_arg("'2'")}, {_arg("'3'")}), 1, np)"
-    calls = q(f"select id call_id, name, replace(module, '.', '/') || '.py' file, line, {args} args, {keywords} keywords, spreads, dropped, in_tests from called")
-    # Calls that functions make: of each own callee, with the parameters both ends have, handed on under their names.
-    hand = q("select distinct caller, callee, line from edges").join(q("select sid callee, np theirs, last from fns"), "callee").join(q("select sid caller, np own from fns"), "caller")
-    inner = hand.selectExpr("caller sid", f"named_struct('name', last, 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, least(own, theirs)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', false, 'dropped', false, 'in_tests', false) c")
-    inner = inner.groupBy("sid").agg(F.collect_list("c").alias("calls"))
-    sole = f"case when z % 3 = 0 and np > 0 then named_struct('name', 'x', 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, np - cast(z % 5 = 1 as int)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', z % 9 = 0, 'dropped', false, 'in_tests', false) end"
-    body = q(
-        f"select sid, last name, np, slice(array(named_struct('name', 'c', 'text', '1')), 1, cast(np = 3 as int)) defaults, slice(array('b'), 1, cast(np >= 2 as int)) flags, decorated, stub, returns_value, "
-        f"map_from_entries(filter(array(struct('a', cast(z % 3 <> 0 as int)), struct('b', cast(z % 5 <> 0 as int)), struct('c', cast(z % 7 <> 0 as int))), x -> x.col2 > 0)) loads, slice(array('a'), 1, cast(np >= 1 and z % 3 = 1 as int)) relayed, "
-        f"{sole} sole_call, case when np >= 2 and z % 5 = 4 then named_struct('name', 'b', 'start', cast(line as int), 'end', cast(line + 2 as int)) end first_if, shape, map('self', cast(z % 3 as int), 'a', cast(z % 9 as int)) receiver_reads, "
-        "map('a', coalesce(split_part(owner, ':', 2), 'C0')) annotations, k ord from fns"
-    )
-    body = body.join(params, "sid", "left").withColumn("params", F.coalesce("params", F.expr(none))).withColumn("positional", F.col("params")).join(inner, "sid", "left").withColumn("calls", F.coalesce("calls", F.expr(f"cast(array() as array<{CALL}>)")))
-    fields = q("select * from fields").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "type"))), lambda x: F.struct(x["field"].alias("name"), x["type"].alias("type"))).alias("fields"))
-    classes = q("select sid, case when base is null then array() else array(base) end bases, library_base, decorated, abstract, k ord from klass").join(fields, "sid", "left").withColumn("fields", F.coalesce("fields", F.expr("cast(array() as array<struct<name:string,type:string>>)")))
-    tables = {
-        "modules": q("select module, replace(module, '.', '/') || '.py' file, lines, k ord from mods"), "imports": q(f"select * from {imports}"), "externals": q("select * from ext"), "taken": q("select * from took"),
-        "symbols": q("select sid, module, name, kind, '' doc, line, lines, private, owner, k ord from syms"), "uses": q("select * from users"),
-        "call_edges": q("select * from edges").groupBy("caller", "callee").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), "calls": calls, "functions": body, "classes": classes,
-        "library_calls": q("select api, module, line, built raised_or_returned, id ord from lib"),
-        "names": q("select 'handed' kind, module, name from handed union all select 'attribute_reads', '', name from attr union all select 'listed_names', '', name from listed union all select 'called_names', module, 'asdict' from serial"),
-        "name_counts": q("select 'package' scope, name, n from read_in union all select 'tests', name, n from tested"), "test_uses": q("select name, file, line, first start, last `end` from test_use"),
-        "commit_files": q("select cast(c.o as string) hash, '' subject, cast(a.pos as int) pos, replace(c.module, '.', '/') || '.py' file from changed c join commit_at a on a.o = c.o"), "entrypoints": q("select sid from doors"),
+    def calls() -> DataFrame:
+        keywords = f"filter(array(case when kb then named_struct('k', 'b', 'arg', {_arg("'True'", boolean=True)}) end, case when kc then named_struct('k', 'c', 'arg', {_arg("'1'")}) end), x -> x is not null)"
+        args = f"slice(array({_arg('a')}, {_arg("'2'")}, {_arg("'3'")}), 1, np)"
+        return q(f"select id call_id, name, replace(module, '.', '/') || '.py' file, line, {args} args, {keywords} keywords, spreads, dropped, in_tests from called")
+
+    def functions() -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct("pos", "param")))
+        params = q("select * from params").groupBy("sid").agg(F.transform(own, lambda x: x["param"]).alias("params"))
+        # Calls that functions make: of each own callee, with the parameters both ends have, handed on under their names.
+        hand = q("select distinct caller, callee, line from edges").join(q("select sid callee, np theirs, last from fns"), "callee").join(q("select sid caller, np own from fns"), "caller")
+        inner = hand.selectExpr("caller sid", f"named_struct('name', last, 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, least(own, theirs)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', false, 'dropped', false, 'in_tests', false) c")
+        inner = inner.groupBy("sid").agg(F.collect_list("c").alias("calls"))
+        sole = f"case when z % 3 = 0 and np > 0 then named_struct('name', 'x', 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, np - cast(z % 5 = 1 as int)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', z % 9 = 0, 'dropped', false, 'in_tests', false) end"
+        body = q(
+            f"select sid, last name, np, slice(array(named_struct('name', 'c', 'text', '1')), 1, cast(np = 3 as int)) defaults, slice(array('b'), 1, cast(np >= 2 as int)) flags, decorated, stub, returns_value, "
+            f"map_from_entries(filter(array(struct('a', cast(z % 3 <> 0 as int)), struct('b', cast(z % 5 <> 0 as int)), struct('c', cast(z % 7 <> 0 as int))), x -> x.col2 > 0)) loads, slice(array('a'), 1, cast(np >= 1 and z % 3 = 1 as int)) relayed, "
+            f"{sole} sole_call, case when np >= 2 and z % 5 = 4 then named_struct('name', 'b', 'start', cast(line as int), 'end', cast(line + 2 as int)) end first_if, shape, map('self', cast(z % 3 as int), 'a', cast(z % 9 as int)) receiver_reads, "
+            "map('a', coalesce(split_part(owner, ':', 2), 'C0')) annotations, k ord from fns"
+        )
+        return body.join(params, "sid", "left").withColumn("params", F.coalesce("params", F.expr(none))).withColumn("positional", F.col("params")).join(inner, "sid", "left").withColumn("calls", F.coalesce("calls", F.expr(f"cast(array() as array<{CALL}>)")))
+
+    def classes() -> DataFrame:
+        fields = q("select * from fields").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "field", "type"))), lambda x: F.struct(x["field"].alias("name"), x["type"].alias("type"))).alias("fields"))
+        return q("select sid, case when base is null then array() else array(base) end bases, library_base, decorated, abstract, k ord from klass").join(fields, "sid", "left").withColumn("fields", F.coalesce("fields", F.expr("cast(array() as array<struct<name:string,type:string>>)")))
+
+    made = {
+        "modules": lambda: q("select module, replace(module, '.', '/') || '.py' file, lines, k ord from mods"), "imports": lambda: q(f"select * from {imports}"), "externals": lambda: q("select * from ext"), "taken": lambda: q("select * from took"),
+        "symbols": lambda: q("select sid, module, name, kind, '' doc, line, lines, private, owner, k ord from syms"), "uses": lambda: q("select * from users"),
+        "call_edges": lambda: q("select * from edges").groupBy("caller", "callee").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), "calls": calls, "functions": functions, "classes": classes,
+        "library_calls": lambda: q("select api, module, line, built raised_or_returned, id ord from lib"),
+        "names": lambda: q("select 'handed' kind, module, name from handed union all select 'attribute_reads', '', name from attr union all select 'listed_names', '', name from listed union all select 'called_names', module, 'asdict' from serial"),
+        "name_counts": lambda: q("select 'package' scope, name, n from read_in union all select 'tests', name, n from tested"), "test_uses": lambda: q("select name, file, line, first start, last `end` from test_use"),
+        "commit_files": lambda: q("select cast(c.o as string) hash, '' subject, cast(a.pos as int) pos, replace(c.module, '.', '/') || '.py' file from changed c join commit_at a on a.o = c.o"), "entrypoints": lambda: q("select sid from doors"),
     }
-    return Facts(spark, {n: df.select(*[F.col(f"`{c}`") for c in spark.createDataFrame([], TABLES[n]).columns]).to(spark.createDataFrame([], TABLES[n]).schema) for n, df in tables.items()}, rules)
+
+    def fitted(name: str) -> DataFrame:
+        kind = StructType.fromDDL(TABLES[name])
+        return made[name]().select(*[F.col(f"`{c}`") for c in kind.names]).to(kind)
+
+    return Facts(spark, Made({n: (lambda n=n: fitted(n)) for n in made}), rules)

@@ -411,7 +411,7 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         words = held.value
         for _, _, _, (key, first) in _read(batches, n):
             own = names(key, first)
-            rows = np.flatnonzero(_passes(words, own) & (np.diff(first) > 0)).tolist()
+            rows = np.flatnonzero(_passes(words, own.view(_U).reshape(-1, 2)) & (np.diff(first) > 0)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([own[i].tobytes() for i in rows], pa.binary()), pa.array([key[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], ["name", "s"])
 
     # Copies are one before they are sent; the join moves names only.
@@ -419,9 +419,16 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     return _verified(held, components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), percent), about
 
 
-def _places(name: np.ndarray) -> np.ndarray:
+def _lanes(b: pa.RecordBatch) -> np.ndarray:
+    """Two numbers a row: of a name of 128 bits, or of two columns."""
+    if b.num_columns == 2:
+        return np.stack([b.column(i).to_numpy() for i in range(2)], axis=1).view(_U)
+    return np.frombuffer(b"".join(b.column(0).to_pylist()), _U).reshape(-1, 2)
+
+
+def _places(lanes: np.ndarray) -> np.ndarray:
     """Two bits of the filter for each name."""
-    return (np.ascontiguousarray(name).view(_U).reshape(-1, 2) >> _U(64 - FILTER)).astype(np.int64)
+    return (lanes >> _U(64 - FILTER)).astype(np.int64)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -430,7 +437,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (FILTER - 6), dtype=_U)
         for b in batches:
-            at = _places(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="V16")).ravel()
+            at = _places(_lanes(b)).ravel()
             np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
         there = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(words[there].view(np.int64))], ["word", "bits"])
@@ -441,8 +448,8 @@ def _filter(wanted: DataFrame) -> np.ndarray:
     return words
 
 
-def _passes(words: np.ndarray, name: np.ndarray) -> np.ndarray:
-    at = _places(name)
+def _passes(words: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    at = _places(lanes)
     return (words[at >> 6] >> (at & 63).astype(_U) & _U(1)).all(axis=1)
 
 
@@ -519,12 +526,24 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     plain = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in ((f"`{c}`", t) for c, t in docs.dtypes)]
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*plain).alias("h"), F.xxhash64(F.lit(7), *plain).alias("g"))
     found = cut(join(docs.select(row.alias("r"), F.col(text).alias("t")), n, percent, "r", "t").where("n_shingles > 0").select("r", "component_id"))
-    gone = found.where("r <> component_id").select("r").distinct()
+    gone = cut(found.where("r <> component_id").select("r").distinct())
     twice = cut(found.groupBy("r").count().where("count > 1").select("r"))
     mark = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
-    kept = docs.withColumn(mark, row)
-    kept = kept.join(cut(gone.withColumnRenamed("r", mark)), mark, "left_anti")
+    marked = docs.withColumn(mark, row)
+    # Most rows are neither: those that a filter tells so stay where they are, and only the others' columns are sent.
+    doubted = _doubted(gone.union(twice))(F.col(mark)["h"], F.col(mark)["g"])
+    gone, twice = gone.withColumnRenamed("r", mark), twice.withColumnRenamed("r", mark)
+    rest = marked.where(doubted).join(gone, mark, "left_anti").select(marked.columns)
     if not twice.isEmpty():
-        twice = twice.withColumnRenamed("r", mark)
-        kept = kept.join(twice, mark, "left_anti").select(kept.columns).union(kept.join(twice, mark, "left_semi").dropDuplicates([mark]).select(kept.columns))
-    return kept.select(docs.columns)
+        rest = rest.join(twice, mark, "left_anti").select(marked.columns).union(rest.join(twice, mark, "left_semi").dropDuplicates([mark]).select(marked.columns))
+    return marked.where(~doubted).union(rest).select(docs.columns)
+
+
+def _doubted(rows: DataFrame):
+    """A function of h and g: whether a row may be among ``rows`` (r, with h and g). It says so of all that are, and of few others."""
+    held = rows.sparkSession.sparkContext.broadcast(_filter(rows.select("r.h", "r.g")))
+
+    def run(h: pa.Array, g: pa.Array) -> pa.Array:
+        return pa.array(_passes(held.value, np.stack([h.to_numpy(), g.to_numpy()], axis=1).view(_U)))
+
+    return F.arrow_udf(run, "boolean")

@@ -76,6 +76,31 @@ def test_one_of_each_component_stays_row_by_row(spark):
     assert ngram_join.keep_one(docs).columns == docs.columns and ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rows_without_copies_are_not_sent_to_be_kept(spark, tmp_path, monkeypatch):
+    """Where those that go are too many to broadcast, too; and a filter that lets all rows pass changes none of the rows."""
+    def text(i):
+        return " ".join(f"{i}w{j}" for j in range(2000))
+
+    rows = [(i, text(i)) for i in range(300)] + [(300 + i, text(i)) for i in range(3)] + [(7, text(7))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+        sc = spark.sparkContext
+        sc.setJobGroup("last", "what is left to do once it is known which rows go")
+        out.write.parquet(str(tmp_path / "kept"))
+        sc.setJobGroup("others", "")
+        store, jobs = sc._jsc.sc().statusStore(), [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("last")]
+        sent = sum(store.lastStageAttempt(s).shuffleWriteRecords() for j in jobs for s in j.stageIds if store.lastStageAttempt(s).status().name() == "COMPLETE")
+        assert 0 < sent < 100  # rows: of five in doubt and the few that are to go
+        monkeypatch.setattr(ngram_join, "_passes", lambda words, lanes: np.ones(len(lanes), bool))
+        all_sent = ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == sorted(r.doc_id for r in all_sent) == list(range(300))
+
+
 def test_texts_beyond_a_slice_are_read_whole(spark):
     words = [f"w{i}" for i in range(260_000)]
     long_, near = " ".join(words), " ".join([*words[:-9], *("y" * 5 for _ in range(9))])  # about 1.8 MB each

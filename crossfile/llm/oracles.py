@@ -45,4 +45,16 @@ words as (select doc_id, unnest(range(1, len(w) + 1)) pos, unnest(w) word from d
 kept as (select w.doc_id, count(*) n, string_agg(word, ' ' order by w.pos) t from words w left join gone g on g.doc_id = w.doc_id and g.pos = w.pos where g.pos is null group by 1)
 select d.doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_ngram_join": NGRAM_JOIN, "op3_repetition": REPETITION, "op5_recompression": RECOMPRESSION}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED_SEARCH = rf"""
+with words as (select doc_id, row_number() over () r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') w from documents),
+d as (select doc_id, r, len(w) n from words where len(w) > 0), c as (select count(*) docs, sum(n)::bigint terms from d),
+tf as (select r, t, count(*) tf from (select r, unnest(w) t from words) group by all), df as (select t, count(*) df from tf group by t),
+asked as (select item_id, t, count(*) times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) t from benchmark) group by all),
+weights as (select item_id, t, times, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) weight from asked join df using (t), c),
+scores as (select item_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint score from weights join tf using (t) join d using (r), c group by all),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) "rank" from scores join d using (r) where score > 0)
+select item_id, cast("rank" as int) "rank", doc_id, score from ranked where "rank" <= 10"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": NGRAM_JOIN, "op3_repetition": REPETITION, "op5_recompression": RECOMPRESSION, "op13_ranked_search": RANKED_SEARCH}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfile.llm import brown, hnsw, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, substring, toxicity
+from crossfile.llm import boosted, brown, hnsw, lexical, mixing, ngram_join, pii, quality, sentencepiece_stream, sharding, spelling, substring, toxicity
 from crossfile.llm.frames import ship, table
 from crossfile.llm.oracles import ORACLES as ORACLES
 
@@ -69,6 +69,22 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(16))
 
 
+def op11_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return boosted.classify(docs, boosted.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more, with its common form."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 #: The vocabulary file; the driver reads it and sends its pieces on.
 VOCABULARY = os.environ.get("CROSSFILE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -83,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_hash_tree": op8_hash_tree,
     "op9_brown": op9_brown,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_boosted_quality": op11_boosted_quality,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 def queries() -> dict[str, Query]:

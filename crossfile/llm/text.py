@@ -104,17 +104,18 @@ def slices(offsets: np.ndarray, limit: int = SLICE):
 class Words:
     """The words of rows lo..hi of (data, offsets).
 
-    ``start`` and ``end`` are byte positions in ``bytes``; row i's words are first[i]:first[i + 1].
+    ``start`` and ``end`` are byte positions in ``bytes``; row i's words are first[i]:first[i + 1]. ``inside`` tells the bytes of words
+    of another kind.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] | None = None):
         base = offsets[lo]
         self.bytes = data[base : offsets[hi]]
         if lower:
             self.bytes = _LOWER[self.bytes]
         self.rows = (offsets[lo : hi + 1] - base).astype(np.int64)
         word = np.zeros(len(self.bytes) + 1, dtype=bool)
-        np.logical_not(_SPACE[self.bytes], out=word[:-1])
+        word[:-1] = ~_SPACE[self.bytes] if inside is None else inside(self.bytes)
         before = np.zeros(len(word), dtype=bool)
         before[1:] = word[:-1]
         cut = np.zeros(len(word), dtype=bool)

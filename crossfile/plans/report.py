@@ -31,14 +31,12 @@ class Reading:
 
 
 def load(spark: SparkSession, rules: Project, facts: str | None = None) -> Facts:
-    """The facts of a project, by the reader of its language. Of TypeScript, what another reader has written (see ``json_facts``)."""
-    from crossfile.sources import json_facts, python_source
+    """The facts of a project, by the reader of its language; or facts that any reader has written (see ``json_facts``)."""
+    from crossfile.sources import json_facts, python_source, typescript
 
     if facts:
         return json_facts.read(spark, facts, rules)
-    if rules.language != "python":
-        raise ValueError(f"{rules.package_dir} holds {rules.language}: its facts come as JSON lines, which --facts names")
-    return python_source.read(spark, rules.package_dir, rules)
+    return {"python": python_source, "typescript": typescript}[rules.language].read(spark, rules.package_dir, rules)
 
 
 def calls(f: Facts) -> DataFrame:

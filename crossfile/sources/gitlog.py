@@ -6,21 +6,22 @@ import subprocess
 from pathlib import Path
 
 from crossfile.schemas import TABLES
+from crossfile.sources.files import commits
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SOURCES = (".py", ".ts", ".tsx", ".mts", ".cts")
 COMMITS = 1000
 
 
-def log(package_dir: Path) -> tuple[str, str]:
-    """(captured log, path of the package from git's top); empty without git."""
-    run = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, cwd=package_dir, check=True).stdout
+def prefix_of(package_dir: Path) -> str:
+    """The package's path from git's top; empty without git."""
     try:
-        top = Path(run("rev-parse", "--show-toplevel").strip())
-        return run("log", "--name-only", "--format=%x00%h %s", f"-n{COMMITS}", "--", str(package_dir)), str(package_dir.resolve().relative_to(top))
+        top = subprocess.run(["git", "rev-parse", "--show-toplevel"], capture_output=True, text=True, cwd=package_dir, check=True).stdout.strip()
+        return str(package_dir.resolve().relative_to(top))
     except (OSError, subprocess.CalledProcessError, ValueError):
-        return "", ""
+        return ""
 
 
 def parse(text: DataFrame, prefix: str, root: str = "") -> DataFrame:
@@ -32,7 +33,6 @@ def parse(text: DataFrame, prefix: str, root: str = "") -> DataFrame:
 
 
 def commit_files(spark: SparkSession, package_dir: Path) -> DataFrame:
-    text, prefix = log(package_dir)
-    chunks = [(i, c) for i, c in enumerate(c for c in text.split("\0") if c.strip())]
-    rows = spark.createDataFrame(chunks, "pos int, value string")
-    return parse(rows, prefix, package_dir.name).to(spark.createDataFrame([], TABLES["commit_files"]).schema)
+    """commit_files of a package, its log read by executors, some commits each."""
+    rows = commits(spark, package_dir, COMMITS)
+    return parse(rows, prefix_of(package_dir), package_dir.name).to(StructType.fromDDL(TABLES["commit_files"]))

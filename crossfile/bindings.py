@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 
 from crossfile.facts import Facts
+from crossfile.operators.lineage import cut
 from crossfile.rules import Project
 from crossfile.schemas import ARG, CALL, TABLES
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ FLAT = """
 line as (select l_orderkey o, l_linenumber n, l_partkey k, l_suppkey s, l_quantity q, l_discount d, l_tax t, l_returnflag rf, l_linestatus ls,
   lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) k2,
   lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) s2,
-  row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) id from {lineitem}),
+  l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) id from {lineitem}),
 mods as (select s_suppkey k, case when s_suppkey % 10 = 0 then 's' || cast(s_suppkey as string) else 'n' || cast(s_nationkey as string) || '.s' || cast(s_suppkey as string) end module,
   case when s_suppkey % 10 = 0 then '' else 'n' || cast(s_nationkey as string) end folder, 100 + s_suppkey % 900 lines from {supplier}),
 home as (select k, min_by(s, id) s from line group by k),
@@ -31,7 +32,7 @@ raw as (select p.k, p.s, p.z, p.module, case when z % 10 in (0, 1) then 'class'
   case when z % 10 in (0, 1) then 'C' when z % 10 = 2 then 'K' when z = 49 then '__f' when z % 10 = 7 then '_f' when z % 10 = 8 and twin = 1 then 'g' else 'f' end || cast(case when z % 10 = 8 and twin = 1 then p.k % 40 else p.k end as string) last
   from p left join cls c on c.s = p.s),
 syms as (select k, z, module, kind, last, case when kind = 'method' then 'C' || cast(c as string) || '.' || last else last end name, module || ':' || case when kind = 'method' then 'C' || cast(c as string) || '.' || last else last end sid,
-  case when kind = 'method' then module || ':C' || cast(c as string) end owner, case when kind = 'class' and c <> k then 'C' || cast(c as string) end base, last like '#_%' escape '#' private, k % 500 + 1 line, z * 2 lines from raw),
+  case when kind = 'method' then module || ':C' || cast(c as string) end owner, case when kind = 'class' and (c <> k or z % 3 = 0) then 'C' || cast(c as string) end base, last like '#_%' escape '#' private, k % 500 + 1 line, z * 2 lines from raw),
 edges as (select a.sid caller, b.sid callee, l.n line from line l join syms a on a.k = l.k join syms b on b.k = l.k2 where l.q >= 44 and a.kind in ('function', 'method') and b.kind in ('function', 'method', 'class')),
 users as (select distinct b.sid sid, case when l.n = 1 then a.module || ':<module>' else a.sid end scope from line l join syms a on a.k = l.k join syms b on b.k = l.k2 where l.q < 3 and a.k <> b.k),
 every_user as (select sid, scope from users union select callee, caller from edges),
@@ -56,30 +57,46 @@ tested as (select y.last name, count(*) n from line l join syms y on y.k = l.k w
 test_use as (select distinct y.last name, 't' || cast(l.o % 5 as string) || '.py' file, l.n line, l.n - 1 first, l.n + 3 last from line l join syms y on y.k = l.k where l.q = 9),
 doors as (select sid from syms where z % 25 = 5),
 kept as (select 'f' || cast(k as string) name from syms where k % 17 = 0),
-changed as (select l.o, a.module, a.k from line l join mods a on a.k = l.s where l.q = 1 and l.s <= 100 union select l.o, b.module, b.k from line l join mods b on b.k = l.s % 10 + l.s - l.s % 10 + 1 where l.q = 1 and l.s <= 100 and l.t < 0.07),
-commit_at as (select o, row_number() over (order by o desc) - 1 pos from (select distinct o from changed) x)
+heads as (select n_nationkey, n_regionkey, min(s_suppkey) k from {supplier} join {nation} on s_nationkey = n_nationkey group by n_nationkey, n_regionkey),
+chief as (select n_regionkey, min(k) k from heads group by n_regionkey),
+near as (select s.s_suppkey s, h.k, c.k chief from {supplier} s join heads h on h.n_nationkey = s.s_nationkey join chief c on c.n_regionkey = h.n_regionkey),
+changed as (select l.o, a.module, a.k from line l join near n on n.s = l.s join mods a on a.k = n.k where l.q = 1 union select l.o, b.module, b.k from line l join near n on n.s = l.s join mods b on b.k = n.chief where l.q = 1 and l.t < 0.07),
+commit_at as (select o, row_number() over (order by o desc) - 1 pos from (select distinct o from changed order by o desc limit 1000) x)
 """
-TABLE_NAMES = ("lineitem", "supplier", "part")
+TABLE_NAMES = ("lineitem", "supplier", "part", "nation")
 
 
 #: The flat tables by name, in order.
 PARTS = {part.partition(" ")[0]: part.rstrip(",") for part in re.split(r"\n(?=\w+ as \()", FLAT.strip())}
 
 
-def needed(select: str) -> str:
+def needed(select: str, parts: dict[str, str]) -> dict[str, str]:
     """The flat tables that a query names, directly or through others: plans of all of them would take longer to make than to run."""
     want: set[str] = set()
     todo = [select]
     while todo:
-        new = (set(re.findall(r"\w+", todo.pop())) & PARTS.keys()) - want
+        new = (set(re.findall(r"\w+", todo.pop())) & parts.keys()) - want
         want |= new
-        todo += [PARTS[n] for n in new]
-    return ",\n".join(part for name, part in PARTS.items() if name in want)
+        todo += [parts[n] for n in new]
+    return {name: part for name, part in parts.items() if name in want}
 
 
-def flat(spark: SparkSession, sf: str, select: str) -> DataFrame:
-    text = f"with {needed(select)} {select}"
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in TABLE_NAMES if f"{{{t}}}" in text})
+#: Flat tables that many others are made of: those of one binding are written once.
+HELD = ("line", "p", "syms", "edges")
+
+
+def flat(spark: SparkSession, sf: str, select: str, held: dict[str, DataFrame] | None = None, first: int = len(HELD)) -> DataFrame:
+    """Rows of a query over the flat tables. held: those of the first of HELD that are written already, to which more are added."""
+    parts = dict(PARTS)
+    if held is not None:
+        for i, name in enumerate(HELD[:first]):
+            if name not in held and name in needed(select, parts):
+                held[name] = cut(flat(spark, sf, f"select * from {name}", held, i))
+            if name in held:
+                parts[name] = f"{name} as (select * from {{{name}}})"
+    text = f"with {', '.join(needed(select, parts).values())} {select}"
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in TABLE_NAMES if f"{{{t}}}" in text}
+    return spark.sql(text, **tables, **{n: df for n, df in (held or {}).items() if f"{{{n}}}" in text})
 
 
 class Made(dict):
@@ -99,16 +116,18 @@ def sql(select: str, more: str = "", recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{FLAT.format(**{t: t for t in TABLE_NAMES})}{', ' + more if more else ''} {select}"
 
 
-def _arg(text: str, literal: bool = True, boolean: bool = False, name: str | None = None) -> str:
-    """An argument as a struct of Spark SQL; text is an expression."""
+def _arg(text: str, literal: bool = True, boolean: bool = False, name: str | None = None, of: str | None = None) -> str:
+    """An argument as a struct of Spark SQL; text is an expression. of: whose attribute ``name`` is."""
     value = f"'bool ' || {text}" if boolean else f"'int ' || {text}"
-    names = f"array('{name}')" if name else "cast(array() as array<string>)"
-    return f"named_struct('text', {text}, 'literal', {str(literal).lower()}, 'value', {value if literal else 'cast(null as string)'}, 'boolean', {str(boolean).lower()}, 'name', {f"'{name}'" if name else 'cast(null as string)'}, 'attr_of', cast(null as string), 'names', {names})"
+    names = f"array('{of}', '{name}')" if of else f"array('{name}')" if name else "cast(array() as array<string>)"
+    name = None if of else name
+    return f"named_struct('text', {text}, 'literal', {str(literal).lower()}, 'value', {value if literal else 'cast(null as string)'}, 'boolean', {str(boolean).lower()}, 'name', {f"'{name}'" if name else 'cast(null as string)'}, 'attr_of', {f"'{of}'" if of else 'cast(null as string)'}, 'names', {names})"
 
 
 def facts(spark: SparkSession, sf: str, rules: Project = Project(), imports: str = "imps") -> Facts:
     """All fact tables. imports: which of the flat tables of imports."""
-    q = lambda select: flat(spark, sf, select)
+    held: dict[str, DataFrame] = {}
+    q = lambda select: flat(spark, sf, select, held)
     none = "cast(array() as array<string>)"
     def calls() -> DataFrame:
         keywords = f"filter(array(case when kb then named_struct('k', 'b', 'arg', {_arg("'True'", boolean=True)}) end, case when kc then named_struct('k', 'c', 'arg', {_arg("'1'")}) end), x -> x is not null)"
@@ -122,10 +141,11 @@ def facts(spark: SparkSession, sf: str, rules: Project = Project(), imports: str
         hand = q("select distinct caller, callee, line from edges").join(q("select sid callee, np theirs, last from fns"), "callee").join(q("select sid caller, np own from fns"), "caller")
         inner = hand.selectExpr("caller sid", f"named_struct('name', last, 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, least(own, theirs)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', false, 'dropped', false, 'in_tests', false) c")
         inner = inner.groupBy("sid").agg(F.collect_list("c").alias("calls"))
-        sole = f"case when z % 3 = 0 and np > 0 then named_struct('name', 'x', 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'abc')}), 1, np - cast(z % 5 = 1 as int)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', z % 9 = 0, 'dropped', false, 'in_tests', false) end"
+        first = f"case when z % 6 = 3 then {_arg("'self.a'", literal=False, name='a', of='self')} when k % 3 = 0 then {_arg("'other.a'", literal=False, name='a', of='other')} else {_arg("'a'", literal=False, name='a')} end"
+        sole = f"case when z % 3 = 0 and np > 0 then named_struct('name', 'x', 'file', 'x.py', 'line', cast(line as int), 'args', slice(array({first}, {', '.join(_arg(f"'{n}'", literal=False, name=n) for n in 'bc')}), 1, np - cast(z % 5 = 1 as int)), 'keywords', cast(array() as array<struct<k:string,arg:{ARG}>>), 'spreads', z % 9 = 0, 'dropped', false, 'in_tests', false) end"
         body = q(
             f"select sid, last name, np, slice(array(named_struct('name', 'c', 'text', '1')), 1, cast(np = 3 as int)) defaults, slice(array('b'), 1, cast(np >= 2 as int)) flags, decorated, stub, returns_value, "
-            f"map_from_entries(filter(array(struct('a', cast(z % 3 <> 0 as int)), struct('b', cast(z % 5 <> 0 as int)), struct('c', cast(z % 7 <> 0 as int))), x -> x.col2 > 0)) loads, slice(array('a'), 1, cast(np >= 1 and z % 3 = 1 as int)) relayed, "
+            f"map_from_entries(filter(array(struct('a', cast(z % 3 <> 0 as int)), struct('b', cast(z % 5 <> 0 as int)), struct('c', cast(z % 7 <> 0 as int))), x -> x.col2 > 0)) loads, filter(array(case when np >= 1 and z % 3 = 1 then 'a' end, case when np >= 2 and z % 3 <> 0 then 'b' end, case when np >= 3 and z % 3 = 2 then '_x' end), x -> x is not null) relayed, "
             f"{sole} sole_call, case when np >= 2 and z % 5 = 4 then named_struct('name', 'b', 'start', cast(line as int), 'end', cast(line + 2 as int)) end first_if, shape, map('self', cast(z % 3 as int), 'a', cast(z % 9 as int)) receiver_reads, "
             "map('a', coalesce(split_part(owner, ':', 2), 'C0')) annotations, k ord from fns"
         )

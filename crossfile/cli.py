@@ -58,7 +58,8 @@ def saved(text: str) -> str:
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_text(json.dumps(sorted(now)))
         return said
-    except Exception:  # noqa: BLE001 - a half-written file must not stop an editor; the next save is read again
+    except Exception as e:  # noqa: BLE001 - a half-written file must not stop an editor; the next save is read again
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return ""
 
 

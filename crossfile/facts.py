@@ -93,7 +93,8 @@ class Facts:
         while not front.isEmpty():
             front = cut(front.join(named, "base").select("owner", F.explode("more").alias("base")).distinct().join(reach, ["owner", "base"], "left_anti"))
             reach = cut(reach.union(front))
-        above = reach.join(named, "base").where("base_sid <> owner").join(methods.select(F.col("owner").alias("base_sid"), "method").distinct(), "base_sid").select("owner", "method").distinct()
+        # A base of the class's own name may be the class itself: then each of its methods answers to it.
+        above = reach.join(named, "base").join(methods.select(F.col("owner").alias("base_sid"), "method").distinct(), "base_sid").select("owner", "method").distinct()
         return library.union(methods.join(above, ["owner", "method"], "left_semi").select("sid")).distinct()
 
     @cached_property

@@ -115,9 +115,9 @@ def tunnel(f: Facts) -> DataFrame:
     takes = f.functions.select(F.col("sid").alias("end"), "params")
     ends = f.ours.select(F.col("caller").alias("at"), F.col("callee").alias("end")).join(takes, "end")
     found = _tunnel_paths(f).where(F.size("path") >= TUNNEL)
-    found = found.join(ends, (F.element_at("path", -1) == ends["at"]) & F.array_contains("params", F.col("param"))).where(~F.array_contains("path", F.col("end")))
-    found = cut(found.groupBy("start", "param", "path").agg(F.min("end").alias("end")))
-    midway = found.select("param", F.explode(F.expr("slice(path, 2, size(path))")).alias("start")).distinct()
+    found = found.join(ends, (F.element_at("path", -1) == ends["at"]) & F.array_contains("params", F.col("param")))
+    found = cut(found.groupBy("start", "param", "path").agg(F.min("end").alias("end")))  # which may be on the path itself
+    midway = found.select("param", F.explode(F.concat(F.expr("slice(path, 2, size(path))"), F.array("end"))).alias("start")).distinct()
     found = found.join(midway, ["param", "start"], "left_anti").join(f.placed, F.col("start") == F.col("sid"))
     way = Window.partitionBy("param", "end").orderBy("module", "line", "sid")
     found = found.withColumn("rank", F.row_number().over(way)).withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("param", "end")) - 1).where("rank = 1")
@@ -138,7 +138,7 @@ def bool_flag(f: Facts) -> DataFrame:
     rows = f.own_functions.where(~is_dunder(F.col("last"))).where("first_if is not null and array_contains(flags, first_if.name)").join(f.entrypoints, "sid", "left_anti")
     calls = f.package_calls.select(F.col("name").alias("last"), F.struct("args", "keywords").alias("call"), F.col("file").alias("at_file"), F.col("line").alias("at_line"))
     hit = rows.join(calls, "last").withColumn("arg", given(F.col("call"), F.col("first_if.name"), F.col("positional"))).where("arg.boolean")
-    hit = hit.groupBy("sid", "module", "file", "line", "ord", F.col("first_if").alias("f")).agg(F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites"))
+    hit = hit.groupBy("sid", "module", "file", "line", "ord", F.col("first_if").alias("f")).agg(F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites"))  # of those that choose
     first = F.struct(F.col("file"), F.col("f.start").alias("line"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
     return _finding(hit, "bool_flag", F.concat(F.col("f.name"), F.lit(" decides what "), short(F.col("sid")), F.lit(" does, and callers write it out")), "two functions", F.col("f.name"), sites=F.concat(F.array(first), "sites"))
 
@@ -231,8 +231,8 @@ def constant_param(f: Facts) -> DataFrame:
     rows = f.own_functions.where(~is_dunder(F.col("last"))).join(unique, "last", "left_semi").join(f.entrypoints, "sid", "left_anti")
     rows = rows.select("sid", "module", "file", "line", "ord", "last", "positional", F.explode("params").alias("param"))
     all_ = _given_everywhere(f, rows, f.package_calls, "param").groupBy("sid", "module", "file", "line", "ord", "param")
-    found = all_.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("arg.literal", F.lit(False))).alias("written"), F.count_distinct("arg.value").alias("values"), F.min("arg.text").alias("text"), F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites"))
-    found = found.where("n >= 2 and written and values = 1")
+    found = all_.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("arg.literal", F.lit(False))).alias("written"), F.min("arg.value").alias("least"), F.max("arg.value").alias("most"), F.min("arg.text").alias("text"))
+    found = _with_sites(found.where("n >= 2 and written and least = most").withColumn("last", last_name(F.col("sid"))), f.package_calls)
     return _finding(found, "constant_param", F.concat(F.col("param"), F.lit(" is "), F.col("text"), F.lit(" in every call")), "make it a constant", F.concat_ws("=", "param", "text"), sites=F.col("sites"))
 
 
@@ -309,24 +309,31 @@ def duplicate(f: Facts) -> DataFrame:
 
 
 def _by_name(f: Facts) -> DataFrame:
-    at = f.calls.groupBy(F.col("name").alias("last")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("dropped").alias("all_dropped"), F.bool_or("spreads").alias("any_spread"), F.array_sort(F.collect_list(_site("file", "line"))).alias("sites"))
+    at = f.calls.groupBy(F.col("name").alias("last")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("dropped").alias("all_dropped"), F.bool_or("spreads").alias("any_spread"))
     return f.checkable.join(at, "last")
 
 
+def _with_sites(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """What was found with the sites of all calls of its name (last). Only these calls are gathered."""
+    at = calls.select(F.col("name").alias("last"), F.col("file").alias("at_file"), F.col("line").alias("at_line")).join(found.select("last").distinct(), "last", "left_semi")
+    return found.join(at.groupBy("last").agg(F.array_sort(F.collect_list(_site("at_file", "at_line"))).alias("sites")), "last", "left")
+
+
 def ignored_return(f: Facts) -> DataFrame:
-    rows = _by_name(f).where("returns_value and all_dropped")
+    rows = _with_sites(_by_name(f).where("returns_value and all_dropped"), f.calls)
     return _finding(rows, "ignored_return", F.concat(F.lit("every call drops what "), short(F.col("sid")), F.lit(" returns")), "return nothing", sites=F.col("sites"))
 
 
 def unused_default(f: Facts) -> DataFrame:
-    rows = _by_name(f).where("not any_spread").select("sid", "module", "file", "line", "ord", "last", "positional", "sites", F.explode("defaults").alias("default")).withColumn("param", F.col("default.name"))
-    found = _given_everywhere(f, rows, f.calls, "param").groupBy("sid", "module", "file", "line", "ord", "param", F.col("default.text").alias("text"), "sites").agg(F.count("arg").alias("given")).where("given = 0")
+    rows = _by_name(f).where("not any_spread").select("sid", "module", "file", "line", "ord", "last", "positional", F.explode("defaults").alias("default")).withColumn("param", F.col("default.name"))
+    found = _given_everywhere(f, rows, f.calls, "param").groupBy("sid", "module", "file", "line", "ord", "last", "param", F.col("default.text").alias("text")).agg(F.count("arg").alias("given")).where("given = 0")
+    found = _with_sites(found, f.calls)
     return _finding(found, "unused_default", F.concat(F.lit("no call gives "), F.col("param"), F.lit(", it is always "), F.col("text")), "make it a constant", F.col("param"), sites=F.col("sites"))
 
 
 def unused_param(f: Facts) -> DataFrame:
-    rows = _by_name(f).where("not stub").select("sid", "module", "file", "line", "ord", "loads", "sites", F.explode("params").alias("param")).where(~F.col("param").startswith("_"))
-    rows = rows.where(F.coalesce(F.try_element_at("loads", F.col("param")), F.lit(0)) == 0)
+    rows = _by_name(f).where("not stub").select("sid", "module", "file", "line", "ord", "last", "loads", F.explode("params").alias("param")).where(~F.col("param").startswith("_"))
+    rows = _with_sites(rows.where(F.coalesce(F.try_element_at("loads", F.col("param")), F.lit(0)) == 0), f.calls)
     return _finding(rows, "unused_param", F.concat(F.col("param"), F.lit(" is never read")), "delete it", F.col("param"), sites=F.col("sites"))
 
 
@@ -353,7 +360,7 @@ def unstable_dependency(f: Facts) -> DataFrame:
     own = known.select(F.col("node").alias("module"), "fan_in", F.col("instability").alias("own"))
     far = known.select(F.col("node").alias("target"), F.col("instability").alias("theirs"))
     worst = f.imports.join(own, "module").join(far, "target").where(f"fan_in >= {FAN_IN}").withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("theirs"), "ord", "target"))).where("rank = 1")
-    rows = worst.where(f"theirs - own >= {MARGIN} - 1e-9").join(f.modules.select("module", "file"), "module")
+    rows = worst.where(f"theirs - own >= cast({MARGIN} as double)").join(f.modules.select("module", "file"), "module")
     return _finding(rows, "unstable_dependency", F.concat(F.col("fan_in").cast("string"), F.lit(" modules rest on it, and it rests on "), F.col("target"), F.lit(" ("), F.format_number("theirs", 2), F.lit(")")), "turn the import around", F.col("target"), F.array("target"), symbol="module")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from crossfile import bindings, check_queries
 from crossfile.functions.scalars import glob_regex, half_even
 from crossfile.operators import graph
+from crossfile.operators.lineage import cut
 from crossfile.plans import checks
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,7 +136,7 @@ def shortest_flow_whole(spark, sf):
 
 
 def _flow_ends(edges: DataFrame) -> DataFrame:
-    e = edges.cache()
+    e = cut(edges)
     ends = e.agg(F.min("src"), F.max("dst")).first()
     if ends[0] is None:
         return e.sparkSession.createDataFrame([], "hops int, path string")
@@ -149,7 +150,7 @@ def reach_doors_whole(spark, sf):
 
 
 def _reach_whole(edges: DataFrame) -> DataFrame:
-    e = edges.cache()
+    e = cut(edges)
     found = graph.reaching(e, e.agg(F.max("dst").alias("node")).where("node is not null"), graph.vertices(e))
     return found.select("door", "hops", F.concat_ws(">", "path").alias("path"))
 

@@ -64,13 +64,8 @@ def _above(start: Path, name: str) -> Path | None:
 
 def declares_rules(given: Path) -> bool:
     """Whether the nearest project file has the section, even an empty one."""
-    toml, package = _above(given, "pyproject.toml"), _above(given, "package.json")
-    try:
-        if toml and SECTION in tomllib.loads(toml.read_text()).get("tool", {}):
-            return True
-        return bool(package and SECTION in json.loads(package.read_text()))
-    except (OSError, ValueError):
-        return False
+    tool = _read(_above(given, "pyproject.toml"), tomllib.loads).get("tool", {})
+    return SECTION in tool or SECTION in _read(_above(given, "package.json"), json.loads)
 
 
 def is_typescript(folder: Path) -> bool:

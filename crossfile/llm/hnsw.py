@@ -1,7 +1,7 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors of a label are one class. A label's classes are dealt to ``SHARDS`` shards, which grow with the label as long as one
-fits a task (``SHARD_MOST``), so that each vector is sent to and looked up in as many shards at any size. Each shard's graph is built
+Equal vectors of a label are one class, known by a number of its own. A label's classes are dealt to ``SHARDS`` shards, which grow with the
+label as long as one fits a task (``SHARD_BYTES`` of vectors), so that each vector is sent to and looked up in as many shards at any size. Each shard's graph is built
 once and written to the shared folder; vectors that its pruning left without a way in get one. Every shard is searched for the
 vectors of every shard of its label: a task holds two shards, looks each one's vectors up in the other's graph, and takes the union
 of what both searches find. A search is a beam that then spreads along edges through everything above the threshold.
@@ -14,7 +14,8 @@ Every pair found is verified by its cosine in double precision before it links.
 links, never all pairs of a group; components are then joined by stars.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label, are linked with nothing; vectors
-of different lengths aren't compared. Of vectors with equal cosines none is preferred: all pairs at the threshold or above link. Repeated vectors link with each other, also under one id. A null id takes no part. Extra
+of different lengths aren't compared. Of vectors with equal cosines none is preferred: all pairs at the threshold or above link. Repeated vectors link with each
+other, also under one id; rows that share an id but hold different vectors have links of their own. A null id takes no part. Extra
 columns are ignored. An empty table gives no rows.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from crossfile.llm.components import components, forest
 from crossfile.llm.frames import cut
 
-SHARDS, SHARD_LEAST, SHARD_MOST = 4, 256, 1 << 18
+SHARDS, SHARD_LEAST, SHARD_BYTES = 4, 256, 64 << 20
 M, BUILD_BEAM, BEAM, AUDIT, EXACT, RECALL = 12, 48, 16, 32, 256, 0.99
 
 
@@ -215,9 +216,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False))
-    classes = rows.where(fit).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = rows.where(fit).groupBy("label", "v").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     counts = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    dealt = classes.withColumn("dim", F.size("v")).join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.least(F.greatest(F.ceil(F.col("n") / SHARDS), F.lit(SHARD_LEAST)), F.lit(SHARD_MOST)))).cast("int"))
+    most = F.greatest(F.floor(SHARD_BYTES / (8 * F.col("dim"))), F.lit(1))
+    dealt = classes.withColumn("dim", F.size("v")).join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.least(F.greatest(F.ceil(F.col("n") / SHARDS), F.lit(SHARD_LEAST)), most))).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("rep").to_numpy(), kind="stable")
@@ -232,7 +235,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
     kind = dict(rows.dtypes)["label"]
     graphs = cut(dealt.select("label", "dim", "shard", "rep", "size", "v").groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, x binary, g binary, rep binary, size binary"))
     other = graphs.select("label", "dim", *[F.col(c).alias(f"{c}2") for c in ("shard", "x", "g", "rep", "size")])
-    both = graphs.join(other, ["label", "dim"]).where("shard <= shard2")
+    # Pairs of shards are made of their numbers alone; graphs come to each by its own, so no label is in one task.
+    pairs = graphs.select("label", "dim", "shard").join(graphs.select("label", "dim", F.col("shard").alias("shard2")), ["label", "dim"]).where("shard <= shard2")
+    both = pairs.join(graphs, ["label", "dim", "shard"]).join(other, ["label", "dim", "shard2"])
 
     def meet(group: pa.Table) -> pa.Table:
         counted: dict[int, int] = {}
@@ -268,12 +273,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, key: str = "vec_id", v
         audit = {"label": pa.array([*rest, group.column("label")[0].as_py()], group.schema.field("label").type), "shard": pa.array([*rest, group.column("shard")[0].as_py()], pa.int32()), "recall": pa.array([*rest, least_recall], pa.float64())}
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counted.values(), *([0] * len(kept)), beam], pa.int64())} | audit)
 
-    # The join leaves a label in one task; its pairs of shards are dealt out.
-    found = cut(both.repartition("label", "dim", "shard", "shard2").groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, f"a long, b long, n long, label {kind}, shard int, recall double"))
+    found = cut(both.groupBy("label", "dim", "shard", "shard2").applyInArrow(meet, f"a long, b long, n long, label {kind}, shard int, recall double"))
     audits = found.where("recall is not null").groupBy(F.col("label").alias("l")).agg(F.count_distinct("shard").alias("shards"), F.max("n").alias("beam"), F.min("recall").alias("recall"))
     links = found.where("a is not null and b is null").groupBy("a").agg(F.sum("n").alias("n"))
     of = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = classes.join(links, F.col("a") == F.col("rep"), "left").join(of, F.col("u") == F.col("rep"), "left").select("label", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = cut(classes.join(links, F.col("a") == F.col("rep"), "left").join(of, F.col("u") == F.col("rep"), "left").select("label", "v", "least_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    known = known.join(known.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").drop("component", "least_id")
     known = known.withColumnRenamed("label", "l").withColumnRenamed("v", "w").join(audits, "l", "left")
     out = rows.join(known, fit & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), "shards", "beam", "recall").withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -38,9 +38,9 @@ SKETCH = 1 << 18
 PARITY = 2048, 1 << 16
 #: Cost of an inverted list's entry, which is scanned against the list, in subset entries, which rarely meet.
 LIST_COST = 4.0
-#: Bits, as a power of two, of the filter by which texts that are no candidates aren't sent: 4 MB at any size. It passes more of them
-#: where candidates are very many; a join by name decides.
-FILTER = 25
+#: Bits a name, and the least and most bits, as powers of two, of the filter by which texts that are no candidates aren't sent. It grows with
+#: the names, to 64 MB; of those it lets pass a join by name decides.
+FILTER_BITS, FILTER = 16, (20, 29)
 #: Names a task remembers, so that copies of one set post once.
 POSTED = 1 << 17
 #: Elements to a bucket.
@@ -51,7 +51,7 @@ GROUP = 512
 #: Sets that meet on more than so many are compared as a crowd, by bits.
 CROWD = 32
 #: Parity bits of a crowd that one task holds; two such blocks meet in a task.
-CROWD_GROUP = 4096
+CROWD_GROUP = 1024
 _U = np.uint64
 
 
@@ -426,30 +426,32 @@ def _lanes(b: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(b.column(0).to_pylist()), _U).reshape(-1, 2)
 
 
-def _places(lanes: np.ndarray) -> np.ndarray:
+def _places(lanes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Two bits of the filter for each name."""
-    return (lanes >> _U(64 - FILTER)).astype(np.int64)
+    return (lanes >> _U(64 - 5 - len(words).bit_length())).astype(np.int64)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """Words of 64 bits in which the places of all names are set. 2**FILTER bits, whatever the corpus."""
+    """Words of 64 bits in which the places of all names are set, as many as the names ask for."""
+    wanted = cut(wanted)
+    size = 1 << min(max((FILTER_BITS * wanted.count()).bit_length(), FILTER[0]), FILTER[1]) - 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << (FILTER - 6), dtype=_U)
+        words = np.zeros(size, dtype=_U)
         for b in batches:
-            at = _places(_lanes(b)).ravel()
+            at = _places(_lanes(b), words).ravel()
             np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
         there = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(words[there].view(np.int64))], ["word", "bits"])
 
     rows = wanted.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER - 6), dtype=_U)
+    words = np.zeros(size, dtype=_U)
     words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(_U)
     return words
 
 
 def _passes(words: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-    at = _places(lanes)
+    at = _places(lanes, words)
     return (words[at >> 6] >> (at & 63).astype(_U) & _U(1)).all(axis=1)
 
 

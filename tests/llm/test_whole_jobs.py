@@ -132,3 +132,20 @@ def test_stages_take_odd_tables(spark, tmp_path, empty):
         now.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert {r.doc_id for r in now.collect()} == (set() if empty else {2})
+
+
+def test_vectors_that_share_an_id_have_links_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (9, [0.0, 0.0, 1.0], 0), (9, [0.0, 0.0, 1.0], 0)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_wide_vectors_make_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 8 * 16 * 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 16))
+    x[600:] = x[:100] + rng.normal(size=(100, 16)) * 0.02
+    got = hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert {r.shards for r in got} == {7} and [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == true.tolist()

@@ -10,6 +10,7 @@ from crossfile.facts import Facts
 from crossfile.functions.scalars import folder, given, glob_regex, is_dunder, last_name, short
 from crossfile.operators import graph
 from crossfile.operators.lineage import cut
+from crossfile.plans.extension import registered
 from crossfile.schemas import FINDING, SITE
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -417,6 +418,21 @@ NOTES: dict[str, tuple[str, str]] = {
 }
 
 
+def catalog() -> dict[str, Callable[[Facts], DataFrame]]:
+    """The engine's checks, then those registered besides (see ``extension``)."""
+    return CHECKS | {c.name: c.find for c in registered().values()}
+
+
+def notes() -> dict[str, tuple[str, str]]:
+    return NOTES | {c.name: (c.title, c.note) for c in registered().values()}
+
+
+def finding(df: DataFrame, check: str, message: Column, fix: str, **parts: Column) -> DataFrame:
+    """Rows of FINDING for a check of a user's own; the rows hold sid, file, line, and module and ord for their order. parts: key, related,
+    sites, commits."""
+    return _finding(df, check, message, fix, **parts)
+
+
 #: Checks that run at a time: most are too small to keep a cluster busy.
 AT_A_TIME = 8
 
@@ -426,9 +442,10 @@ def all_findings(f: Facts, checks: list[str] | None = None) -> DataFrame:
 
     Each check is a plan of its own, written to the shared folder; one plan of all would take longer to make than to run.
     """
-    wanted = [(i, c) for i, c in enumerate(CHECKS) if checks is None or c in checks]
+    runs = catalog()
+    wanted = [(i, c) for i, c in enumerate(runs) if checks is None or c in checks]
     with ThreadPoolExecutor(AT_A_TIME) as pool:
-        found = list(pool.map(lambda x: cut(CHECKS[x[1]](f).withColumn("check_ord", F.lit(x[0]))), wanted))
+        found = list(pool.map(lambda x: cut(runs[x[1]](f).withColumn("check_ord", F.lit(x[0]))), wanted))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -442,7 +459,20 @@ def excused(findings: DataFrame, skips) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("check_ord", F.split_part("symbol", F.lit(":"), F.lit(1)), "line", "id")
+    return findings.orderBy(*_printed())
+
+
+def _printed() -> list:
+    """The order findings are printed in."""
+    return ["check_ord", F.split_part("symbol", F.lit(":"), F.lit(1)), "line", "id"]
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """Findings with their position in that order: numbered within each check, after the counts of those before."""
+    before = findings.groupBy("check_ord").agg(F.count(F.lit(1)).alias("_n"))
+    start = before.join(before.select(F.col("check_ord").alias("_c"), F.col("_n").alias("_m")), F.col("_c") < F.col("check_ord"), "left").groupBy("check_ord").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("check_ord").orderBy(*_printed()[1:]))
+    return findings.withColumn("_place", place).join(F.broadcast(start), "check_ord").withColumn("position", (F.col("_place") + F.col("_before")).cast("int")).drop("_place", "_before")
 
 
 def empty(f: Facts) -> DataFrame:

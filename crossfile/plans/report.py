@@ -121,7 +121,7 @@ def payload(r: Reading) -> dict:
     return {
         "package": f.rules.package_dir.name if f.rules.package_dir else "", "at": f.spark.range(1).select(F.date_format(F.current_timestamp(), "HH:mm:ss").alias("t")).first().t,
         "modules": _plain(modules), "symbols": _plain(symbols), "findings": rows["findings"], "skipped": [s | {"findings": len(s["findings"])} for s in rows["skipped"] if s["findings"]],
-        "checks": {k: {"title": t, "note": n} for k, (t, n) in checks.NOTES.items()}, "score": score_json(r), "most_hops": MOST_HOPS,
+        "checks": {k: {"title": t, "note": n} for k, (t, n) in checks.notes().items()}, "score": score_json(r), "most_hops": MOST_HOPS,
         "hops": [x | {"tree": tree.get(x["door"], [])} for x in _plain(r.chains.orderBy(F.desc("hops"), "door"))], "rules": {"layers": list(f.rules.layers), "entries": sorted(f.rules.entries)},
     }
 
@@ -130,7 +130,7 @@ def check_text(r: Reading) -> tuple[list[str], list[str]]:
     """(a line for each finding to fix, counts by check and by rule that excuses some)."""
     rows, skips = r.rows(), r.facts.rules.skips
     left = [x for x in rows if x.why is None]
-    counts = [f"{n} {title.lower()}" for c, (title, _) in checks.NOTES.items() if (n := sum(x.check == c for x in left))]
+    counts = [f"{n} {title.lower()}" for c, (title, _) in checks.notes().items() if (n := sum(x.check == c for x in left))]
     hidden = [f"{n} excused in {s.path}: {s.why}" for i, s in enumerate(skips) if (n := sum(x.skip == i for x in rows))]
     return [f"{x.file}:{x.line}: {x.check}: {x.message}: {x.fix}" for x in left], [", ".join(counts) or "nothing to fix", *hidden]
 
@@ -143,7 +143,7 @@ def markdown(r: Reading) -> str:
     out = [f"# {name}", "", f"{f.modules.count()} modules, {n} functions. Overall {next(x.value for x in axes if x.key == 'overall')} of 100.", ""]
     out += [f"- {x.label} {x.value}: {x.detail}" for x in axes if x.key != "overall"]
     out += ["", f"## {len(own)} to fix" if own else "Nothing to fix."]
-    for check, (title, note) in checks.NOTES.items():
+    for check, (title, note) in checks.notes().items():
         if some := [x for x in own if x.check == check]:
             out += ["", f"### {title} ({len(some)})", "", note, "", *(f"- `{x.file}:{x.line}` {x.message}: {x.fix}" for x in some)]
     if hidden := check_text(r)[1][1:]:

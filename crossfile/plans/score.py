@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from crossfile.facts import Facts
 from crossfile.functions.scalars import half_even, rate
+from crossfile.plans.extension import registered
 from crossfile.schemas import SCORE
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ def direct(hops: DataFrame) -> DataFrame:
 
 def score(f: Facts, kept: DataFrame, hops: DataFrame) -> DataFrame:
     """Rows of SCORE: six axes and the overall mean. ``hops``: door, hops of the doors known before library mode."""
-    w = {k: F.sum(F.coalesce(F.create_map(*[F.lit(x) for p in v.items() for x in p])[F.col("check")], F.lit(0))) for k, (_, v) in WEIGHTS.items()}
+    weights = {k: v | {c.name: c.weight for c in registered().values() if c.axis == k} for k, (_, v) in WEIGHTS.items()}
+    w = {k: F.sum(F.coalesce(F.create_map(*[F.lit(x) for p in v.items() for x in p])[F.col("check")], F.lit(0))) for k, v in weights.items()}
     n = kept.agg(*[F.coalesce(x, F.lit(0)).alias(k) for k, x in w.items()], F.count_if(F.col("check") == "tests_only").alias("tests_only"))
     callable_ = F.col("kind").isin("function", "method")
     of = f.symbols.agg(
@@ -47,7 +49,7 @@ def score(f: Facts, kept: DataFrame, hops: DataFrame) -> DataFrame:
         "shaped": rate(c("shaped"), F.greatest(F.lit(1), c("classes") + F.expr("functions div 10")), 0.5),
         "focused": half_even(100 * (part(c("long_functions"), c("functions"), 0.1) + part(c("long_modules"), c("modules"), 0.4) + part(c("focused"), c("modules"), 0.3)) / 3),
     }
-    axes = [F.struct(F.lit(k).alias("key"), F.lit("Direct" if k == "direct" else WEIGHTS[k][0]).alias("label"), v.alias("value"), F.array(*[F.lit(x) for x in WEIGHTS.get(k, ("", {}))[1]]).cast("array<string>").alias("checks")) for k, v in values.items()]
+    axes = [F.struct(F.lit(k).alias("key"), F.lit("Direct" if k == "direct" else WEIGHTS[k][0]).alias("label"), v.alias("value"), F.array(*[F.lit(x) for x in weights.get(k, ())]).cast("array<string>").alias("checks")) for k, v in values.items()]
     row = row.select(F.array(*axes).alias("a"), "*")
     overall = F.struct(F.lit("overall").alias("key"), F.lit("Overall").alias("label"), half_even(F.aggregate("a", F.lit(0.0), lambda s, x: s + x["value"]) / 6).alias("value"), F.expr("cast(array() as array<string>)").alias("checks"))
     words = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from crossfile import bindings, check_queries
+from crossfile import bindings, check_queries, relation_queries
 from crossfile.functions.scalars import glob_regex, half_even
 from crossfile.operators import graph
 from crossfile.operators.lineage import cut
@@ -358,5 +358,5 @@ def module_layers(spark, sf):
     return graph.layers(_module_edges(spark, sf))
 
 
-QUERIES |= check_queries.QUERIES
-ORACLES |= check_queries.ORACLES
+QUERIES |= check_queries.QUERIES | relation_queries.QUERIES
+ORACLES |= check_queries.ORACLES | relation_queries.ORACLES

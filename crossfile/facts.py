@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from crossfile.functions.scalars import is_dunder, last_name
-from crossfile.operators.lineage import cut
+from crossfile.operators.lineage import cut, drop
 from crossfile.rules import Project
 from crossfile.schemas import TABLES
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,8 +91,10 @@ class Facts:
         reach = cut(up)
         front = reach
         while not front.isEmpty():
-            front = cut(front.join(named, "base").select("owner", F.explode("more").alias("base")).distinct().join(reach, ["owner", "base"], "left_anti"))
-            reach = cut(reach.union(front))
+            new = cut(front.join(named, "base").select("owner", F.explode("more").alias("base")).distinct().join(reach, ["owner", "base"], "left_anti"))
+            wider = cut(reach.union(new))
+            drop(front, reach)
+            front, reach = new, wider
         # A base of the class's own name may be the class itself: then each of its methods answers to it.
         above = reach.join(named, "base").join(methods.select(F.col("owner").alias("base_sid"), "method").distinct(), "base_sid").select("owner", "method").distinct()
         return library.union(methods.join(above, ["owner", "method"], "left_semi").select("sid")).distinct()

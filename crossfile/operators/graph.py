@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossfile.operators.lineage import cut
+from crossfile.operators.lineage import cut, drop
 
 #: Graphs of at most this many edges (a few MB) are taken by one task, as each round of a loop costs more than that; the rounds of
 #: larger ones are distributed. Both give the same rows.
@@ -31,10 +31,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     found = front
     while True:
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.groupBy("node").agg(F.min("path").alias("path")).join(found.select("node"), "node", "left_anti"))
-        if front.isEmpty():
+        new = cut(step.groupBy("node").agg(F.min("path").alias("path")).join(found.select("node"), "node", "left_anti"))
+        if new.isEmpty():
             return found
-        found = cut(found.union(front))
+        wider = cut(found.union(new))
+        drop(front, found)
+        front, found = new, wider
 
 
 def flow(edges: DataFrame, stops: list) -> DataFrame:
@@ -103,6 +105,8 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while n:
         after = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = after.count()
+        if left is not edges:
+            drop(left)
         left, n, small = after, m, n - m <= n // 20
         if small:
             break
@@ -114,20 +118,23 @@ def _coloured(edges: DataFrame) -> DataFrame:
     can be reached within the colour."""
     left, out = _trimmed(edges), None
     while not left.isEmpty():
-        colour = cut(vertices(left).select("node", F.col("node").alias("c")))
+        held = colour = cut(vertices(left).select("node", F.col("node").alias("c")))
         while True:  # the least vertex that reaches each
             better = left.join(colour, left.src == colour.node).groupBy("dst").agg(F.min("c").alias("m"))
             after = cut(colour.join(better, colour.node == better.dst, "left").select("node", "c", F.least("c", F.coalesce("m", "c")).alias("d")))
             changed = not after.where("c <> d").isEmpty()
-            colour = after.select("node", F.col("d").alias("c"))
+            drop(held)
+            held, colour = after, after.select("node", F.col("d").alias("c"))
             if not changed:
                 break
         inside = cut(colour.where("node = c"))
         front = inside
         ends = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src")
         while not front.isEmpty():  # and that each reaches within its colour
-            front = cut(ends.join(front.select(F.col("node").alias("dst"), "c"), "dst").where("cs = c").select(F.col("src").alias("node"), "c").distinct().join(inside, ["node", "c"], "left_anti"))
-            inside = cut(inside.union(front))
+            new = cut(ends.join(front.select(F.col("node").alias("dst"), "c"), "dst").where("cs = c").select(F.col("src").alias("node"), "c").distinct().join(inside, ["node", "c"], "left_anti"))
+            wider = cut(inside.union(new))
+            drop(front, inside)
+            front, inside = new, wider
         out = inside if out is None else out.union(inside)
         gone = inside.select("node")
         left = _trimmed(cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")))
@@ -155,13 +162,14 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, node, component): the least node of each node's undirected component, separately for every value of the keys."""
     keys = keys or []
     both = cut(edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst"), F.col("src"))).distinct())
-    label = cut(both.groupBy(*keys, "src").agg(F.min("dst").alias("m")).select(*keys, F.col("src").alias("node"), F.least("src", "m").alias("component")))
+    held = label = cut(both.groupBy(*keys, "src").agg(F.min("dst").alias("m")).select(*keys, F.col("src").alias("node"), F.least("src", "m").alias("component")))
     while True:
         around = both.join(label.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, "src").agg(F.min("component").alias("m")).withColumnRenamed("src", "node")
         step = label.join(around, [*keys, "node"]).select(*keys, "node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         hop = step.select(*keys, F.col("node").alias("component"), F.col("component").alias("root"))  # the label's own label
         after = cut(step.join(hop, [*keys, "component"], "left").select(*keys, "node", "old", F.least("component", F.coalesce("root", "component")).alias("component")))
-        label = after.select(*keys, "node", "component")
+        drop(held)
+        held, label = after, after.select(*keys, "node", "component")
         if after.where("old <> component").isEmpty():
             return label
 
@@ -177,11 +185,12 @@ def layers(edges: DataFrame) -> DataFrame:
     name2 = ring.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     folded = cut(edges.join(name, "src", "left").join(name2, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct())
     nodes = vertices(edges).join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
-    level = cut(nodes.select(F.col("group").alias("node")).distinct().withColumn("layer", F.lit(0)))
+    held = level = cut(nodes.select(F.col("group").alias("node")).distinct().withColumn("layer", F.lit(0)))
     while True:
         above = folded.join(level.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg((F.max("layer") + 1).alias("m")).withColumnRenamed("src", "node")
         after = cut(level.join(above, "node", "left").select("node", F.col("layer").alias("old"), F.greatest("layer", F.coalesce("m", F.lit(0))).alias("layer")))
-        level = after.select("node", "layer")
+        drop(held)
+        held, level = after, after.select("node", "layer")
         if after.where("old <> layer").isEmpty():
             return nodes.join(level.withColumnRenamed("node", "group"), "group").select("node", "layer")
 
@@ -320,8 +329,10 @@ def call_tree(edges: DataFrame, doors: DataFrame) -> DataFrame:
     met = cut(doors.select(F.col("node").alias("door"), F.col("node").alias("src")).distinct())
     front = met
     while not front.isEmpty():  # what each door reaches, and nothing else
-        front = cut(front.join(edges, "src").select("door", F.col("dst").alias("src")).distinct().join(met, ["door", "src"], "left_anti"))
-        met = cut(met.union(front))
+        new = cut(front.join(edges, "src").select("door", F.col("dst").alias("src")).distinct().join(met, ["door", "src"], "left_anti"))
+        wider = cut(met.union(new))
+        drop(front, met)
+        front, met = new, wider
     under = met.join(edges, "src", "left").select("door", "src", "dst", "lines")
 
     def walk(group: pa.Table) -> pa.Table:

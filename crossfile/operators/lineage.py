@@ -26,4 +26,14 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` returned and that nothing reads any more: rounds of a loop that a later one holds."""
+    for at in {f.__dict__.get("_written_at") for f in frames} - {None}:
+        spark = frames[0].sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -9,7 +9,7 @@ from functools import reduce
 from crossfile.facts import Facts
 from crossfile.functions.scalars import folder, given, glob_regex, is_dunder, last_name, short
 from crossfile.operators import graph
-from crossfile.operators.lineage import cut
+from crossfile.operators.lineage import cut, drop
 from crossfile.plans.extension import registered
 from crossfile.schemas import FINDING, SITE
 from pyspark.sql import Column, DataFrame, Window
@@ -187,16 +187,29 @@ def _handed(f: Facts) -> DataFrame:
 
 
 def closed_sets(sets: DataFrame) -> DataFrame:
-    """All intersections, of three names or more, of any number of the sets (column names)."""
+    """All intersections, of three names or more, of any number of the sets (column names).
+
+    Sets that share three names share one besides the two most frequent of either: they meet on those, so not on names that many have.
+    Each round meets what the last one found new with the sets given.
+    """
     given_ = cut(sets.select("names").distinct())
-    closed = given_
-    while True:  # sets meet on the names they share
-        a, b = closed.select(F.col("names").alias("a"), F.explode("names").alias("x")), given_.select(F.col("names").alias("b"), F.explode("names").alias("x"))
-        met = a.join(b, "x").groupBy("a", "b").agg(F.array_sort(F.collect_list("x")).alias("names")).where(F.size("names") >= CLUMP_NAMES).select("names")
-        wider = cut(closed.union(met).distinct())
-        if wider.count() == closed.count():
-            return closed
-        closed = wider
+    held = given_.select(F.explode("names").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+
+    def meeting(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select("names", F.explode("names").alias("x")).join(held, "x").groupBy("names").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+        rare = F.slice("r", F.lit(1), F.size("r") - (CLUMP_NAMES - 1))
+        return ranked.select(F.col("names").alias(name), F.explode(rare).alias("k")).select(name, "k.x")
+
+    against = cut(meeting(given_, "b"))
+    closed = front = given_
+    while not front.isEmpty():
+        met = meeting(front, "a").join(against, "x").select("a", "b").distinct().select(F.array_sort(F.array_intersect("a", "b")).alias("names"))
+        new = cut(met.where(F.size("names") >= CLUMP_NAMES).distinct().join(closed, "names", "left_anti"))
+        wider = cut(closed.union(new))
+        if closed is not given_:
+            drop(front, closed)
+        front, closed = new, wider
+    return closed
 
 
 def clump(f: Facts) -> DataFrame:

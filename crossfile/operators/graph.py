@@ -56,9 +56,9 @@ def reaching(edges: DataFrame, target: DataFrame, doors: DataFrame) -> DataFrame
     return found.select(F.col("node").alias("door"), (F.size("path") - 1).alias("hops"), F.reverse("path").alias("path"))
 
 
-def _in_one_task(edges: DataFrame) -> bool:
+def _in_one_task(edges: DataFrame, most: int) -> bool:
     """Whether the edges are few enough, which is counted, never guessed."""
-    return edges.limit(ONE_TASK + 1).count() <= ONE_TASK
+    return edges.limit(most + 1).count() <= most
 
 
 def _rings(kids: dict) -> dict:
@@ -141,10 +141,10 @@ def _coloured(edges: DataFrame) -> DataFrame:
     return out.select("node", F.col("c").alias("component")) if out is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, component): the least node of each node's strong component, for components of two nodes or more."""
     edges = cut(_simple(edges))
-    if _in_one_task(edges):
+    if _in_one_task(edges, ONE_TASK if one_task is None else one_task):
         kind = edges.schema["src"].dataType.simpleString()
 
         def find(group: pa.Table) -> pa.Table:
@@ -174,13 +174,13 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
             return label
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, layer): 0 for nodes that point nowhere, else one above the highest node pointed to.
 
     Nodes of a strong component share a layer: the component is condensed first, so the result doesn't depend on an order.
     """
     edges = cut(_simple(edges))
-    ring = cut(strong_components(edges))
+    ring = cut(strong_components(edges, one_task))
     name = ring.select(F.col("node").alias("src"), F.col("component").alias("a"))
     name2 = ring.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     folded = cut(edges.join(name, "src", "left").join(name2, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct())
@@ -256,7 +256,7 @@ def _all_longest(kids: dict, ring_of: dict, best: dict) -> dict:
     return best
 
 
-def longest_chains(edges: DataFrame, doors: DataFrame) -> DataFrame:
+def longest_chains(edges: DataFrame, doors: DataFrame, one_task: int | None = None) -> DataFrame:
     """(door, hops, path): the longest simple path from each door, the least of them by its nodes in order.
 
     Each node's longest path is found once, from those of the rings below its own: level by level, a ring to a task, or all of
@@ -270,7 +270,7 @@ def longest_chains(edges: DataFrame, doors: DataFrame) -> DataFrame:
     def table(best: dict, like: pa.DataType) -> pa.Table:
         return pa.table({"node": pa.array([*best], like), "path": pa.array([*best.values()], pa.list_(like))})
 
-    if _in_one_task(edges):
+    if _in_one_task(edges, ONE_TASK if one_task is None else one_task):
 
         def every(group: pa.Table) -> pa.Table:
             kids = _kids(group.column("src").to_pylist(), group.column("dst").to_pylist())
@@ -278,7 +278,7 @@ def longest_chains(edges: DataFrame, doors: DataFrame) -> DataFrame:
 
         best = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(every, out)
     else:
-        ring = strong_components(edges)
+        ring = strong_components(edges, one_task)
         named = cut(vertices(edges).join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("ring")))
         ways = cut(edges.join(named.select(F.col("node").alias("src"), F.col("ring").alias("r")), "src").join(named.select(F.col("node").alias("dst"), F.col("ring").alias("below")), "dst"))
         left, best = named, None

@@ -348,6 +348,21 @@ def stop_limits(spark, sf):
     return _t(spark, sf, "orders").select("o_custkey", "o_orderkey", r.alias("r")).where("r <= 3")
 
 
+@query(ORACLES["scc_modules_whole"])
+def scc_in_rounds(spark, sf):
+    """Strong components of suppliers by distributed rounds, at any size."""
+    return graph.strong_components(_edges(spark, sf, 1), one_task=0)
+
+
+@query("""with recursive edges as (select distinct o_orderkey % 12 src, (o_orderkey % 12 + 1 + o_custkey % 2) % 12 dst from orders),
+p(door, path) as (select distinct src, [src] from edges union all select door, list_append(path, e.dst) from p join edges e on p.path[-1] = e.src where not list_contains(path, e.dst)),
+k as (select door, path, row_number() over (partition by door order by len(path) desc, path) r from p) select door, len(path) - 1 hops, array_to_string(path, '>') path from k where r = 1""")
+def chains_in_rounds(spark, sf):
+    """Longest simple paths by distributed rounds on a ring of twelve residues, of which every order ties two."""
+    e = _t(spark, sf, "orders").selectExpr("o_orderkey % 12 src", "(o_orderkey % 12 + 1 + o_custkey % 2) % 12 dst").distinct()
+    return graph.longest_chains(e, e.select(F.col("src").alias("node")).distinct(), one_task=0).select("door", "hops", F.concat_ws(">", "path").alias("path"))
+
+
 def _module_edges(spark: SparkSession, sf: str) -> DataFrame:
     return bindings.flat(spark, sf, "select module src, target dst from few_imps")
 

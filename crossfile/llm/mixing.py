@@ -8,14 +8,19 @@ their own, and a block's documents likewise; the last epoch stops before the quo
 
 A block is a set of documents with equal leading bits of a hash of the id. Only block sums are sorted, and of the one block
 in which a quota ends the documents; every other document only compares its place with its source's last place. So texts
-are never shuffled and no source is gathered in a task, however large.
+are never shuffled and no source is gathered in a task, however large. The shares of many sources (``ONE_ROW``) aren't gathered either:
+what bisection asks for are sums over them. Beyond ``SOURCES_BROADCAST`` sources documents are shuffled once to meet theirs.
 
 Null sources count as the source "". A document has its words plus one end token, so null and empty texts have one token.
-Rows with the same id, tokens and source have one place: they are taken together. An empty table gives an empty result.
+Texts of any length are counted whole
+and stay where they are. Blocks and documents of equal hashes are ordered by block, id and tokens; rows with the same id, tokens and source have one
+place: they are taken together. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,10 @@ from crossfile.llm.frames import cut, small
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables up to this size are broadcast; larger ones are joined by shuffle.
 SOURCES_BROADCAST = 20_000
+#: Shares of up to so many sources are one row, in which the exponent is bisected; of more the sums are taken over the table of sources.
+ONE_ROW = 4096
+#: Exponents tried at once there, and how often the span between two of them is divided.
+TRIED, DIVISIONS = 33, 8
 
 
 def tokens(text: str = "text") -> Column:
@@ -68,6 +77,58 @@ def exponent(shares: Column, evenness: float, repetition: float, scale: float |
     return F.greatest(warm, bound)
 
 
+def wide_exponent(sums: DataFrame, total: int, evenness: float, repetition: float, budget: float | None) -> float:
+    """The exponent of ``exponent`` for sources (total) of any number: each round sums over all of them for several exponents at once, and
+    goes on between the two where what is asked for begins or ends to hold."""
+    p = F.col("total") / F.lit(float(total))
+    k, least, most = sums.agg(F.count(F.lit(1)), F.min(p), F.max(p)).first()
+
+    def holds(tried: list[float], asked: str) -> list[bool]:
+        parts = [x for a in tried for x in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p)))]
+        row = sums.agg(*parts).first()
+        found = []
+        for i, a in enumerate(tried):
+            z, t = row[2 * i], row[2 * i + 1]
+            if asked == "even":
+                found.append(math.log(z) - a * t / z >= evenness * math.log(k) - 1e-9)
+            elif budget is None:
+                found.append((most / least) ** (1 - a) <= repetition + 1e-12)
+            else:
+                found.append(budget * least**a / z <= repetition * least + 1e-12)
+        return found
+
+    def edge(asked: str, before: bool) -> float:
+        """Where in [0, 1] it turns, if it holds ``before`` and not after, or the other way round."""
+        lo, hi = 0.0, 1.0
+        for _ in range(DIVISIONS):
+            tried = [lo + (hi - lo) * i / (TRIED - 1) for i in range(TRIED)]
+            turned = next((i for i, h in enumerate(holds(tried, asked)) if h != before), TRIED - 1)
+            lo, hi = tried[max(turned - 1, 0)], tried[turned]
+        return round((lo + hi) / 2, 9)
+
+    warm = 1.0 if holds([1.0], "even")[0] else edge("even", True)
+    bound = 0.0 if holds([0.0], "spared")[0] else edge("spared", False)
+    return max(warm, bound)
+
+
+def _weighted(sums: DataFrame, evenness: float, repetition: float, budget: float | None) -> DataFrame:
+    """sums (source, total) with all (tokens), exponent, weight and scale."""
+    if small(sums, ONE_ROW):
+        # One row: an entry for each source, in order, so that sums of doubles come out alike every time.
+        mix = sums.agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("s")).select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.total).alias("all"))
+        mix = mix.withColumn("p", F.transform("s", lambda x: x.total / F.col("all")))
+        mix = mix.withColumn("exponent", exponent(F.col("p"), evenness, repetition, budget))
+        mix = mix.withColumn("w", F.transform("p", lambda p: F.pow(p, F.col("exponent")))).withColumn("wsum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+        scale = F.array_max(F.zip_with("p", "w", lambda p, w: p / (w / F.col("wsum")))) if budget is None else F.lit(float(budget))
+        each = mix.withColumn("scale", scale).select("all", "exponent", "scale", "wsum", F.explode(F.arrays_zip("s", "w")).alias("x"))
+        return each.select(F.col("x.s.source").alias("source"), F.col("x.s.total").alias("total"), "exponent", (F.col("x.w") / F.col("wsum")).alias("weight"), "all", "scale")
+    total = sums.agg(F.sum("total")).first()[0]
+    a = wide_exponent(sums, total, evenness, repetition, budget)
+    p = F.col("total") / F.lit(float(total))
+    z, most = sums.agg(F.sum(F.pow(p, F.lit(a))), F.max(F.pow(p, F.lit(1 - a)))).first()
+    return sums.select("source", "total", F.lit(a).alias("exponent"), (F.pow(p, F.lit(a)) / F.lit(z)).alias("weight"), F.lit(total).cast("long").alias("all"), F.lit(float(budget) if budget is not None else most * z).alias("scale"))
+
+
 def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | None, key: str = "doc_id") -> tuple[DataFrame, int]:
     """(one row per source: tokens, exponent, weight, quota, whole epochs and the last place of the partial one; block bits).
 
@@ -76,17 +137,9 @@ def plan(docs: DataFrame, evenness: float, repetition: float, budget: float | No
     bits = max(2, (docs.count().bit_length() + 1) // 2)  # about as many blocks as rows in a block
     source = F.coalesce("source", F.lit("")).alias("source")
     blocks = cut(docs.select(source, _block(key, bits).alias("block"), tokens().alias("n")).groupBy("source", "block").agg(F.sum("n").alias("n")))
-    sums = blocks.groupBy("source").agg(F.sum("n").alias("total"))
-    # One row: an entry for each source, in order, so that sums of doubles come out alike every time.
-    mix = sums.agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("s")).select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.total).alias("all"))
-    mix = mix.withColumn("p", F.transform("s", lambda x: x.total / F.col("all")))
-    mix = mix.withColumn("exponent", exponent(F.col("p"), evenness, repetition, budget))
-    mix = mix.withColumn("w", F.transform("p", lambda p: F.pow(p, F.col("exponent")))).withColumn("wsum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-    scale = F.array_max(F.zip_with("p", "w", lambda p, w: p / (w / F.col("wsum")))) if budget is None else F.lit(float(budget))
+    sums = cut(blocks.groupBy("source").agg(F.sum("n").alias("total")))
     each = (
-        mix.withColumn("scale", scale)
-        .select("all", "exponent", "scale", "wsum", F.explode(F.arrays_zip("s", "w")).alias("x"))
-        .select(F.col("x.s.source").alias("source"), F.col("x.s.total").alias("total"), "exponent", (F.col("x.w") / F.col("wsum")).alias("weight"), "all", "scale")
+        _weighted(sums, evenness, repetition, budget)
         .withColumn("quota", F.floor(F.col("scale") * F.col("all") * F.col("weight") + 1e-6).cast("long"))
         .withColumn("quota", F.least("quota", F.floor(repetition * F.col("total")).cast("long")) if budget is None else F.col("quota"))  # the exponent is rounded
         .withColumn("epochs", F.expr("quota div total").cast("int"))

@@ -5,7 +5,8 @@ are voted on by labelers (patterns, a gazetteer, context). Expectation-maximisat
 the corpus estimates each labeler's reliability, and a logistic classifier trained on the resulting soft labels decides which
 candidates are secrets. The pattern counts are at most a few thousand rows however large the corpus: every document counts.
 
-Every text is searched whole, by patterns that pass over it once. Null texts are empty. Repeated rows are treated alike. Extra
+Every text is searched whole, by patterns that pass over it once. Null texts are empty. Repeated rows are treated alike; spans that
+start together are listed by kind, and a candidate of even odds counts as a secret. Extra
 columns are ignored by ``find`` and kept by ``mask``. An empty table, or one without candidates, adds no spans.
 """
 

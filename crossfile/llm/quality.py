@@ -3,7 +3,7 @@
 Every text is read whole, as UTF-8 bytes. Rolling hashes of several n-gram lengths are sorted per slice of texts; words in a
 hash found twice in one document are marked, so overlapping copies count once. All of it is per row: nothing is shuffled.
 
-Null and empty texts have no words and fail the base rule. Repeated rows are judged alike, each by itself. Extra columns are
+Texts of any length are measured whole. A share equal to its limit passes. Null and empty texts have no words and fail the base rule. Repeated rows are judged alike, each by itself. Extra columns are
 ignored by ``measure`` and kept by ``keep``. An empty table gives no rows.
 """
 

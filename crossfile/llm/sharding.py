@@ -6,7 +6,8 @@ into or out of the subtrees whose weights changed. ``grow`` adds a shard as a re
 so it takes rows only into itself.
 
 Rows with a null key draw as the empty key. Repeated rows go to the same shard and get slots of their own. Null and empty
-texts have size 1. Extra columns are ignored. An empty table gives no rows.
+texts have size 1; long ones are measured whole, and never move. Of equal draws the first name wins; slots of equal
+keys follow size and crc32. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

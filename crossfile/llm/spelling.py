@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossfile.llm.frames import cut
+from crossfile.llm.frames import cut, parts
 from crossfile.llm.text import Words, buffers, frugal, mix, segment_hashes, slices
 
 #: Letters of the shortest word; occurrences of the rarest; how many times as frequent a form is.
@@ -243,7 +243,9 @@ def near(known: DataFrame) -> DataFrame:
                 lo = hi
 
     keys = known.select("id", "word", "n").mapInArrow(frugal(run), KEYS)
-    met = cut(keys.groupBy("bucket").applyInArrow(_reduced, NEAR))
+    # As many tasks as buckets ask for, however few the session has.
+    dealt = keys.repartition(max(parts(known.sparkSession), buckets), "bucket")
+    met = cut(dealt.groupBy("bucket").applyInArrow(_reduced, NEAR))
     a, b = known.select("id", F.col("word").alias("a")), known.select(F.col("id").alias("other"), F.col("word").alias("b"))
     alike = F.udf(lambda x, y: _differ_by_one(x, y), "boolean")
     pairs = met.where("other is not null").select("id", "best_n", "other").distinct().join(a, "id").join(b, "other").where(alike("a", "b"))

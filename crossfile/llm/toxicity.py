@@ -8,10 +8,11 @@ under both; a logistic model over the windows' gains is calibrated on labelled d
 of window and size of the toxic dictionary are those of ``SETTINGS`` whose model is best, by its loss over folds of these documents;
 rows held out take no part in that.
 
-Fitted on at most ``SAMPLE`` labelled documents of each class (the least hashes of their ids); of one longer than ``LONGEST`` characters
-it takes ``PIECES`` pieces at even distances, as many characters in all. Scoring reads whole texts, window by window. Null and empty texts score as texts without any gain. Ids with
-several or conflicting labels count by their greatest label. Repeated rows score alike. Extra columns are ignored. Without
-both labels in the training part every score is the share of toxic labels there.
+Fitted on at most ``SAMPLE`` labelled documents of each class, whole, by the least hashes of their ids, and on fewer where these have more than
+``SAMPLE_BYTES`` together (a document that alone has more isn't sampled). Scoring reads whole texts of any length, window by window. Null and empty
+texts score as texts without any gain. Ids with several or conflicting labels count by their greatest label. Repeated rows score alike, and one
+of them is fitted on. Equal gains are worth the same, so no order decides a tie. Extra columns are ignored; an empty table gives no rows. Without both labels in the training part every
+score is the share of toxic labels there.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from crossfile.llm.frames import text_key
 from crossfile.llm.text import frugal
 
-SAMPLE, LONGEST, PIECES = 3000, 16_384, 16
+SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
 #: (bytes to a window, bytes of the toxic dictionary). Windows are so short that zstandard stores literals as they are: under entropy
 #: coding, lengths vary by more than a match.
 SETTINGS = [(w, n) for w in (32, 42) for n in (1536, 3072)]
@@ -187,15 +188,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     shares = labels.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("t")).first()
     if not shares.n:
         return Model(b"", b"", 0.0)
-    step = F.floor(F.char_length("t") / PIECES).cast("int")
-    pieces = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("t"), i * step + 1, F.lit(LONGEST // PIECES))))
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).where(F.octet_length("t") > 0)
 
     def chosen(toxic: bool) -> list[str]:
-        """The texts of least hashes; of rows that share an id the least text."""
+        """The texts of least hashes, as many as there is room for: lengths come first, then the texts that fit."""
         ids = labels.where((F.col("toxic") == 1) == F.lit(toxic)).select("_k").orderBy(F.xxhash64("_k"), "_k").limit(2 * sample)
-        found = texts.join(F.broadcast(ids), "_k").select("_k", F.when(F.char_length("t") <= LONGEST, F.col("t")).otherwise(pieces).alias("t"))
-        return [r.t for r in found.orderBy(F.xxhash64("_k"), "_k", "t").limit(sample).collect()]
+        found = texts.join(F.broadcast(ids), "_k").select(F.xxhash64("_k").alias("h"), F.xxhash64("t").alias("g"), "t")
+        rows, room, fits = found.groupBy("h", "g").agg(F.max(F.octet_length("t")).alias("n")).orderBy("h", "g").limit(sample).collect(), SAMPLE_BYTES, []
+        for r in rows:
+            if r.n <= room:
+                fits.append((r.h, r.g))
+                room -= r.n
+        wanted = docs.sparkSession.createDataFrame(fits, "h long, g long")
+        return [r.t for r in found.join(F.broadcast(wanted), ["h", "g"]).groupBy("h", "g").agg(F.first("t").alias("t")).orderBy("h", "g").collect()]
 
     return train(chosen(True), chosen(False), (shares.t or 0) / shares.n)
 

@@ -136,6 +136,17 @@ def test_mix_meets_quotas(spark, evenness, budget, repetition):
         assert dealt[s] - whole * tokens[s] == sum(len(WORD.findall(r.text)) + 1 for r in rows if r.doc_id in last and r.source == s)
 
 
+@pytest.mark.parametrize("evenness,budget,repetition", [(0.999, 1.0, 4.0), (0.9, 2.5, 4.0), (1.0, 3.0, 3.2), (0.97, None, 4.0), (0.99, None, 1.5)])
+def test_many_sources_are_mixed_as_few_are(spark, monkeypatch, evenness, budget, repetition):
+    """Exponents from sums over a table of sources, and documents that meet theirs by a shuffle, give the same rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "if(doc_id % 3 = 0, 'hot', concat(source, doc_id % 5)) source", "text")
+    rows = lambda: sorted((r.source, r.doc_id, r._epoch, r._order, round(r._exponent, 8), round(r._weight, 9)) for r in mixing.mix(docs, evenness, repetition, budget).collect())
+    few = rows()
+    monkeypatch.setattr(mixing, "ONE_ROW", 3)
+    monkeypatch.setattr(mixing, "SOURCES_BROADCAST", 3)
+    assert rows() == few
+
+
 def test_mix_edge_rows(spark, docs):
     out = mixing.mix(docs, budget=None)
     assert out.columns[: len(docs.columns)] == docs.columns

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go: among them null and empty texts. Each row is judged by its own whole text, so
-    repeated rows share a fate; an empty table gives no rows; other columns are kept as they are."""
+    repeated rows share a fate, and a share equal to its limit passes; an empty table gives no rows; other columns are kept as they are."""
     ship(spark)
     return quality.keep(docs)
 
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; the lengths follow. Null texts stay null, empty ones empty; of overlapping spans the union is masked.
+    """Personal data is masked in whole texts of any length; the lengths follow. Of spans of one start the first kind counts. Null texts stay null, empty ones empty; of overlapping spans the union is masked.
     Every row is masked by its own whole text; an empty table gives no rows; other columns are kept as they are."""
     ship(spark)
     out = pii.mask(docs, pii.fit(docs))
@@ -39,13 +39,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated up to four times towards even shares; every document is dealt at least once. A null source is one of its
-    own; documents without tokens are dealt once; a source of one long document is repeated like any other. An empty table gives no
+    own; documents without tokens are dealt once, sources of equal shares alike; a source of one long document is repeated like any other. An empty table gives no
     rows; other columns are kept as they are."""
     return mixing.mix(docs, evenness=0.97, repetition=4.0, budget=None).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document dealt, repeated ones alike. Null and empty texts have no ids; long ones are encoded in a window. An
+    """The ids of every document dealt, repeated ones alike; of equal scores the codec takes the same pieces everywhere. Null and empty texts have no ids; long ones are encoded in a window. An
     empty table gives no rows; other columns go."""
     ship(spark)
     return sentencepiece_stream.encode(docs, sentencepiece_stream.read_pieces(VOCABULARY))

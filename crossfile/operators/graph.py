@@ -259,8 +259,9 @@ def _all_longest(kids: dict, ring_of: dict, best: dict) -> dict:
 def longest_chains(edges: DataFrame, doors: DataFrame, one_task: int | None = None) -> DataFrame:
     """(door, hops, path): the longest simple path from each door, the least of them by its nodes in order.
 
-    Each node's longest path is found once, from those of the rings below its own: level by level, a ring to a task, or all of
-    them in one task. Only within a ring are paths enumerated, those that a bound can't rule out; there is no cap.
+    A longest path is found once for each door and each node by which a ring is entered, from those of the rings below: level by level,
+    each such node's search a group of its own that holds its ring's edges, or all of them in one task. Only within a ring are paths
+    enumerated, those that a bound can't rule out; there is no cap.
     """
     edges = cut(_simple(edges))
     kind = edges.schema["src"].dataType.simpleString()
@@ -281,26 +282,28 @@ def longest_chains(edges: DataFrame, doors: DataFrame, one_task: int | None = No
         ring = strong_components(edges, one_task)
         named = cut(vertices(edges).join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("ring")))
         ways = cut(edges.join(named.select(F.col("node").alias("src"), F.col("ring").alias("r")), "src").join(named.select(F.col("node").alias("dst"), F.col("ring").alias("below")), "dst"))
+        entered = ways.where("r <> below").select(F.col("dst").alias("node")).union(doors.select(F.col("door").alias("node"))).distinct()
+        starts = cut(named.join(entered, "node", "left_semi").select(F.col("node").alias("start"), "ring"))
         left, best = named, None
 
         def one(group: pa.Table) -> pa.Table:
-            rows = group.to_pylist()
+            rows, start = group.to_pylist(), group.column("start")[0].as_py()
             own = {x["src"] for x in rows}
             kids = {n: [] for n in own}
             for x in rows:
                 if x["dst"] is not None:
                     kids[x["src"]].append(x["dst"])
             known = {x["dst"]: x["path"] for x in rows if x["path"] is not None}
-            return table({n: _longest_from(n, own, kids, known) for n in sorted(own)}, group.schema.field("src").type)
+            return table({start: _longest_from(start, own, kids, known)}, group.schema.field("src").type)
 
         while not left.isEmpty():
             waiting = ways.where("r <> below").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("r").alias("ring")).distinct()
-            ready = left.join(waiting, "ring", "left_anti")
+            ready = cut(left.join(waiting, "ring", "left_anti"))
             rows = ready.select(F.col("node").alias("src"), "ring").join(ways.select("src", "dst"), "src", "left")
             known = best.withColumnRenamed("node", "dst") if best is not None else edges.sparkSession.createDataFrame([], f"dst {kind}, path array<{kind}>")
-            found = cut(rows.join(known, "dst", "left").select("ring", "src", "dst", "path").groupBy("ring").applyInArrow(one, out))
+            found = cut(rows.join(known, "dst", "left").join(starts, "ring").select("ring", "start", "src", "dst", "path").groupBy("ring", "start").applyInArrow(one, out))
             best = found if best is None else cut(best.union(found))
-            left = cut(left.join(found.select("node"), "node", "left_anti"))
+            left = cut(left.join(ready.select("node"), "node", "left_anti"))
         best = best if best is not None else edges.sparkSession.createDataFrame([], out)
     found = doors.join(best, doors.door == best.node, "left").select("door", F.coalesce("path", F.array("door")).alias("path"))
     return found.select("door", (F.size("path") - 1).alias("hops"), "path")

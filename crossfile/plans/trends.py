@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from crossfile.functions.scalars import folder
 from crossfile.operators.temporal import as_of, innermost, last_rows, trailing
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The levels of a breakdown, by what stays of check, folder and module.
@@ -29,6 +29,16 @@ def churn(changes: DataFrame, commits: int = 10, days: int = 30) -> DataFrame:
     return trailing(rows, ["file"], "at", days, changes_in_days=F.lit(1), lines_in_days=F.col("lines"))
 
 
+def score_moves(scores: DataFrame, commits: int = 10, days: int = 30) -> DataFrame:
+    """scores (key, hash, at, value) of every axis at every commit, with its change since the last one, its mean over the last ``commits`` and
+    over the last ``days``. Commits of one moment are ordered by their hash."""
+    before = Window.partitionBy("key").orderBy("at", "hash")
+    rows = scores.withColumn("change", F.col("value") - F.lag("value").over(before))
+    rows = last_rows(rows, ["key"], ["at", "hash"], commits, _sum=F.col("value"), _n=F.lit(1)).withColumn("lately", F.col("_sum") / F.col("_n"))
+    rows = trailing(rows, ["key"], "at", days, _sum_days=F.col("value"), _n_days=F.lit(1)).withColumn("in_days", F.col("_sum_days") / F.col("_n_days"))
+    return rows.drop("_sum", "_n", "_sum_days", "_n_days")
+
+
 def brought_by(findings: DataFrame, changes: DataFrame) -> DataFrame:
     """findings (file, seen, ...) with the last change of their file by then: hash and since."""
     return as_of(findings, changes.select("file", F.col("at").alias("since"), "hash"), ["file"], "seen", "since")

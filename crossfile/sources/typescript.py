@@ -14,6 +14,7 @@ import os
 import posixpath
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow as pa
@@ -38,6 +39,8 @@ TEST_FOLDERS, TEST_FILE = ("test", "tests", "__tests__"), r"\.(test|spec)\.[cm]?
 TRIED = (".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")
 #: Extensions of what is compiled, and what it is compiled from.
 COMPILED = {".js": (".ts", ".tsx", ".d.ts"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
+#: Tables written at a time.
+AT_A_TIME = 8
 CHAIN = "array<string>"
 #: Facts that are told to be resolved.
 TOLD = {
@@ -338,5 +341,7 @@ def read(spark: SparkSession, source_dir: str | Path, rules: Project | None = No
         "name_counts": told("name_counts", TABLES["name_counts"]).groupBy("scope", "name").agg(F.sum("n").alias("n")), "test_uses": told("test_uses", TABLES["test_uses"]),
         "commit_files": commit_files(spark, folder), "entrypoints": doors(r, modules, entry_patterns(package)),
     }
-    fitted = {n: cut(df.select(*StructType.fromDDL(TABLES[n]).names).to(StructType.fromDDL(TABLES[n]))) for n, df in tables.items()}
+    kinds = {n: StructType.fromDDL(TABLES[n]) for n in tables}
+    with ThreadPoolExecutor(AT_A_TIME) as pool:  # each is too small to keep a cluster busy
+        fitted = dict(zip(tables, pool.map(lambda n: cut(tables[n].select(*kinds[n].names).to(kinds[n])), tables), strict=True))
     return Facts(spark, fitted, rules)

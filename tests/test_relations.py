@@ -91,6 +91,16 @@ def test_frames_look_back_over_rows_and_days(spark):
         assert (r.lines_lately, r.changes_in_days, r.lines_in_days) == (sum(x[2] for x in own[max(0, i - 3) : i + 1]), len(days), sum(x[2] for x in days))
 
 
+def test_scores_move_over_commits_and_days(spark):
+    rng = random.Random(6)
+    rows = [(key, f"h{i:02}", DAY + timedelta(days=3 * (i // 2)), rng.randrange(101)) for i in range(40) for key in ("overall", "lean")]
+    for r in trends.score_moves(spark.createDataFrame(rows, "key string, hash string, at timestamp, value int"), commits=5, days=30).collect():
+        own = sorted((x[2], x[1], x[3]) for x in rows if x[0] == r.key)
+        i = own.index((r.at, r.hash, r.value))
+        last, days = [x[2] for x in own[max(0, i - 4) : i + 1]], [x[2] for x in own if timedelta(0) <= r.at - x[0] <= timedelta(days=30)]
+        assert r.change == (own[i][2] - own[i - 1][2] if i else None) and r.lately == pytest.approx(sum(last) / len(last)) and r.in_days == pytest.approx(sum(days) / len(days))
+
+
 def test_findings_by_the_commit_that_brought_them(spark):
     changes = spark.createDataFrame([("a.py", DAY, "c1"), ("a.py", DAY + timedelta(days=5), "c2"), ("b.py", DAY, "c3")], "file string, at timestamp, hash string")
     found_ = spark.createDataFrame([("a.py", DAY + timedelta(days=4), "x"), ("a.py", DAY + timedelta(days=5), "y"), ("c.py", DAY, "z")], "file string, seen timestamp, id string")

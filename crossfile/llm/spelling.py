@@ -31,7 +31,7 @@ LEAST_LETTERS, LEAST_TIMES, FACTOR = 7, 2, 10
 #: One in so many pairs of document and run loses a letter.
 SPOILT = 31
 #: Letters of the longest word that is sent with its keys; keys to a bucket; words a task counts before it passes them on.
-LONG, BUCKET, HELD = 64, 1 << 19, 1 << 17
+LONG, BUCKET, HELD = 64, 1 << 17, 1 << 17
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
 _CRC = np.arange(256, dtype=np.uint32)

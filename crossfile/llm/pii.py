@@ -3,7 +3,8 @@
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Further candidates, long tokens with a digit,
 are voted on by labelers (patterns, a gazetteer, context). Expectation-maximisation over the counts of all vote patterns in
 the corpus estimates each labeler's reliability, and a logistic classifier trained on the resulting soft labels decides which
-candidates are secrets. The pattern counts are at most a few thousand rows however large the corpus: every document counts.
+candidates are secrets. Names, birth dates and postal addresses (``persons``) are found the same way, each kind with labelers, reliabilities
+and a classifier of its own, and with a gazetteer that can be given as a table. The pattern counts are at most a few thousand rows however large the corpus: every document counts.
 
 Every text is searched whole, by patterns that pass over it once. Null texts are empty. Repeated rows are treated alike; spans that
 start together are listed by kind, and a candidate of even odds counts as a secret. Extra
@@ -19,15 +20,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossfile.llm import persons
 from crossfile.llm.text import frugal
 
-KINDS = ("email", "ip", "card", "phone", "secret", "account")
+KINDS = ("email", "ip", "card", "phone", "secret", "account", *persons.FAMILIES)
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -129,6 +132,13 @@ def _check_digits(token: str, before: str) -> int:
 LABELERS = (_pattern, _hexadecimal, _context, _gazetteer, _entropy, _digits, _check_digits)
 
 
+class Model(NamedTuple):
+    """Weights of the classifier of every kind that has candidates, and the gazetteer that its labelers voted by."""
+
+    weights: dict[str, np.ndarray]
+    terms: persons.Terms
+
+
 def candidates(text: str) -> list[tuple[int, int, tuple[int, ...]]]:
     """(start, end, features): the votes, and a step of the token's length."""
     out = []
@@ -140,17 +150,23 @@ def candidates(text: str) -> list[tuple[int, int, tuple[int, ...]]]:
     return out
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM over vote patterns with counts: (share of secrets, P(vote | class) by labeler, posterior by pattern)."""
-    votes = np.array([p[: len(LABELERS)] for p, _ in patterns]) + 1
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, voters: int = len(LABELERS), background: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """EM over vote patterns with counts: (share of personal ones, P(vote | class) by labeler, posterior by pattern). ``background``
+    marks patterns that are known not to be personal; where it is given, every other candidate counts half by what labelers right
+    nine times out of ten would say of it, and votes are smoothed towards their shares: kinds that are rare would die out otherwise."""
+    votes = np.array([p[:voters] for p, _ in patterns]) + 1
     n = np.array([c for _, c in patterns], dtype=float)
-    post = 1 / (1 + np.exp(-(votes - 1).sum(axis=1)))
+    known = np.zeros(len(n), dtype=bool) if background is None else background
+    said = (votes - 1).sum(axis=1)
+    post, belief = (np.where(known, 0.0, 1 / (1 + np.exp(-np.clip(said * k, -500, 500)))) for k in (1.0, math.log(9)))
     for _ in range(rounds):
+        if background is not None:
+            post = (post + belief) / 2
         share = float(np.clip((n * post).sum() / n.sum(), 1e-6, 1 - 1e-6))
-        table = np.empty((len(LABELERS), 2, 3))
-        for j in range(len(LABELERS)):
+        table = np.empty((voters, 2, 3))
+        for j in range(voters):
             for z, weight in enumerate((n * (1 - post), n * post)):
-                counts = np.bincount(votes[:, j], weight, 3) + 0.5
+                counts = np.bincount(votes[:, j], weight, 3) + (0.5 if background is None else 1.5 * np.bincount(votes[:, j], n, 3) / n.sum())
                 table[j, z] = counts / counts.sum()
             # Labelers are better than chance, or say nothing: where a vote for would speak against, or one against for, it is of
             # equal weight in both classes.
@@ -158,8 +174,8 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50)
                 if sign * (table[j, 1, v] - table[j, 0, v]) < 0:
                     table[j, :, v] = share * table[j, 1, v] + (1 - share) * table[j, 0, v]
             table[j] /= table[j].sum(axis=1, keepdims=True)
-        odds = math.log(share / (1 - share)) + sum(np.log(table[j, 1, votes[:, j]] / table[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
-        post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        odds = math.log(share / (1 - share)) + sum(np.log(table[j, 1, votes[:, j]] / table[j, 0, votes[:, j]]) for j in range(voters))
+        post = np.where(known, 0.0, 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
     return share, table, post
 
 
@@ -168,17 +184,21 @@ def _one_hot(features: tuple[int, ...]) -> list[float]:
     return [1.0, *(float(v == x) for v in votes for x in (-1, 1)), *(float(length == x) for x in (1, 2, 3))]
 
 
-def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300) -> np.ndarray | None:
+def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300, kind: str = "secret") -> np.ndarray | None:
     """Weights of the final classifier, by Newton-like ascent on the soft labels of all candidates."""
     if not patterns:
         return None
     patterns = sorted(patterns)
-    _, _, post = reliabilities(patterns)
+    voters = persons.VOTERS.get(kind, len(LABELERS))
+    background = np.array([not persons.anchored(kind, p) for p, _ in patterns]) if kind in persons.ANCHORS else None
+    _, _, post = reliabilities(patterns, voters=voters, background=background)
     x = np.array([_one_hot(p) for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
+    if background is not None and 0 < n[~background].sum() < n[background].sum():
+        n[background] *= n[~background].sum() / n[background].sum()  # however much ordinary text there is, it weighs no more than candidates
     n /= n.sum()
     # Weights are drawn to one a vote, so that votes never seen together in the corpus still count.
-    start = np.array([0.0, *[-1.0, 1.0] * len(LABELERS), 0.0, 0.0, 0.0])
+    start = np.array([0.0, *[-1.0, 1.0] * voters, 0.0, 0.0, 0.0])
     w = start.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -189,31 +209,44 @@ def train(patterns: list[tuple[tuple[int, ...], int]], steps: int = 300) -> np.n
     return w
 
 
-def is_secret(features: tuple[int, ...], weights: np.ndarray | None) -> bool:
-    return weights is not None and float(np.dot(_one_hot(features), weights)) >= 0
+def accepted(kind: str, features: tuple[int, ...], model: Model | None) -> bool:
+    """Whether the classifier of the kind takes a candidate for personal; even odds are enough."""
+    return model is not None and kind in model.weights and float(np.dot(_one_hot(features), model.weights[kind])) >= 0
 
 
-def fit(docs: DataFrame, text: str = "text") -> np.ndarray | None:
-    """The classifier, from the candidates of every document."""
+def fit(docs: DataFrame, text: str = "text", gazetteer: DataFrame | None = None) -> Model | None:
+    """The classifiers, from the candidates of every document; None if there are none. ``gazetteer``: see ``persons.load``."""
+    terms = persons.DEFAULTS if gazetteer is None else persons.load(gazetteer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[tuple[int, ...]] = Counter()
+        found: Counter[tuple[str, tuple[int, ...]]] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    found.update(f for _, _, f in candidates(t))
-        yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, f)) for f in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["f", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()  # one row per pattern
-    return train([(tuple(map(int, r.f.split(","))), r.n) for r in rows])
+                    found.update(("secret", f) for _, _, f in candidates(t))
+                    for kind, family in persons.FAMILIES.items():
+                        found.update((kind, (*v, 0)) for _, _, v in family(t, terms))
+        columns = [pa.array([k for k, _ in found], pa.string()), pa.array([",".join(map(str, f)) for _, f in found], pa.string()), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "f", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "kind string, f string, n long").groupBy("kind", "f").agg(F.sum("n").alias("n")).collect()  # one row per pattern
+    patterns: dict[str, list[tuple[tuple[int, ...], int]]] = {}
+    for r in rows:
+        patterns.setdefault(r.kind, []).append((tuple(map(int, r.f.split(","))), r.n))
+    if not patterns:
+        return None
+    return Model({k: train(p, kind=k) for k, p in patterns.items()}, terms)
 
 
-def all_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, model: Model | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each by start and then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]))
     base = base_spans(text)
     taken = sorted(base)
-    more = [(a, b, "account" if is_account(text[a:b]) else "secret") for a, b, f in candidates(text) if is_secret(f, weights)]
+    more = [(a, b, "account" if is_account(text[a:b]) else "secret") for a, b, f in candidates(text) if accepted("secret", f, model)]
+    if model is not None:
+        for kind, family in persons.FAMILIES.items():
+            more += [(a, b, kind) for a, b, v in family(text, model.terms) if persons.anchored(kind, v) and accepted(kind, (*v, 0), model)]
     starts = [x for x, _, _ in taken]
     furthest = list(itertools.accumulate((y for _, y, _ in taken), max))
     # Added spans don't overlap base ones: of these, only those that start before an added one's end can reach into it.
@@ -225,7 +258,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def find(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, all spans and the number of added ones, of every row."""
     docs = docs.select(key, text)
 
@@ -233,7 +266,7 @@ def find(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", text:
         for b in batches:
             counts, digests, spans, added = [], [], [], []
             for t in b.column(1).to_pylist():
-                base, every = all_spans(t or "", weights)
+                base, every = all_spans(t or "", model)
                 n = Counter(k for _, _, k in base)
                 counts.append([n[k] for k in KINDS[:4]])
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -245,23 +278,23 @@ def find(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id", text:
     return docs.mapInArrow(frugal(run), f"`{key}` {docs.schema[0].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-def masked(text: str, weights: np.ndarray | None) -> str:
+def masked(text: str, model: Model | None) -> str:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first named stays."""
     out, at = [], 0
-    for a, b, kind in all_spans(text, weights)[1]:
+    for a, b, kind in all_spans(text, model)[1]:
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def mask(docs: DataFrame, weights: np.ndarray | None, text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with personal data masked in its texts; null texts stay null."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = pa.array([None if t is None else masked(t, weights) for t in b.column(at).to_pylist()], b.schema[at].type)
+            new = pa.array([None if t is None else masked(t, model) for t in b.column(at).to_pylist()], b.schema[at].type)
             yield b.set_column(at, b.schema.field(at), new)
 
     return docs.mapInArrow(frugal(run), docs.schema)

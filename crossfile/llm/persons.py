@@ -33,19 +33,21 @@ OTHER_WAYS = "lane drive way square court place chemin allée quai plaza paseo c
 DEFAULTS: Terms = {k: frozenset(v.split()) for k, v in (("given", GIVEN), ("title", TITLES), ("way", WAYS), ("other_way", OTHER_WAYS))}
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+# Patterns start with a set of characters, and look behind it from there: so the search skips to these characters.
 #: A full stop joins words only after an abbreviation or an initial.
-RUN = re.compile(rf"(?<!\w)[{_UPPER}][{_LOWER}]++(?:(?:(?<=\b\w\w)\. |(?<=\b\w\w\w)\. | |-)(?:[{_UPPER}][{_LOWER}]++|[{_UPPER}]\.(?= ))){{0,4}}(?!\w)")
+RUN = re.compile(rf"[{_UPPER}](?<!\w.)[{_LOWER}]++(?:(?:(?<=\b\w\w)\. |(?<=\b\w\w\w)\. | |-)(?:[{_UPPER}][{_LOWER}]++|[{_UPPER}]\.(?= ))){{0,4}}(?!\w)")
 _WORD = re.compile(rf"[{_UPPER}{_LOWER}]+")
 _NAMED = re.compile(r"(?:\bnames?|\bnom|\bnombre|\bcontact|\bkontakt|\bcontacto|\bsigned|\battn|\bpatient|\bemployee)\s*[:=]\s*$", re.IGNORECASE)
-_CLOSING = re.compile(r"(?:\bdear|\bregards|\bsincerely|\bgrüße|\bgrüßen|\bcordialement|\batentamente|\bchère?|\bliebe[r]?|\bquerid[oa]|\bestimad[oa]),?\s+$", re.IGNORECASE)
+_GREETINGS = frozenset("dear regards sincerely grüße grüßen cordialement atentamente cher chère liebe lieber querido querida estimado estimada".split())
+_LAST = re.compile(r"(\w+),?\s+$")
 _REACHED = re.compile(r"@|\+[0-9]|\b(?:tel|phone|mobile|fax|e-?mail|born|geboren|née?|nacid[oa])\b", re.IGNORECASE)
 _LABEL = frozenset("dear contact signed name attn patient from".split())
 
-DATE = re.compile(r"(?<![\w./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2})|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![\w/-]|\.[0-9])")
+DATE = re.compile(r"[0-9](?<![\w./-].)(?:[0-9]?([./-])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2})|[0-9]{3}-[0-9]{2}-[0-9]{2})(?![\w/-]|\.[0-9])")
 _BORN = re.compile(r"\b(?:born|birth(?:day|date)?|d\.?o\.?b\.?|geboren|geburts(?:tag|datum)|née?|naissance|nacid[oa]|nacimiento)\b", re.IGNORECASE)
 _DATED = re.compile(r"\b(?:version|updated|published|issued|dated|due|invoice|release[d]?|rev)\b", re.IGNORECASE)
 
-NUMBER = re.compile(r"(?<![\w.,/-])[0-9]{1,5}[A-Za-z]?(?![\w/-]|[.,][0-9])")
+NUMBER = re.compile(r"[0-9](?<![\w.,/-].)[0-9]{0,4}[A-Za-z]?(?![\w/-]|[.,][0-9])")
 _ON = re.compile(r"(?:,? [^\W\d_]+){1,6}")
 _BACK = re.compile(r"(?<!\w)(?:[^\W\d_]+ ){0,5}[^\W\d_]+,? $")
 _JOINS = frozenset("de du des la le les del los las el the of der den von zum zur am".split())
@@ -79,6 +81,9 @@ def names(text: str, terms: Terms) -> list[Found]:
     """
     out = []
     for m in RUN.finditer(text):
+        # Most runs are the first word of a sentence; a word alone needs a label, and labels end in one of these signs.
+        if " " not in m.group() and "-" not in m.group() and text[max(0, m.start() - 32) : m.start()].rstrip()[-1:] not in (":", "="):
+            continue
         words = [(w.start() + m.start(), w.end() + m.start()) for w in _WORD.finditer(m.group())]
         titled, labelled = False, False
         while words and ((word := text[slice(*words[0])].lower()) in terms["title"] or word in _LABEL):
@@ -89,10 +94,11 @@ def names(text: str, terms: Terms) -> list[Found]:
         start, end = words[0][0], words[-1][1]
         given = any(text[slice(*w)].lower() in terms["given"] for w in words)
         before = text[max(0, start - 32) : start]
-        named = bool(_NAMED.search(before))
+        named = before.rstrip()[-1:] in (":", "=") and bool(_NAMED.search(before))
         if len(words) == 1 and not (titled or named):
             continue
-        greeted = labelled or bool(_CLOSING.search(before))
+        last = _LAST.search(before)
+        greeted = labelled or last is not None and last.group(1).lower() in _GREETINGS
         reached = bool(_REACHED.search(text, end, min(len(text), end + 40)))
         out.append((start, end, (int(titled), int(given), int(named), 1 if 2 <= len(words) <= 3 else -1, int(greeted or reached))))
     return out

@@ -51,6 +51,25 @@ def test_names_spread_through_stars(spark):
     assert got == {("a", "x"): None, ("b", "x"): None, ("b", "y"): None, ("c", "default"): None, ("c", "z"): None, ("d", "z"): None, ("a", "y"): "b", ("a", "z"): "c", ("b", "z"): "a", ("e", "z"): "d", ("f", "z"): "e"}
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_rings_above_tell_the_same_as_above(spark, limit):
+    rng = random.Random(3)
+    for n, m in ((12, 16), (30, 30), (5, 0)):
+        edges = spark.createDataFrame(sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)}), "node int, up int")
+        rings, reached = alias.rings_above(edges, limit)
+        ring = {r.node: r.ring for r in rings.collect()}
+        pairs = {tuple(r) for r in reached.select("ring", "up").collect()}
+        assert {(a, b) for a in ring for b in ring if (ring[a], ring[b]) in pairs} == {(r.node, r.up) for r in alias.above(edges).collect()}
+
+
+def test_a_ring_is_one_row_above_others(spark):
+    """A ring of 40 below another: pairs are of rings, where those of nodes would be 4,800."""
+    ring = [(i, (i + 1) % 40) for i in range(40)] + [(100 + i, 100 + (i + 1) % 40) for i in range(40)] + [(0, 100)]
+    rings, reached = alias.rings_above(spark.createDataFrame(ring, "node int, up int"))
+    assert rings.count() == 80
+    assert {tuple(r) for r in reached.select("ring", "up").collect()} == {(0, 0), (100, 100), (0, 100)}
+
+
 @pytest.mark.parametrize("rows", [5, 1 << 18])
 def test_as_of_with_a_hot_key(spark, rows):
     rng = random.Random(2)

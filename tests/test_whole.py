@@ -105,3 +105,11 @@ def test_checks_equal_their_sql(spark, db, name):
     columns = sorted(got.columns)
     want = db.execute(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert want and sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["bases_above"])
+def test_rings_equal_their_sql(spark, db, name):
+    got = __spark_entry__.queries()[name](spark, SF)
+    columns = sorted(got.columns)
+    want = db.execute(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(tuple, got.select(*columns).collect())) == sorted(want)

@@ -1,5 +1,7 @@
 """Every check: rows that fire, and what is left alone."""
 
+import random
+
 import pytest
 from crossfile.facts import Facts
 from crossfile.operators import graph
@@ -163,3 +165,20 @@ def test_chains_on_rings_and_without(spark):
     lines = ring.selectExpr("src", "dst", "array(1) lines")
     assert [(r.depth, r.node, r.seen) for r in graph.call_tree(lines, doors.limit(1)).orderBy("pre_order").collect()] == [(0, "d", False), (1, "a", False), (2, "c", False), (3, "a", True), (1, "b", False), (2, "c", True)]
     assert graph.flow(dag, ["d", "b", "c"]).first().path == ["d", "b", "c"]
+
+
+def test_beaten_groups_equal_brute_force(spark):
+    """Groups of one key share no members; one is beaten by a group of more names, its own among them, that holds all its members."""
+    rng = random.Random(5)
+    groups = []
+    for names in ("abc", "abd", "abcd", "abcde", "xyz", "wxyz"):
+        nodes = [f"n{i:02}" for i in range(16)]
+        rng.shuffle(nodes)
+        if names in ("abcd", "wxyz"):
+            nodes = [*sorted(nodes)]
+        for at in range(0, 16, size := len(names) if rng.random() < 0.5 else 8):
+            groups.append((names, sorted(nodes[at : at + size])))
+    rows = [("+".join(names), min(m), list(names), len(m), n) for names, m in groups for n in m]
+    members = spark.createDataFrame(rows, "key string, component string, names array<string>, size long, node string")
+    want = {("+".join(n), min(m)) for n, m in groups if any(len(n2) > len(n) and set(n) <= set(n2) and set(m) <= set(m2) for n2, m2 in groups)}
+    assert want and {tuple(r) for r in checks._beaten(members).collect()} == want

@@ -70,6 +70,16 @@ def test_a_ring_is_one_row_above_others(spark):
     assert {tuple(r) for r in reached.select("ring", "up").collect()} == {(0, 0), (100, 100), (0, 100)}
 
 
+def test_all_names_are_those_that_spread(spark):
+    rng = random.Random(4)
+    for n in (4, 9):
+        known = [(f"p{rng.randrange(n)}", f"f{rng.randrange(6)}") for _ in range(2 * n)] + [("alone", "f1"), ("alone", "f2")]
+        stars = [(f"p{rng.randrange(n)}", f"p{rng.randrange(n + 2)}", i) for i in range(n + 3)]
+        known, stars = spark.createDataFrame(known, "place string, name string"), spark.createDataFrame(stars, "place string, of string, ord int")
+        got = sorted(map(tuple, alias.all_names(known, stars, "f1").collect()))
+        assert got == sorted((r.place, r.name) for r in alias.spread(known, stars, "f1").collect())
+
+
 @pytest.mark.parametrize("rows", [5, 1 << 18])
 def test_as_of_with_a_hot_key(spark, rows):
     rng = random.Random(2)

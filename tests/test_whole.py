@@ -107,7 +107,7 @@ def test_checks_equal_their_sql(spark, db, name):
     assert want and sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["bases_above"])
+@pytest.mark.parametrize("name", ["bases_above", "star_names"])
 def test_rings_equal_their_sql(spark, db, name):
     got = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(got.columns)

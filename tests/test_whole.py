@@ -1,12 +1,14 @@
 """The whole-job queries on the driver's tables, against brute force."""
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import __spark_entry__
 import duckdb
 import pytest
-from crossfile import queries
+from crossfile import bindings, queries
 from crossfile.operators import graph
+from crossfile.operators.lineage import cut
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,3 +115,13 @@ def test_rings_equal_their_sql(spark, db, name):
     columns = sorted(got.columns)
     want = db.execute(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert want and sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
+def test_flat_tables_are_written_once(spark, monkeypatch):
+    """Checks that run at a time read the same flat tables."""
+    written = []
+    monkeypatch.setattr(bindings, "cut", lambda df: written.append(df.columns) or cut(df))
+    held = bindings.facts(spark, SF).tables
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda n: held[n], ("symbols", "uses", "call_edges", "library_calls", "test_uses", "taken", "entrypoints", "externals")))
+    assert len(written) == len(set(map(tuple, written))) == 4

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from crossfile import bindings, check_queries, relation_queries
 from crossfile.functions.scalars import glob_regex, half_even
 from crossfile.operators import graph
-from crossfile.operators.lineage import cut
+from crossfile.operators.lineage import cut, dealt
 from crossfile.plans import checks
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,8 +70,9 @@ s as (select * from k where n <= 20), c as (select p, count(*) changes from s gr
 select a.p a, b.p b, count(*) together, least(any_value(ca.changes), any_value(cb.changes)) rarer
 from s a join s b on a.h = b.h and a.p < b.p join c ca on ca.p = a.p join c cb on cb.p = b.p group by a.p, b.p having count(*) >= 3""")
 def co_change_pairs(spark, sf):
-    commits = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("hash"), F.lit("").alias("subject"), F.lit(0).alias("pos"), F.col("l_partkey").alias("file"))
-    pairs = checks.co_changes(commits).where("together >= 3")
+    lines = _t(spark, sf, "lineitem")
+    commits = lines.select(F.col("l_orderkey").alias("hash"), F.lit("").alias("subject"), F.lit(0).alias("pos"), F.col("l_partkey").alias("file"))
+    pairs = checks.co_changes(commits, lines.count()).where("together >= 3")
     return pairs.select("a", "b", "together", F.least("changes_a", "changes_b").alias("rarer"))
 
 

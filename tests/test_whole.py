@@ -7,7 +7,7 @@ import __spark_entry__
 import duckdb
 import pytest
 from crossfile import bindings, queries
-from crossfile.operators import graph
+from crossfile.operators import graph, lineage
 from crossfile.operators.lineage import cut
 
 SF = "/root/testdata/sf0.01"
@@ -125,3 +125,21 @@ def test_flat_tables_are_written_once(spark, monkeypatch):
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(lambda n: held[n], ("symbols", "uses", "call_edges", "library_calls", "test_uses", "taken", "entrypoints", "externals")))
     assert len(written) == len(set(map(tuple, written))) == 4
+
+
+@pytest.mark.parametrize(("name", "tasks"), [("co_change_pairs", None), ("clump_sets", 48), ("churn_frames", 24)])
+def test_rows_are_dealt_to_as_many_tasks_as_they_need(spark, db, monkeypatch, name, tasks):
+    """60,000 lines, 5,000 rows to a task; sets of three and blocks of time are four and two times the lines."""
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 5_000)
+    got = __spark_entry__.queries()[name](spark, SF)
+    assert tasks is None or got.rdd.getNumPartitions() == tasks
+    columns = sorted(got.columns)
+    want = db.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert want and sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
+def test_edges_are_dealt_and_components_ignore_edges_that_stand_twice(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 5_000)
+    assert queries.weighted_edges(spark, SF).rdd.getNumPartitions() == 12
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (4, 3), (3, 3)], "src int, dst int")
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}

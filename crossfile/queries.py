@@ -39,7 +39,10 @@ weighted as (select src, dst, count(*) n from steps where dst is not null and sr
 def weighted_edges(spark: SparkSession, sf: str) -> DataFrame:
     """src, dst, n: supplier to next supplier in an order."""
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
-    return _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), nxt.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER)
+    rows = lines.count()
+    steps = dealt(lines, rows, "l_orderkey").select(F.col("l_suppkey").alias("src"), nxt.alias("dst")).where("src <> dst")
+    return dealt(steps, rows, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _edges(spark: SparkSession, sf: str, least: int) -> DataFrame:

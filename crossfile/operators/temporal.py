@@ -6,7 +6,7 @@ before it is one row.
 
 from __future__ import annotations
 
-from crossfile.operators.lineage import cut
+from crossfile.operators.lineage import cut, dealt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +67,17 @@ def innermost(points: DataFrame, spans: DataFrame, by: list[str], at: str, start
     return points.withColumn("_p", F.struct(*points.columns)).join(met, "_p", "left").select(*points.columns, *[F.col(f"_s._{c}").alias(c) for c in kept])
 
 
-def trailing(rows: DataFrame, by: list[str], at: str, days: int, **sums: Column) -> DataFrame:
+def trailing(rows: DataFrame, by: list[str], at: str, days: int, n: int | None = None, /, **sums: Column) -> DataFrame:
     """The rows with sums over those of their key in the ``days`` up to and with their own moment (``at``, a timestamp).
 
-    A key's time line is cut into blocks as long as the frame; each block is given the one before it to look back on.
+    A key's time line is cut into blocks as long as the frame; each block is given the one before it to look back on. n: how many rows
+    there are, if they may be many.
     """
     micros = days * 86_400_000_000
     block = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(float(micros)))
     held = rows.withColumn("_b", block)
     both = held.withColumn("_own", F.lit(True)).union(held.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    both = dealt(both, 2 * n, *by, "_b") if n else both
     frame = Window.partitionBy(*by, "_b").orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-micros, 0)
     for name, value in sums.items():
         both = both.withColumn(name, F.sum(value).over(frame))

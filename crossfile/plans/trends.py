@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from crossfile.functions.scalars import folder
+from crossfile.operators.lineage import dealt
 from crossfile.operators.temporal import as_of, innermost, last_rows, trailing
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ def breakdown(findings: DataFrame) -> DataFrame:
 def churn(changes: DataFrame, commits: int = 10, days: int = 30) -> DataFrame:
     """changes (file, hash, at, lines) with the lines of the file's last ``commits`` changes, and the changes and lines of the last ``days``.
     Changes of one moment are ordered by their hash."""
-    rows = last_rows(changes, ["file"], ["at", "hash", "lines"], commits, lines_lately=F.col("lines"))
-    return trailing(rows, ["file"], "at", days, changes_in_days=F.lit(1), lines_in_days=F.col("lines"))
+    n = changes.count()
+    rows = last_rows(dealt(changes, n, "file"), ["file"], ["at", "hash", "lines"], commits, lines_lately=F.col("lines"))
+    return trailing(rows, ["file"], "at", days, n, changes_in_days=F.lit(1), lines_in_days=F.col("lines"))
 
 
 def score_moves(scores: DataFrame, commits: int = 10, days: int = 30) -> DataFrame:

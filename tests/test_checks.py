@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from crossfile import check_queries
 from crossfile.facts import Facts
 from crossfile.operators import graph
 from crossfile.plans import checks
@@ -10,6 +11,8 @@ from crossfile.plans.score import score
 from crossfile.rules import Project, Skip
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 
 def sym(sid, kind="function", line=1, lines=5, owner=None, ord=0):
     module, name = sid.split(":")
@@ -182,3 +185,17 @@ def test_beaten_groups_equal_brute_force(spark):
     members = spark.createDataFrame(rows, "key string, component string, names array<string>, size long, node string")
     want = {("+".join(n), min(m)) for n, m in groups if any(len(n2) > len(n) and set(n) <= set(n2) and set(m) <= set(m2) for n2, m2 in groups)}
     assert want and {tuple(r) for r in checks._beaten(members).collect()} == want
+
+
+def test_kept_names_may_be_a_table(spark):
+    """Names that grow with the tables stay on executors."""
+    rules = check_queries._rules(spark, "/root/testdata/sf0.001", "dead")
+    names = {r.name for r in Facts(spark, {}).named(rules.keep, "last").select(F.col("last").alias("name")).collect()}
+    assert not isinstance(rules.keep, frozenset) and names and all(n.startswith("f") for n in names)
+
+
+def test_files_count_as_large_as_they_are_while_checks_run(spark, monkeypatch):
+    seen, name = [], "spark.sql.sources.fileCompressionFactor"
+    monkeypatch.setitem(checks.CHECKS, "dead", lambda f: seen.append(spark.conf.get(name)) or checks.empty(f))
+    assert checks.all_findings(facts(spark), ["dead"]).count() == 0
+    assert seen == [checks.UNPACKED] and spark.conf.get(name) == "1.0"

@@ -149,3 +149,43 @@ def test_wide_vectors_make_more_shards(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     true = (x @ x.T >= 0.93).sum(axis=1) - 1
     assert {r.shards for r in got} == {7} and [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == true.tolist()
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.05, 0.09])
+def test_groups_of_near_vectors_are_counted_by_balls(noise):
+    """Balls that link whole, balls that link in part, and balls that no longer link."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1600, 16))
+    for at, of in ((0, 900), (900, 1200)):
+        x[at:of] = x[at] + rng.normal(size=(of - at, 16)) * noise * np.linalg.norm(x[at])
+    x[1200:1210] = x[1210:1220] * 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    size = rng.integers(1, 4, len(x))
+    g = hnsw.Graph(x, tight=float(np.cos(0.499 * np.arccos(0.93))))
+    found, _, recall = hnsw.search(g, x[g.leaders], 0.93 - 1e-9, True, g.wide[g.leaders])
+    a, b = np.repeat(g.leaders, [len(f) for f in found]), np.concatenate(found)
+    a, b = np.divmod(np.unique(np.minimum(a, b) * len(x) + np.maximum(a, b)), len(x))
+    n, n2, edges = hnsw.counted(g, g, size, size, a[a != b], b[a != b], 0.93)
+    inner = np.bincount(g.lead, size, len(x))[g.lead] - size
+    true = (x @ x.T >= 0.93) @ size - size
+    assert recall >= hnsw.RECALL and (n + n2 + inner == true).mean() >= 0.99 and (n + n2 + inner <= true).all()
+    assert all(x[i] @ x[j] >= 0.93 for i, j in edges)
+    if noise == 0.02:
+        assert len(g.leaders) < 420 and len(a) < 2 * len(g.leaders)
+
+
+def test_a_search_looks_at_no_more_vectors_in_a_larger_graph(monkeypatch):
+    """Side by side too, a search stays a search: its similarities don't grow with the graph, and there are few steps in Python."""
+    rng = np.random.default_rng(12)
+    seen, calls = [], []
+    dots = hnsw.Graph._dots
+    monkeypatch.setattr(hnsw.Graph, "_dots", lambda self, q, r, j, x: (seen.append(len(r)), dots(self, q, r, j, x))[1])
+    for n in (1000, 5000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        g = hnsw.Graph(x)
+        seen.clear()
+        g.above(x[:256], 0.93, hnsw.BEAM)
+        calls.append((sum(seen) / 256, len(seen)))
+    assert calls[1][0] < 1.5 * calls[0][0] and calls[1][0] < 0.2 * 5000 and max(c for _, c in calls) < 256

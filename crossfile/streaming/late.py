@@ -41,7 +41,8 @@ def read_in_time(saves: DataFrame, readings: DataFrame, within: str = "30 second
 
 
 class Unread(StatefulProcessor):
-    """Of a file: when it was saved last. A timer tells it, in event time, unless a reading comes first."""
+    """Of a file: when it was saved last. A timer tells it, in event time, unless a reading comes first. The last reading is kept until the
+    watermark passes it, as a save it followed may come in a later batch."""
 
     def __init__(self, seconds: int):
         self.millis = 1000 * seconds
@@ -49,6 +50,7 @@ class Unread(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.saved = handle.getValueState("saved", "ts long")
+        self.read = handle.getValueState("read", "ts long")
 
     def _clear(self) -> None:
         for timer in list(self.handle.listTimers()):
@@ -63,7 +65,13 @@ class Unread(StatefulProcessor):
         if self.saved.exists():
             before = int(self.saved.get()[0])
             saved = before if saved is None else max(saved, before)
+        if self.read.exists():
+            before = int(self.read.get()[0])
+            read = before if read is None else max(read, before)
         self._clear()
+        if read is not None:
+            self.read.update((read,))
+            self.handle.registerTimer(read + 1)
         if saved is not None and (read is None or read < saved):
             self.saved.update((saved,))
             self.handle.registerTimer(saved + self.millis)
@@ -72,7 +80,10 @@ class Unread(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.saved.exists():
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.read.exists() and int(self.read.get()[0]) < now:
+            self.read.clear()
+        if self.saved.exists() and int(self.saved.get()[0]) + self.millis <= now:
             saved = pd.Timestamp(int(self.saved.get()[0]), unit="ms")
             self.saved.clear()
             yield pd.DataFrame({"package": [key[0]], "file": [key[1]], "saved": [saved], "due": [saved + pd.Timedelta(self.millis, "ms")]})

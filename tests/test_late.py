@@ -1,6 +1,7 @@
 """Event time: late saves are counted, state is dropped, a restarted query goes on."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -101,3 +102,18 @@ def test_timers_tell_files_that_nobody_read(spark, tmp_path, rocks):
     go()
     got = sorted((r.package, r.file, seconds(r.saved), seconds(r.due)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("p", "b", 1, 31), ("q", "a", 9, 39)]
+
+
+def test_a_reading_that_comes_before_its_save_is_one(spark, tmp_path, rocks):
+    """Batches out of order, within the watermark; files are read in the order of their times, set here."""
+    feed = Feed(tmp_path / "events", "package string, file string, ts timestamp, read boolean")
+    feed.put(("p", "a", 8, True), ("q", "a", 9, False))
+    feed.put(("p", "a", 0, False), ("p", "b", 1, False), ("q", "a", 2, False))
+    feed.put(("p", "d", 12, False), ("p", "c", 12, True))
+    feed.put(("p", "z", 60, True))
+    feed.put(("p", "z", 200, True))
+    for i, f in enumerate(sorted(feed.folder.iterdir())):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    run(late.unread(feed.stream(spark), 30), tmp_path / "out", tmp_path / "check")
+    got = sorted((r.package, r.file, seconds(r.saved), seconds(r.due)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("p", "b", 1, 31), ("p", "d", 12, 42), ("q", "a", 9, 39)]

@@ -8,7 +8,7 @@ of what both searches find. A search is a beam that then spreads along edges thr
 
 A vector up to half the threshold's angle from one of its shard's graph is a member of that one's ball and not of the graph, as all members
 of a ball link. Searches find balls that may hold links; balls so near that all their members link are counted by their sizes, so that a
-group of near vectors takes work as its rows, not as its links; the others' members are compared in double precision.
+tight group of near vectors takes work as its rows, not as its links; the others' members are compared in double precision.
 
 Each search audits itself on links that are known: of ``AUDIT`` vectors of the shard, turned until their cosine with what they were
 is the threshold, and of up to ``EXACT`` queries answered exactly, those with at most ``M`` links and those with more. While the
@@ -194,7 +194,7 @@ class Graph:
                 if level < len(found):
                     sims, places = np.concatenate([found[level][0][rows], sims], axis=1), np.concatenate([found[level][1][rows], places], axis=1)
                 else:
-                    lists.append((np.full((len(self.x), 2 * M if level == 0 else M), -1, np.int64), np.zeros(len(self.x), np.int64)))
+                    lists.append((np.full((len(self.x), 2 * M if level == 0 else M), -1, np.int32), np.zeros(len(self.x), np.int64)))
                     start = int(part[rows[0]])
                 self._join(*lists[level], part[rows], sims, places)
         members = [np.flatnonzero((self.lead == np.arange(len(self.x))) & (tops >= level)).tolist() for level in range(len(lists))]

@@ -3,9 +3,12 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from crossfile.llm import mixing, quality, sentencepiece_stream, sharding
 from crossfile.llm.queries import VOCABULARY
+from crossfile.llm.text import buffers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, k string, shard int"
@@ -203,3 +206,21 @@ def test_paths_are_committed_within_a_bounded_window(pieces):
     codec = sentencepiece_stream.Codec(pieces)
     parts = list(codec.stream("x" * 5000 + " " + "ab" * 3000))
     assert len(parts) > 50 and max(map(len, parts)) < 200
+
+
+@pytest.mark.parametrize("score", [lambda rng: -float(rng.integers(1, 4)), lambda rng: -0.1 * float(rng.integers(1, 5)), lambda rng: -5 * float(rng.random())])
+def test_many_cuts_are_encoded_side_by_side(score, monkeypatch):
+    """The ids are those of the stream, with ties, fractions, and characters as bytes; only long cuts take Python steps of their own."""
+    rng = np.random.default_rng(5)
+    draw = lambda alphabet, most: "".join(rng.choice(list(alphabet), int(rng.integers(1, most))))
+    words = {"▁" * int(rng.integers(0, 3)) + draw("abcé漢", 6) for _ in range(200)} | {"▁"}
+    codec = sentencepiece_stream.Codec([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(w, score(rng), 1) for w in sorted(words)])
+    texts = [None, "", " ", "  a", "▁", "\x00 \U0010ffff", "ab" * 2000 + " a", *(draw("abcé漢😀▁\n   ", 60) for _ in range(400))]
+    expected = [[i for cut in re.findall(" +[^ ]*", " " + t) for part in codec.stream(cut) for i in part] if t else [] for t in texts]
+    streamed, stream = [], codec.stream
+    monkeypatch.setattr(codec, "stream", lambda chars: streamed.append(chars) or stream(chars), raising=False)
+    monkeypatch.setattr(sentencepiece_stream, "BESIDE", 500, raising=False)
+    data, offsets = buffers(pa.array(texts, pa.string()))
+    ids, by_row = codec.encode_slice(data, offsets, 0, len(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(by_row)[:-1])] == expected
+    assert streamed == [" " + "ab" * 2000]

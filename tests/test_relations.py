@@ -10,7 +10,7 @@ import pytest
 from crossfile import bindings, check_queries, relation_queries
 from crossfile.facts import Facts
 from crossfile.functions import sketches
-from crossfile.operators import alias, temporal
+from crossfile.operators import alias, graph, lineage, pieces, temporal
 from crossfile.plans import checks, extension, report, trends
 from crossfile.plans.score import score
 from crossfile.rules import Project, Skip, declares_rules
@@ -81,6 +81,44 @@ def test_all_names_are_those_that_spread(spark):
         assert got == sorted((r.place, r.name) for r in alias.spread(known, stars, "f1").collect())
 
 
+@pytest.mark.parametrize(("limit", "unit"), [(0, 4096), (25, 4096), (25, 3), (200_000, 5)])
+def test_all_names_of_pieces_and_of_rounds_are_the_same(spark, monkeypatch, limit, unit):
+    """Pieces of eight, one of 30 and two of one place, some too large for a task, some searched in parts; names that are fixed or null stay."""
+    monkeypatch.setattr(pieces, "UNIT", unit)
+    monkeypatch.setattr(pieces, "BATCH", 7)
+    monkeypatch.setattr(pieces, "CELLS", 40)
+    rng = random.Random(5)
+    sizes = [8] * 4 + [30, 1, 1]
+    stars = [(f"p{i}.{rng.randrange(n)}", f"p{i}.{rng.randrange(n)}", j) for i, n in enumerate(sizes) for j in range(n + n // 4)] + [("alone", None, 0)]
+    known = [(f"p{i}.{rng.randrange(n)}", rng.choice(["f1", None, *(f"f{k}" for k in range(2, 9))])) for i, n in enumerate(sizes) for _ in range(n)] + [("alone", "f1"), ("alone", "f2"), (None, "f3")]
+    known, stars = spark.createDataFrame(known, "place string, name string"), spark.createDataFrame(stars, "place string, of string, ord int")
+    key = lambda r: tuple((x is not None, x or "") for x in r)
+    got = sorted(((r.place, r.name) for r in alias.all_names(known, stars, "f1", limit).collect()), key=key)
+    assert got == sorted({(r.place, r.name) for r in alias.spread(known.na.drop(), stars.na.drop(), "f1").collect()} | {tuple(r) for r in known.collect()}, key=key)
+
+
+def test_names_along_a_chain_take_no_rounds(spark, monkeypatch):
+    """Each place further was a round of joins before."""
+    written = []
+    for m in (alias, graph, pieces):
+        monkeypatch.setattr(m, "cut", lambda df: written.append(df.columns) or lineage.cut(df))
+    stars = spark.createDataFrame([(f"p{i}", f"p{i + 1}", 0) for i in range(40)], "place string, of string, ord int")
+    got = alias.all_names(spark.createDataFrame([("p40", "x"), ("p3", "y")], "place string, name string"), stars, "f1").collect()
+    assert sorted(map(tuple, got)) == sorted([(f"p{i}", "x") for i in range(41)] + [(f"p{i}", "y") for i in range(4)])
+    assert len(written) < 10
+
+
+def test_lines_around_tell_what_follows(spark, tmp_path):
+    """Orders without a line of the quantity aren't read; lines of no order are one."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 > 0, F.col("l_orderkey")))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    text = "select * from line where q = 50"
+    around = bindings.lines_around(spark, str(tmp_path), 50)
+    got = sorted(map(str, bindings.flat(spark, str(tmp_path), text, lines=around).collect()))
+    assert got == sorted(map(str, bindings.flat(spark, str(tmp_path), text).collect())) and "o=None" in "".join(got)
+    assert around.count() < lines.count() // 4
+
+
 def test_all_checks_send_no_table_through_the_driver(spark, monkeypatch):
     key, seen = relation_queries._BROADCAST, []
     before = spark.conf.get(key)

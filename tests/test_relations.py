@@ -97,6 +97,32 @@ def test_all_names_of_pieces_and_of_rounds_are_the_same(spark, monkeypatch, limi
     assert got == sorted({(r.place, r.name) for r in alias.spread(known.na.drop(), stars.na.drop(), "f1").collect()} | {tuple(r) for r in known.collect()}, key=key)
 
 
+@pytest.mark.parametrize(("limit", "unit"), [(0, 4096), (25, 3), (200_000, 5)])
+def test_counts_above_are_those_of_above(spark, monkeypatch, limit, unit):
+    monkeypatch.setattr(pieces, "UNIT", unit)
+    monkeypatch.setattr(pieces, "CELLS", 40)
+    rng = random.Random(6)
+    edges = [(100 * i + rng.randrange(n), 100 * i + rng.randrange(n)) for i, n in enumerate([8] * 4 + [30, 1]) for _ in range(n + n // 4)] + [(700, 701), (None, 1), (702, None)]
+    marked = [(x,) for x in (1, 103, 105, 301, 404, 411, 701, 999, None)]
+    edges, marked = spark.createDataFrame(edges, "node int, up int"), spark.createDataFrame(marked, "node int")
+    want = {}
+    for r in alias.above(edges.na.drop()).collect():
+        n, hit = want.get(r.node, (0, False))
+        want[r.node] = n + 1, hit or r.up in (1, 103, 105, 301, 404, 411, 701)
+    assert sorted(map(tuple, alias.counts_above(edges, marked, limit).collect())) == sorted((a, n, hit) for a, (n, hit) in want.items())
+
+
+def test_counts_along_a_chain_take_no_rounds(spark, monkeypatch):
+    """Each module further was a round of joins before."""
+    written = []
+    for m in (alias, graph, pieces):
+        monkeypatch.setattr(m, "cut", lambda df: written.append(df.columns) or lineage.cut(df))
+    chain = spark.createDataFrame([(f"m{i}", f"m{i + 1}") for i in range(40)], "module string, target string")
+    monkeypatch.setattr(relation_queries, "flat", lambda _, __, select, **___: chain.selectExpr("module node", "target up") if "few_imps" in select else chain.selectExpr("target node").where("node = 'm40'"))
+    assert sorted(map(tuple, relation_queries.bases_above(spark, SF).collect())) == sorted((f"m{i}", 40 - i, True) for i in range(40))
+    assert len(written) < 10
+
+
 def test_names_along_a_chain_take_no_rounds(spark, monkeypatch):
     """Each place further was a round of joins before."""
     written = []

@@ -134,6 +134,15 @@ def test_names_along_a_chain_take_no_rounds(spark, monkeypatch):
     assert len(written) < 10
 
 
+def test_parts_may_be_more_than_places(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "UNIT", 3)
+    known = spark.createDataFrame([("a", f"f{i}") for i in range(2, 40)] + [("b", "f1"), ("b", "x")], "place string, name string")
+    got = alias.all_names(known, spark.createDataFrame([("a", "b", 0)], "place string, of string, ord int"), "f1").collect()
+    assert sorted(map(tuple, got)) == sorted([*map(tuple, known.collect()), ("a", "x")])
+    marked = known.where("place = 'b'").select(F.col("place").alias("node"))
+    assert [tuple(r) for r in alias.counts_above(spark.createDataFrame([("a", "b")], "node string, up string"), marked).collect()] == [("a", 1, True)]
+
+
 def test_lines_around_tell_what_follows(spark, tmp_path):
     """Orders without a line of the quantity aren't read; lines of no order are one."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 > 0, F.col("l_orderkey")))
